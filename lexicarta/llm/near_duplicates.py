@@ -41,7 +41,7 @@ def _survey(width: int, min_words: int):
     schema = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint16)
+        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
             codes, counts = word_codes(batch.column(2).to_pylist())
             h, n = distinct_windows(codes, counts, width)
@@ -49,7 +49,7 @@ def _survey(width: int, min_words: int):
             owner = np.repeat(np.arange(len(n)), n)
             h, owner = h[keep[owner]], owner[keep[owner]]
             cell, add = np.unique(_counter(h), return_counts=True)
-            sketch[cell] = np.minimum(sketch[cell].astype(np.int64) + add, 65535)
+            sketch[cell] = np.minimum(sketch[cell].astype(np.int64) + add, 255)
             cls = np.zeros(len(n), dtype=np.uint64)
             np.add.at(cls, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
             rows = np.flatnonzero(keep)
@@ -72,7 +72,7 @@ def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            more = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint16)
+            more = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint8)
             total[piece] = total[piece] + more if piece in total else more.astype(np.int64)
     out = {p: np.where(c <= 32, c, np.minimum(255, 32 + 8 * np.log2(np.maximum(c, 32) / 32))).astype(np.uint8).tobytes() for p, c in total.items()}
     yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["piece", "level"])
@@ -112,14 +112,15 @@ def _short_lists(width: int, min_words: int, threshold: float, occurrences: int,
 
 
 def _arrays(width: int):
-    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    # 32 bits of each hash: the arrays of two texts are compared, not those of a collection
+    schema = pa.schema([("cls", pa.int64()), ("shingles", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes, counts = word_codes(batch.column(1).to_pylist())
             h, n = distinct_windows(codes, counts, width)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], schema=schema)
 
     return run
 
@@ -130,7 +131,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = []
         for column in (2, 3):
             values = batch.column(column)
-            flat, ends = values.flatten().to_numpy().view(np.uint64), values.offsets.to_numpy()
+            flat, ends = values.flatten().to_numpy().view(np.uint32), values.offsets.to_numpy()
             sides.append((flat, ends - ends[0]))
         (x, xe), (y, ye) = sides
         overlap = np.zeros(batch.num_rows, dtype=np.int32)
@@ -144,7 +145,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_classes(
-    texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, occurrences: int = 2
+    texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, occurrences: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """Similar texts as pairs between class representatives plus membership.
 
@@ -183,8 +184,7 @@ def similar_classes(
 
     wanted = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     chosen = members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))
-    arrays = texts.select("id", "content").join(chosen, "id").select("cls", "content").mapInArrow(_arrays(width), "cls bigint, shingles array<bigint>")
-    arrays = cut(arrays)
+    arrays = texts.select("id", "content").join(chosen, "id").select("cls", "content").mapInArrow(_arrays(width), "cls bigint, shingles array<int>")
     links = (
         candidates.join(arrays.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("s_a")), "cls_a")
         .join(arrays.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("s_b")), "cls_b")
