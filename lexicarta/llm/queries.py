@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import near_duplicates
+from lexicarta.llm import function_docs, near_duplicates, source_origin
 from lexicarta.runtime import table
 
 
@@ -32,9 +32,44 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(members, links)
 
 
+def _origins(spark: SparkSession, folder: str) -> DataFrame:
+    code = table(spark, folder, "code_chunks")
+    path = F.col("metadata.source_file")
+    return source_origin.file_origins(code, F.col("content"), path, F.col("metadata.document_specific_metadata.language"), F.element_at(F.split(path, "/"), 2))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Files that weren't written by hand."""
+    return _origins(spark, folder).where("not hand_written").select("source_file")
+
+
+def p3_origins(spark: SparkSession, folder: str) -> DataFrame:
+    """Every file with what it is."""
+    return _origins(spark, folder)
+
+
+def _documented(spark: SparkSession, folder: str) -> DataFrame:
+    code = table(spark, folder, "code_chunks")
+    return function_docs.pairs(code, F.col("id"), F.col("content"), F.col("metadata.source_file"), F.col("metadata.document_specific_metadata.language"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions with documentation of four words or more."""
+    return _documented(spark, folder).select("id", "function_name").distinct()
+
+
+def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Code-description pairs."""
+    return _documented(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
+    "p3_found": p3_found,
+    "p3_origins": p3_origins,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
 }
 
 SQL: dict[str, str] = {}
