@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import function_docs, near_duplicates, source_origin
+from lexicarta.llm import function_docs, leaks, near_duplicates, source_origin, text_quality
 from lexicarta.runtime import table
 
 
@@ -63,6 +63,40 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _documented(spark, folder)
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_items")
+    return leaks.leaks(docs, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold twelve consecutive words of an item's passage."""
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaked items with the tiles and the share of the passage found."""
+    return _leaks(spark, folder)
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every leaked item the number of documents and the greatest coverage."""
+    return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("coverage").alias("coverage"))
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality.quality(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of which more than half isn't running sentences."""
+    return _quality(spark, folder).where("kind is not null and prose_share < 0.5").select("doc_id")
+
+
+def p9_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality figures of every document."""
+    return _quality(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -70,6 +104,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_origins": p3_origins,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p7_items": p7_items,
+    "p9_found": p9_found,
+    "p9_stats": p9_stats,
 }
 
 SQL: dict[str, str] = {}
