@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexicarta.llm import function_docs, leaks, near_duplicates, source_origin, text_quality
+from lexicarta.llm import function_docs, leaks, mixing, near_duplicates, similar_vectors, source_origin, splitting, text_quality
 from lexicarta.runtime import table
 
 
@@ -48,6 +48,35 @@ def p3_origins(spark: SparkSession, folder: str) -> DataFrame:
     return _origins(spark, folder)
 
 
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return similar_vectors.most_similar(table(spark, folder, "chunk_vectors"), F.col("id"), F.col("embedding"), k=5)
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Neighbouring vectors of 0.85 similarity or more."""
+    return similar_vectors.similar_pairs(_neighbours(spark, folder), 0.85)
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five most similar vectors of every vector."""
+    return _neighbours(spark, folder)
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pdf_chunks")
+    return splitting.split_oversized(pages, F.col("id"), F.col("content"), F.col("metadata.chunk_type"), table(spark, folder, "split_limits"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Page chunks over the limit of their kind: those that the splitter cuts."""
+    return _pieces(spark, folder).where("piece = 0 and pieces > 1").select("id")
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of all oversized page chunks."""
+    return _pieces(spark, folder)
+
+
 def _documented(spark: SparkSession, folder: str) -> DataFrame:
     code = table(spark, folder, "code_chunks")
     return function_docs.pairs(code, F.col("id"), F.col("content"), F.col("metadata.source_file"), F.col("metadata.document_specific_metadata.language"))
@@ -83,6 +112,41 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("coverage").alias("coverage"))
 
 
+#: The domain of each source and the languages by their spellings.
+DOMAINS = {
+    "reference": ("manual_pages", "wiki_export", "api_reference", "lecture_scripts"),
+    "engineering": ("design_docs", "release_notes", "ticket_notes"),
+    "conversation": ("meeting_minutes", "forum_mirror", "field_diary"),
+}
+SPELLINGS = {"en": ("en", "eng"), "de": ("de", "deu", "ger"), "fr": ("fr", "fra", "fre"), "es": ("es", "spa")}
+
+
+def _labelled(column: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    labels = F.lit("other")
+    for label, values in names.items():
+        labels = F.when(column.isin(*values), label).otherwise(labels)
+    return labels
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    columns = {
+        "doc_id": F.col("doc_id"), "source": F.col("source"), "domain": _labelled(F.col("source"), DOMAINS),
+        "language": _labelled(F.lower(F.trim("lang")), SPELLINGS),
+    }
+    counted = mixing.token_counts(table(spark, folder, "documents"), F.col("text"), columns)
+    return mixing.mix(counted, ["domain", "source", "language"], table(spark, folder, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix and how often each is taken."""
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every source the share it was to have and the share it got."""
+    return _mix(spark, folder)[1]
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return text_quality.quality(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
 
@@ -102,13 +166,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_origins": p3_origins,
+    "p4_found": p4_found,
+    "p4_neighbours": p4_neighbours,
+    "p5_found": p5_found,
+    "p5_pieces": p5_pieces,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_items": p7_items,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_stats": p9_stats,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p5_found": """
+        SELECT p.id FROM pdf_chunks p JOIN split_limits l ON l.chunk_type = coalesce(p.metadata.chunk_type, 'text')
+        WHERE length(p.content) > l.max_chars""",
+    "p1_found": r"""
+        WITH w AS (
+            SELECT id, metadata.source_file AS f, metadata.chunk_id AS c, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS ws FROM pdf_chunks
+            UNION ALL SELECT id, metadata.source_file, metadata.chunk_id, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') FROM word_chunks),
+        s AS (SELECT DISTINCT id, f, c, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) AS g
+              FROM w WHERE len(ws) >= 20),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        m AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.id < b.id
+              WHERE a.f IS DISTINCT FROM b.f OR a.c IS DISTINCT FROM b.c GROUP BY 1, 2)
+        SELECT id_a, id_b FROM m JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE m >= 0.6 * (x.n + y.n - m) - 1e-9""",
+    "p7_found": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents),
+        e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\p{L}\p{N}]+') AS ws FROM eval_items),
+        dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g FROM d),
+        eg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(ws) - 10), lambda i: array_to_string(ws[i:i + 11], ' '))) AS g FROM e)
+        SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
+}
