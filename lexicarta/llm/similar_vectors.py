@@ -35,9 +35,9 @@ class Settings:
     sample: int = 24_000
     cell: int = 512
     most_cells: int = 4096
-    probes: int = 12
+    probes: int = 24
     parts: int = 8
-    rerank: int = 48
+    rerank: int = 96
     block: int = 8192
     seed: int = 7
 
@@ -131,7 +131,7 @@ def _search(shared, k: int, s: Settings):
         codes = np.frombuffer(b"".join(index["codes"]), dtype=np.uint8).reshape(-1, s.parts)
         centre = centres[key[0]]
         out = []
-        step = max(16, 4_000_000 // len(x))
+        step = max(16, min(4_000_000 // len(x), 8_000_000 // (s.rerank * s.dimension)))
         for at in range(0, len(queries), step):
             part = queries.iloc[at : at + step]
             q, own = _matrix(part["asked"], s.dimension), part["own"].to_numpy()
@@ -142,6 +142,11 @@ def _search(shared, k: int, s: Settings):
             score[own[:, None] == ids[None, :]] = -np.inf
             best = min(s.rerank, len(x))
             chosen = np.argpartition(-score, best - 1, axis=1)[:, :best] if best < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
+            close = np.matmul(x[chosen], q[:, :, None])[:, :, 0]
+            close[own[:, None] == ids[chosen]] = -np.inf
+            few = min(2 * k, best)
+            first = np.argpartition(-close, few - 1, axis=1)[:, :few] if few < best else np.tile(np.arange(best), (len(q), 1))
+            chosen = np.take_along_axis(chosen, first, 1)
             exact = np.einsum("qd,qrd->qr", q.astype(np.float64), x[chosen].astype(np.float64))
             exact[own[:, None] == ids[chosen]] = -np.inf
             order = np.lexsort((ids[chosen], -exact), axis=1)[:, :k]
