@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _SPACE = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for the row, however often a lambda in it refers to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without leading and trailing white space of any script and the separators U+001C to U+001F."""
     return F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexicarta.functions.text import indent, lines, occurrences, preview, stem, strip
+from lexicarta.functions.text import indent, let, lines, occurrences, preview, stem, strip
 
 #: Names, line comments and keywords of the languages whose elements are known.
 LANGUAGES = {
@@ -52,7 +52,11 @@ def _by_extension(ext: Column, values: dict[str, Column], otherwise: Column) ->
 def imports(code_lines: Column, ext: Column) -> Column:
     """Import lines, stripped, in order; none for languages without a rule."""
     bare = F.transform(code_lines, strip)
-    return _by_extension(ext, {e: F.filter(bare, lambda line, p=p: line.rlike(p)) for e, p in IMPORTS.items()}, F.array().cast("array<string>"))
+
+    def matching(pattern: str) -> Column:
+        return F.filter(bare, lambda line: line.rlike(pattern))
+
+    return _by_extension(ext, {e: matching(p) for e, p in IMPORTS.items()}, F.array().cast("array<string>"))
 
 
 def _opener(line: Column, ext: Column, group: int) -> Column:
@@ -71,23 +75,21 @@ def elements(sources: DataFrame) -> DataFrame:
     comment = _by_extension(ext, {e: F.lit(v[1]) for e, v in LANGUAGES.items()}, F.lit("//"))
     classes = _by_extension(ext, {e: F.array(*[F.lit(w) for w in v[3]]) for e, v in LANGUAGES.items()}, F.array(F.lit("class")))
     functions = _by_extension(ext, {e: F.array(*[F.lit(w) for w in v[2]]).cast("array<string>") for e, v in LANGUAGES.items()}, F.array().cast("array<string>"))
-    opened = F.filter(
-        F.transform(
-            "code_lines",
-            lambda line, i: F.struct(i.alias("start"), F.length(_opener(line, ext, 1)).alias("ind"), _opener(line, ext, 2).alias("keyword"), _opener(line, ext, 3).alias("name")),
-        ),
-        lambda e: e["keyword"] != "",
+    numbered = F.transform("code_lines", lambda line, i: F.struct(i.alias("start"), line.alias("line")))
+    opened = F.transform(
+        F.filter(numbered, lambda e: _opener(e["line"], ext, 2) != ""),
+        lambda e: F.struct(e["start"].alias("start"), F.length(_opener(e["line"], ext, 1)).alias("ind"), _opener(e["line"], ext, 2).alias("keyword"), _opener(e["line"], ext, 3).alias("name")),
     )
     solid = F.filter(
         F.transform("code_lines", lambda line, i: F.struct(i.alias("i"), indent(line).alias("ind"), strip(line).alias("s"))),
         lambda e: (e["s"] != "") & ~F.startswith(e["s"], F.col("_comment")),
     )
     shaped = sources.withColumns({"code_lines": lines(F.col("code")), "_comment": comment, "_classes": classes, "_functions": functions})
-    shaped = shaped.withColumns({"_open": opened, "_solid": solid, "code_imports": imports(F.col("code_lines"), ext)})
+    shaped = shaped.withColumn("code_imports", imports(F.col("code_lines"), ext))
 
-    def finish(e: Column) -> Column:
-        next_ = F.get(F.filter("_solid", lambda s: (s["i"] > e["start"]) & (s["ind"] <= e["ind"])), F.lit(0))
-        above = F.filter("_open", lambda o: (o["start"] <= e["start"]) & F.array_contains("_classes", o["keyword"]))
+    def finish(e: Column, known: Column) -> Column:
+        next_ = F.get(F.filter(known["solid"], lambda s: (s["i"] > e["start"]) & (s["ind"] <= e["ind"])), F.lit(0))
+        above = F.filter(known["open"], lambda o: (o["start"] <= e["start"]) & F.array_contains("_classes", o["keyword"]))
         parent = F.get(above, F.size(above) - 1)["name"]
         called = F.array_contains("_functions", e["keyword"]) | e["keyword"].isin("public", "private", "protected", "static")
         kind = F.when(F.array_contains("_classes", e["keyword"]), "class").when(called & parent.isNotNull(), "method").otherwise("function")
@@ -96,7 +98,9 @@ def elements(sources: DataFrame) -> DataFrame:
             F.when(kind == "method", parent).alias("parent"),
         )
 
-    return shaped.withColumn("code_elements", F.transform("_open", finish)).drop("_comment", "_classes", "_functions", "_open", "_solid")
+    both = F.struct(opened.alias("open"), solid.alias("solid"))
+    found = let(both, lambda known: F.transform(known["open"], lambda e: finish(e, known)))
+    return shaped.withColumn("code_elements", found).drop("_comment", "_classes", "_functions")
 
 
 def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> DataFrame:
@@ -109,27 +113,39 @@ def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> D
     """
     known = elements(sources.where(F.col("extension").isin(*LANGUAGES)))
     language = _by_extension(F.col("extension"), {e: F.lit(v[0]) for e, v in LANGUAGES.items()}, F.lit("Unknown"))
-    outside = F.filter("code_lines", lambda _, i: ~F.exists("code_elements", lambda e: (i >= e["start"]) & (i <= e["stop"])))
-    module = strip(F.array_join(outside, "\n"))
     none = F.lit(None).cast("string")
-
-    def element(e: Column) -> Column:
-        body = F.array_join(F.slice("code_lines", e["start"] + 1, e["stop"] - e["start"] + 1), "\n")
-        from_ = F.greatest(F.lit(0), e["start"] - 20)
-        heads = F.filter(F.slice("code_lines", from_ + 1, e["start"] - from_), lambda line: F.contains(line, F.concat(F.lit("class "), e["parent"])))
-        lead = F.concat(F.coalesce(F.slice(heads, 1, 1), F.array().cast("array<string>")), F.slice("code_imports", 1, 5)) if context else F.array().cast("array<string>")
-        full = F.when(F.size(lead) > 0, F.concat(F.array_join(lead, "\n"), F.lit("\n\n"), body)).otherwise(body)
-        return F.struct(
-            e["kind"].alias("element_type"), e["name"].alias("element_name"), e["parent"].alias("parent_class"), e["start"].alias("line_start"), e["stop"].alias("line_end"),
-            complexity(body).alias("complexity_score"), F.floor(e["start"] / 100).cast("int").alias("page_number"), full.alias("content"), F.length(body).alias("_size"),
-        )
-
-    imported = F.when(F.size("code_imports") > 0, F.concat(F.array_join("code_imports", "\n"), F.lit("\n\n"), module)).otherwise(module)
-    top = F.struct(
-        F.lit("module").alias("element_type"), stem(F.col("source_file")).alias("element_name"), none.alias("parent_class"), F.lit(0).alias("line_start"),
-        F.size("code_lines").alias("line_end"), complexity(imported).alias("complexity_score"), F.lit(0).alias("page_number"), imported.alias("content"), F.length(module).alias("_size"),
-    )
-    parts = F.filter(F.concat(F.array(top), F.transform("code_elements", element)), lambda c: c["_size"] >= least)
+    nothing = F.array().cast("array<string>")
+
+    def element(e: Column, file: Column) -> Column:
+        body = F.array_join(F.slice(file["lines"], e["start"] + 1, e["stop"] - e["start"] + 1), "\n")
+        first = F.greatest(F.lit(0), e["start"] - 20)
+        heads = F.filter(F.slice(file["lines"], first + 1, e["start"] - first), lambda line: F.contains(line, F.concat(F.lit("class "), e["parent"])))
+        lead = F.concat(F.coalesce(F.slice(heads, 1, 1), nothing), F.slice(file["imports"], 1, 5)) if context else nothing
+
+        def shape(c: Column) -> Column:
+            full = F.when(F.size(c["lead"]) > 0, F.concat(F.array_join(c["lead"], "\n"), F.lit("\n\n"), c["body"])).otherwise(c["body"])
+            return F.struct(
+                e["kind"].alias("element_type"), e["name"].alias("element_name"), e["parent"].alias("parent_class"), e["start"].alias("line_start"), e["stop"].alias("line_end"),
+                complexity(c["body"]).alias("complexity_score"), F.floor(e["start"] / 100).cast("int").alias("page_number"), full.alias("content"), F.length(c["body"]).alias("_size"),
+            )
+
+        return let(F.struct(lead.alias("lead"), body.alias("body")), shape)
+
+    def top(file: Column) -> Column:
+        outside = F.filter(file["lines"], lambda _, i: ~F.exists(file["elements"], lambda e: (i >= e["start"]) & (i <= e["stop"])))
+
+        def shape(module: Column) -> Column:
+            full = F.when(F.size(file["imports"]) > 0, F.concat(F.array_join(file["imports"], "\n"), F.lit("\n\n"), module)).otherwise(module)
+            return F.struct(
+                F.lit("module").alias("element_type"), stem(F.col("source_file")).alias("element_name"), none.alias("parent_class"), F.lit(0).alias("line_start"),
+                F.size(file["lines"]).alias("line_end"), complexity(full).alias("complexity_score"), F.lit(0).alias("page_number"), full.alias("content"), F.length(module).alias("_size"),
+            )
+
+        return let(strip(F.array_join(outside, "\n")), shape)
+
+    file = F.struct(F.col("code_lines").alias("lines"), F.col("code_elements").alias("elements"), F.col("code_imports").alias("imports"))
+    every = let(file, lambda f: F.concat(F.array(top(f)), F.transform(f["elements"], lambda e: element(e, f))))
+    parts = F.filter(every, lambda c: c["_size"] >= least)
     return (
         known.select("source_file", "extension", language.alias("language"), F.posexplode(parts).alias("chunk_id", "c"))
         .select("source_file", "chunk_id", "extension", "language", "c.*")

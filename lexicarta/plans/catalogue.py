@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexicarta.operators import nested
+from lexicarta.plans import chunking_queries, retrieval_queries
 from lexicarta.runtime import table
 
 PDF_LISTS = ("table_content", "image_details", "bounding_boxes")
@@ -49,12 +50,36 @@ def p2_corners(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **retrieval_queries.QUERIES,
+    **chunking_queries.QUERIES,
     "p2_found": p2_found,
     "p2_pages": p2_pages,
     "p2_images": p2_images,
     "p2_corners": p2_corners,
 }
 
-SQL: dict[str, str] = {}
+#: Payloads that are JSON texts are unwrapped twice, arrays that are texts once; what isn't JSON is no payload.
+_PAYLOAD = r"""
+    WITH raw AS (SELECT id, regexp_replace(metadata.document_specific_metadata, '^\x{feff}', '') AS j FROM pdf_chunks),
+    one AS (SELECT id, CASE WHEN json_valid(j) THEN CASE WHEN json_type(j) = 'VARCHAR' THEN j::JSON->>'$' ELSE j END END AS j FROM raw),
+    two AS (SELECT id, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN coalesce(j::JSON->'document_specific_metadata', j::JSON) END AS j FROM one),
+    p AS (SELECT id, j FROM two WHERE j IS NOT NULL)"""
 
-FLAGSHIP = "p2_found"
+
+def _child_sql(name: str, camel: str) -> str:
+    return f"""SELECT id, '{name}' AS child, (i - 1)::INT AS pos FROM (
+        SELECT id, x, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
+            SELECT id, CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v) = 'VARCHAR' THEN
+                CASE WHEN json_valid(v->>'$') AND json_type(v->>'$') = 'ARRAY' THEN (v->>'$')::JSON::JSON[] WHEN json_valid(v->>'$') AND json_type(v->>'$') = 'NULL' THEN []::JSON[] ELSE [v] END
+                WHEN json_type(v) = 'NULL' THEN []::JSON[] ELSE [v] END AS x FROM (
+                SELECT id, coalesce(j->'{name}', j->'{camel}') AS v FROM p) WHERE v IS NOT NULL)) WHERE json_type(v) <> 'NULL'"""
+
+
+_P2_FOUND = f"""{_PAYLOAD} {_child_sql("table_content", "tableContent")} UNION ALL {_child_sql("image_details", "imageDetails")} UNION ALL {_child_sql("bounding_boxes", "boundingBoxes")}"""
+
+SQL: dict[str, str] = {
+    "p2_found": _P2_FOUND,
+    **retrieval_queries.SQL, **chunking_queries.SQL,
+}
+
+FLAGSHIP = "evaluate_means"
