@@ -34,7 +34,7 @@ def discover(spark: SparkSession, folder: str, types: Sequence[str] = ("all",),
 
 def source_texts(spark: SparkSession, folder: str) -> DataFrame:
     """``source_file, extension, code`` of all source files below ``folder``, each read whole."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder)
+    text = spark.read.option("recursiveFileLookup", True).text(folder, wholetext=True)
     named = text.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("code"))
     return named.withColumn("extension", F.lower(extension(F.col("source_file")))).where(F.col("extension").isin(*FILE_TYPES["code"])).select("source_file", "extension", "code")
 
@@ -55,7 +55,8 @@ def extract(files: DataFrame, read: Callable[[bytes], list[dict]], schema: str)
                     rows += [{"source_file": path, "error": None, **row} for row in read(bytes(content))]
                 except Exception as problem:  # noqa: BLE001 - whatever a broken file raises is its error
                     rows.append({"source_file": path, "error": f"{type(problem).__name__}: {problem}"})
-            yield pd.DataFrame(rows, columns=["source_file", "error", *names])
+            columns = ["source_file", "error", *names]
+            yield pd.DataFrame([[row.get(c) for c in columns] for row in rows], columns=columns, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, f"source_file string, error string, {schema}")
 

@@ -62,7 +62,7 @@ def read_judgements(spark: SparkSession, path: str) -> DataFrame:
 
     ValueError if a file is neither.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     bare = F.from_json("value", f"array<{JUDGEMENT}>")
     wrapped = F.from_json("value", f"struct<queries: array<{JUDGEMENT}>>")["queries"]
     both = text.select(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped).alias("queries"))
