@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.codescan import documentation, functions, language_of, scan
+from lexicarta.runtime import spread
 
 SCHEMA = "id bigint, function_name string, language string, documentation string, doc_words int, code string"
 
@@ -110,4 +111,4 @@ def pairs(df: DataFrame, record_id: Column, content: Column, source_file: Column
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     narrow = df.select(record_id.cast("bigint").alias("id"), content.alias("content"), source_file.alias("source_file"), language.alias("language"))
-    return narrow.where(F.length("content") > 0).mapInArrow(run, SCHEMA)
+    return spread(narrow.where(F.length("content") > 0)).mapInArrow(run, SCHEMA)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.words import windows, word_codes
+from lexicarta.runtime import spread
 
 SCHEMA = "doc_id bigint, item_id bigint, tiles int, longest int, covered int, coverage double"
 #: Words of all passages together up to which their seeds are broadcast; more are joined by a shuffle.
@@ -115,7 +116,7 @@ def leaks(
     sides are joined by a shuffle on their hash.
     """
     spark = documents.sparkSession
-    left = documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(F.length("text") > 0)
+    left = spread(documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(F.length("text") > 0))
     right = items.select(item_id.cast("bigint").alias("item_id"), passage.cast("string").alias("passage")).where(F.length("passage") > 0)
     size = right.agg(F.sum(F.length("passage"))).first()[0] or 0
     if size <= 2 * broadcast_words:

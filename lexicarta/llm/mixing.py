@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexicarta.runtime import cut
+from lexicarta.runtime import cut, spread
 
 TOKENIZERS = "/opt/tokenizers"
 #: Parts of a leaf's seeded order over which token sums are taken: a leaf is never one task.
@@ -45,7 +45,7 @@ def token_counts(df: DataFrame, text: Column, columns: dict[str, Column], tokeni
             counts = [len(encode(t)) if t else 0 for t in batch.column(len(fields)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*(f.name for f in fields), "tokens"])
 
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 @dataclass

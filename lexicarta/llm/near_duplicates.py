@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.llm.words import distinct_windows, mix, word_codes
-from lexicarta.runtime import cut
+from lexicarta.runtime import cut, spread
 
 #: Counters of the sketch and of one piece of it. A fixed size: more shingles share a counter in larger collections.
 SKETCH_BITS, PIECE_BITS = 24, 16
@@ -161,7 +161,7 @@ def similar_classes(
     of one class. Equal 64-bit hashes count as equal shingles.
     """
     spark = texts.sparkSession
-    texts = texts.select("id", "row_key", "content").where("content is not null")
+    texts = spread(texts.select("id", "row_key", "content").where("content is not null"))
     survey = cut(texts.mapInArrow(_survey(width, min_words), "id bigint, row_key bigint, cls bigint, n int, piece int, counts binary"))
     members = survey.where("piece is null").select("id", "row_key", "cls", "n")
     pieces = survey.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_merge_pieces, "piece int, level binary").collect()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexicarta.runtime import cut
+from lexicarta.runtime import cut, spread
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     s = settings or Settings()
     spark = df.sparkSession
     rows = df.select(row_id.cast("bigint").alias("id"), embedding.cast("array<float>").alias("e")).where(F.size("e") == s.dimension)
-    units = cut(rows.mapInArrow(_unit_vectors(s.dimension), "id bigint, cls bigint, vector binary"))
+    units = cut(spread(rows).mapInArrow(_unit_vectors(s.dimension), "id bigint, cls bigint, vector binary"))
     ranked = Window.partitionBy("cls").orderBy("id")
     members = units.select("id", "cls")
     least = members.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
