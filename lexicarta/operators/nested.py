@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.functions.jsonevents import Unreadable, events
+from lexicarta.runtime import spread
 
 TRIPLES = "record_id bigint, grp string, ordinals array<int>, path string, kind string, value string"
 
@@ -162,7 +163,7 @@ def to_triples(
 
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     narrow = df.select(as_column(record_id).cast("bigint").alias("record_id"), as_column(payload).cast("string").alias("payload"))
-    return narrow.where("payload is not null").mapInArrow(parse, TRIPLES)
+    return spread(narrow.where("payload is not null")).mapInArrow(parse, TRIPLES)
 
 
 def pivot_groups(triples: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexicarta.functions.text import extension, lines, markdown_table, paragraphs, preview, strip
 from lexicarta.operators import code_elements, packing, pdf_pages, statistics, word_sections
-from lexicarta.runtime import table
+from lexicarta.runtime import spread, table
 
 CHUNK_TABLES = ("pdf_chunks", "word_chunks", "code_chunks")
 
@@ -21,14 +21,14 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def pack_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that aren't blank packed to 1000 characters."""
-    docs = table(spark, folder, "documents").select("doc_id", paragraphs(F.col("text")).alias("parts"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", paragraphs(F.col("text")).alias("parts"))
     found = packing.pack_paragraphs(docs, F.col("doc_id"), F.col("parts"), 1000)
     return found.select(F.col("key").alias("doc_id"), "chunk_id", F.md5("content").alias("digest"), "is_continuation")
 
 
 def pack_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Lines packed to 1500 characters."""
-    docs = table(spark, folder, "documents").select("doc_id", lines(F.col("text")).alias("parts"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", lines(F.col("text")).alias("parts"))
     found = packing.pack_lines(docs, F.col("doc_id"), F.col("parts"), 1500)
     return found.select(F.col("key").alias("doc_id"), "chunk_id", F.md5("content").alias("digest"), "line_start", "line_end")
 
@@ -70,7 +70,7 @@ def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages whose geometry comes from order lines: a file per supplier, a page per line."""
-    l = table(spark, folder, "lineitem")  # noqa: E741
+    l = spread(table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"))  # noqa: E741
     side = F.col("l_quantity") * 5
     image = F.struct(F.lit(10.0).alias("x0"), F.lit(20.0).alias("y0"), (F.lit(10.0) + side).alias("x1"), (F.lit(20.0) + side * 2).alias("y1"))
     row = F.array(F.array(F.lit("flag"), F.lit("status")), F.array("l_returnflag", "l_linestatus"))
@@ -98,13 +98,14 @@ def page_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _sources(spark: SparkSession, folder: str) -> DataFrame:
     path = F.col("metadata.source_file")
-    return table(spark, folder, "code_chunks").select(F.concat(F.col("id").cast("string"), extension(path)).alias("source_file"), F.lower(extension(path)).alias("extension"), F.col("content").alias("code"))
+    return spread(table(spark, folder, "code_chunks").select("id", "content", "metadata")).select(F.concat(F.col("id").cast("string"), extension(path)).alias("source_file"), F.lower(extension(path)).alias("extension"), F.col("content").alias("code"))
 
 
 def element_list(spark: SparkSession, folder: str) -> DataFrame:
     """Classes, functions and methods of source texts with their lines."""
     found = code_elements.elements(_sources(spark, folder).where(F.col("extension").isin(*code_elements.LANGUAGES)))
-    return found.select("source_file", F.explode("code_elements").alias("e")).select("source_file", F.col("e.start").alias("line_start"), F.col("e.stop").alias("line_end"), "e.kind", "e.name", "e.parent")
+    # an outer explode: the inner one would have the optimiser work the elements out twice to filter empty ones
+    return found.select("source_file", F.explode_outer("code_elements").alias("e")).where("e is not null").select("source_file", F.col("e.start").alias("line_start"), F.col("e.stop").alias("line_end"), "e.kind", "e.name", "e.parent")
 
 
 def source_chunks(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lexicarta.functions.text import with_language
 from lexicarta.functions.vectors import norm, normalise
 from lexicarta.operators import comparison, embedding, evaluation, ground_truth, retrieval
-from lexicarta.runtime import table
+from lexicarta.runtime import spread, table
 from lexicarta.sources.collection import shaped
 
 KS = evaluation.DEFAULT_KS
@@ -147,7 +147,7 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Page chunks for the texts of the evaluation queries, by hashed words."""
     words = embedding.create("hash", dimension=64)
     items = embedding.embed(table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query_text"), F.col("query_text"), words)
-    pages = embedding.embed(table(spark, folder, "pdf_chunks").select("id", "content"), F.col("content"), words)
+    pages = embedding.embed(spread(table(spark, folder, "pdf_chunks").select("id", "content")), F.col("content"), words)
     hits = retrieval.exact_top_k(items.select("query_id", "vector"), pages.select("id", "vector"), 5)
     return hits.select("query_id", "rank", F.round("score", 3).alias("score"))
 
@@ -156,7 +156,7 @@ def text_search_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """From query texts to mean metrics: embed, search, evaluate."""
     words = embedding.create("hash", dimension=256)
     items = embedding.embed(table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query_text", "relevant_doc_ids"), F.col("query_text"), words)
-    pages = embedding.embed(table(spark, folder, "pdf_chunks").select("id", "content"), F.col("content"), words)
+    pages = embedding.embed(spread(table(spark, folder, "pdf_chunks").select("id", "content")), F.col("content"), words)
     hits = retrieval.exact_top_k(items.select("query_id", "vector"), pages.select("id", "vector"), 10)
     judged = items.select("query_id", F.explode("relevant_doc_ids").alias("doc_id"))
     found = evaluation.per_query(hits.select("query_id", "rank", F.col("id").cast("string").alias("doc_id")), judged)
