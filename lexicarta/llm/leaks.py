@@ -107,7 +107,7 @@ def leaks(
 
     Columns: ``doc_id, item_id``; ``tiles``, the marked runs of at least ``least_words`` words;
     ``longest`` of them and ``covered`` in words; ``coverage``, the covered share of the passage.
-    Pairs below ``least_coverage`` are left out. Null and empty texts and passages and passages
+    Pairs below ``least_coverage`` are left out. Null ids, null and empty texts and passages and passages
     shorter than ``least_words`` give no rows; repeated documents or items are pairs of their own.
     Other columns aren't read.
 
@@ -116,8 +116,8 @@ def leaks(
     sides are joined by a shuffle on their hash.
     """
     spark = documents.sparkSession
-    left = spread(documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where(F.length("text") > 0))
-    right = items.select(item_id.cast("bigint").alias("item_id"), passage.cast("string").alias("passage")).where(F.length("passage") > 0)
+    left = spread(documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull()))
+    right = items.select(item_id.cast("bigint").alias("item_id"), passage.cast("string").alias("passage")).where((F.length("passage") > 0) & F.col("item_id").isNotNull())
     size = right.agg(F.sum(F.length("passage"))).first()[0] or 0
     if size <= 2 * broadcast_words:
         rows = right.collect()  # the held-out side, of a size checked above

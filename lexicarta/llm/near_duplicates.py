@@ -156,12 +156,12 @@ def similar_classes(
         cls_b, similarity)`` with ``cls_a < cls_b``, of all pairs of different classes whose Jaccard
         similarity is ``threshold`` or more.
 
-    A class is a set of distinct ``width``-word shingles. Null and empty texts, texts of fewer than
+    A class is a set of distinct ``width``-word shingles. Rows of a null id, null and empty texts, texts of fewer than
     ``min_words`` words and texts too short for one shingle take no part. Repeated rows are members
     of one class. Equal 64-bit hashes count as equal shingles.
     """
     spark = texts.sparkSession
-    texts = spread(texts.select("id", "row_key", "content").where("content is not null"))
+    texts = spread(texts.select("id", "row_key", "content").where("id is not null and content is not null"))
     survey = cut(texts.mapInArrow(_survey(width, min_words), "id bigint, row_key bigint, cls bigint, n int, piece int, counts binary"))
     members = survey.where("piece is null").select("id", "row_key", "cls", "n")
     pieces = survey.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_merge_pieces, "piece int, level binary").collect()
@@ -216,6 +216,11 @@ def similar_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _signature(edges: DataFrame) -> tuple:
+    """Number of edges and sums of two hashes of them: equal for equal sets, whatever their order."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("bigint"))).first())
+
+
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of ``links (cls_a, cls_b)``: ``cls`` and ``root``, the least class in reach.
 
@@ -223,6 +228,7 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     changes; each round is checkpointed. Classes without a link aren't listed.
     """
     edges = cut(links.select(F.greatest("cls_a", "cls_b").alias("u"), F.least("cls_a", "cls_b").alias("v")).distinct())
+    before = _signature(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -230,10 +236,11 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
         after = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
+        now = _signature(after)
         edges = after
-        if not changed:
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct())

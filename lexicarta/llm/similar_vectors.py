@@ -162,14 +162,14 @@ def _search(shared, k: int, s: Settings):
 def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, settings: Settings | None = None) -> DataFrame:
     """``id, other, similarity, rank``: the ``k`` vectors most similar to each vector, by cosine.
 
-    Rows whose embedding is null, all zero, not finite or not of the set dimension take no part.
+    Rows of a null id and those whose embedding is null, all zero, not finite or not of the set dimension take no part.
     Ties go to the lesser id. Equal vectors (to a millionth) are indexed and searched once; each row
     then finds its own copies first, of which only the ``k + 1`` least ids can matter. Other columns
     aren't read. The result is approximate: what no visited cell holds isn't found.
     """
     s = settings or Settings()
     spark = df.sparkSession
-    rows = df.select(row_id.cast("bigint").alias("id"), embedding.cast("array<float>").alias("e")).where(F.size("e") == s.dimension)
+    rows = df.select(row_id.cast("bigint").alias("id"), embedding.cast("array<float>").alias("e")).where((F.size("e") == s.dimension) & F.col("id").isNotNull())
     units = cut(spread(rows).mapInArrow(_unit_vectors(s.dimension), "id bigint, cls bigint, vector binary"))
     ranked = Window.partitionBy("cls").orderBy("id")
     members = units.select("id", "cls")

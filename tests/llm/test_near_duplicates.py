@@ -42,7 +42,7 @@ def corpus(seed, n=120):
 @pytest.mark.parametrize(("seed", "threshold", "width", "occurrences"), [(1, 0.6, 3, 4), (2, 0.8, 5, 2), (3, 0.6, 3, 1)])
 def test_pairs_are_those_of_brute_force(spark, seed, threshold, width, occurrences):
     texts = corpus(seed)
-    df = spark.createDataFrame([(i, i, t, "x") for i, t in texts.items()], "id bigint, row_key bigint, content string, cls string")
+    df = spark.createDataFrame([(i, i, t, "x") for i, t in texts.items()] + [(None, 1, "one two three four five six", "x")], "id bigint, row_key bigint, content string, cls string")
     members, links = nd.similar_classes(df, threshold, width, 5, occurrences)
     got = set(rows(nd.similar_rows(members, links)))
     assert got == similar(texts, threshold, width, 5)

@@ -31,7 +31,7 @@ def test_recall_against_exact_search(spark):
 
 def test_unusable_and_equal_vectors(spark):
     v = [1.0, 0.0, 0.0, 0.0]
-    data = [(i, v) for i in range(8)] + [(8, [2.0, 0.0, 0.0, 0.0]), (9, [1.0, 1.0, 0.0, 0.0]), (20, None), (21, [0.0] * 4), (22, [1.0]), (23, []), (24, [1.0, None, 0.0, 0.0]), (25, [float("nan")] * 4)]
+    data = [(i, v) for i in range(8)] + [(8, [2.0, 0.0, 0.0, 0.0]), (9, [1.0, 1.0, 0.0, 0.0]), (None, v), (20, None), (21, [0.0] * 4), (22, [1.0]), (23, []), (24, [1.0, None, 0.0, 0.0]), (25, [float("nan")] * 4)]
     df = spark.createDataFrame(data, "id bigint, e array<float>").withColumn("cls", F.lit(1))
     got = most_similar(df, F.col("id"), F.col("e"), 5, Settings(dimension=4, parts=2, sample=100))
     found = {}
