@@ -53,7 +53,7 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "IP
 
     ``queries`` has ``query_id bigint, vector array<float>``, ``corpus`` ``id bigint, vector``. IP and
     COSINE rank downwards, L2 gives squared distances and ranks upwards; ties go to the lesser id.
-    Scores are rounded to nine places. Null vectors and those of another length than the queries' give no hits; fewer than
+    Scores are rounded to nine places. Null ids, null vectors and those of another length than the queries' give no hits; fewer than
     ``k`` rows give fewer hits. Queries go to the tasks in blocks of ``query_block``, whose best
     rows are kept per batch, so only ``k`` rows a query and batch are shuffled.
     """
@@ -62,7 +62,7 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "IP
     if k < 1:
         raise ValueError("k must be positive")
     spark = corpus.sparkSession
-    asked = queries.where("vector is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
+    asked = queries.where("vector is not null and query_id is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
     count = asked.count()
     blocks = max(1, -(-count // query_block))
     found = None
@@ -72,7 +72,7 @@ def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "IP
         width = len(rows["vector"].iloc[0]) if len(rows) else 0
         matrix = np.array(rows["vector"].to_list(), dtype=np.float64).reshape(len(rows), width)
         shared = spark.sparkContext.broadcast((rows["query_id"].to_numpy(), matrix))
-        narrow = corpus.where(F.size("vector") == width).select(F.col("id").cast("bigint").alias("id"), "vector")
+        narrow = corpus.where((F.size("vector") == width) & F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "vector")
         hits = narrow.mapInPandas(_kernel(shared, metric, k), "query_id bigint, id bigint, score double")
         found = hits if found is None else found.unionByName(hits)
     return ranked(found, k, metric)
@@ -134,8 +134,8 @@ class InvertedFile:
         from lexicarta.functions.vectors import cosine, dot, squared_distance
 
         score = {"IP": dot, "L2": squared_distance, "COSINE": cosine}[metric]
-        asked = self.assign(queries, probes).select("query_id", F.col("vector").alias("asked"), "list_id")
-        held = self.assign(corpus).select("id", "vector", "list_id")
+        asked = self.assign(queries.where("query_id is not null"), probes).select("query_id", F.col("vector").alias("asked"), "list_id")
+        held = self.assign(corpus.where("id is not null")).select("id", "vector", "list_id")
         met = held.join(asked, "list_id").select("query_id", "id", F.round(score(F.col("asked"), F.col("vector")), 9).alias("score"))
         return ranked(met, k, metric)
 

@@ -15,7 +15,7 @@ def vectors(spark):
     x = np.round(rng.normal(size=(120, 6)), 3)
     x[7] = x[3]  # a tie
     data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
-    return x, spark.createDataFrame([*data, (900, None), (901, [1.0])], "id bigint, vector array<float>")
+    return x, spark.createDataFrame([*data, (900, None), (901, [1.0]), (None, [9.0] * 6)], "id bigint, vector array<float>")
 
 
 @pytest.mark.parametrize("metric", retrieval.METRICS)
