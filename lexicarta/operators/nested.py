@@ -204,4 +204,4 @@ def child_table(triples: DataFrame, group: str, columns: Sequence[str]) -> DataF
 def record_table(triples: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The members of each record outside its arrays, one row per record that has any."""
     pick = [F.max(F.when(F.col("path") == c, F.col("value"))).alias(c.replace(".", "_")) for c in columns]
-    return triples.where("grp = ''").groupBy("record_id").agg(*pick)
+    return triples.where("grp = '' and path <> ''").groupBy("record_id").agg(*pick)

@@ -66,8 +66,14 @@ _PAYLOAD = r"""
     p AS (SELECT id, j FROM two WHERE j IS NOT NULL)"""
 
 
-def _child_sql(name: str, camel: str) -> str:
-    return f"""SELECT id, '{name}' AS child, (i - 1)::INT AS pos FROM (
+_PAGE_FIELDS = (
+    ("total_pages", "totalPages"), ("num_tables", "numTables"), ("num_images", "numImages"), ("image_coverage_ratio", "imageCoverageRatio"),
+    ("is_vision_processed", "isVisionProcessed"),
+)
+
+
+def _elements_sql(name: str, camel: str, columns: str) -> str:
+    return f"""SELECT id, (i - 1)::INT AS pos{columns} FROM (
         SELECT id, x, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM (
             SELECT id, CASE WHEN json_type(v) = 'ARRAY' THEN v::JSON[] WHEN json_type(v) = 'VARCHAR' THEN
                 CASE WHEN json_valid(v->>'$') AND json_type(v->>'$') = 'ARRAY' THEN (v->>'$')::JSON::JSON[] WHEN json_valid(v->>'$') AND json_type(v->>'$') = 'NULL' THEN []::JSON[] ELSE [v] END
@@ -75,10 +81,23 @@ def _child_sql(name: str, camel: str) -> str:
                 SELECT id, coalesce(j->'{name}', j->'{camel}') AS v FROM p) WHERE v IS NOT NULL)) WHERE json_type(v) <> 'NULL'"""
 
 
+def _child_sql(name: str, camel: str) -> str:
+    return _elements_sql(name, camel, f", '{name}' AS child")
+
+
+def _corners_sql(name: str, camel: str) -> str:
+    elements = _elements_sql(name, camel, ", v->'bbox' AS box")
+    return f"""SELECT id, '{name}' AS parent, parent_pos, (k - 1)::INT AS pos, try_cast(c->>'$' AS DOUBLE) AS corner FROM (
+        SELECT id, parent_pos, unnest(box::JSON[]) AS c, generate_subscripts(box::JSON[], 1) AS k FROM (SELECT id, pos AS parent_pos, box FROM ({elements})) WHERE json_type(box) = 'ARRAY') WHERE json_type(c) <> 'NULL'"""
+
+
 _P2_FOUND = f"""{_PAYLOAD} {_child_sql("table_content", "tableContent")} UNION ALL {_child_sql("image_details", "imageDetails")} UNION ALL {_child_sql("bounding_boxes", "boundingBoxes")}"""
 
 SQL: dict[str, str] = {
     "p2_found": _P2_FOUND,
+    "p2_pages": f"""{_PAYLOAD} SELECT id, {", ".join(f"coalesce(j->>'{a}', j->>'{b}') AS {a}" for a, b in _PAGE_FIELDS)} FROM p WHERE len(json_keys(j)) > 0""",
+    "p2_images": f"""{_PAYLOAD} {_elements_sql("image_details", "imageDetails", ", v->>'index' AS index, " + ", ".join(f"try_cast(v->>'{m}' AS DOUBLE) AS {m}" for m in ("area", "width", "height")))}""",
+    "p2_corners": f"""{_PAYLOAD} {_corners_sql("image_details", "imageDetails")} UNION ALL {_corners_sql("bounding_boxes", "boundingBoxes")}""",
     **retrieval_queries.SQL, **chunking_queries.SQL,
 }
 

@@ -96,7 +96,7 @@ def test_children(text, found):
 def test_tables_keep_parent_links(spark):
     data = [
         (1, json.dumps({"pages": 2, "images": [{"w": 1, "box": [1.5, 2]}, None, {"w": "x", "extra": {"deep": True}}]})),
-        (2, None), (3, "{"), (4, "{}"), (5, json.dumps({"images": []})),
+        (2, None), (3, "{"), (4, "{}"), (5, json.dumps({"images": []})), (6, "null"), (7, '"text"'),
     ]
     df = spark.createDataFrame(data, "record_id bigint, value string").selectExpr("record_id", "value", "1 as grp", "2 as path")  # clashing names
     triples = nested.to_triples(df, "record_id", "value", LISTS)
