@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexicarta.functions.vectors import normalise
+from lexicarta.runtime import cut
 
 METRICS = ("IP", "L2", "COSINE")
 #: Queries that go to the tasks at once; a larger query set is searched in several such blocks.
@@ -100,6 +101,26 @@ def with_payload(hits: DataFrame, collection: DataFrame, fields: list[str] | Non
     return joined.select(*hits.columns, *[c for c in wanted if c not in hits.columns])
 
 
+def _meet(metric: str, k: int):
+    """Of each query of a block the best ``k`` rows of the block."""
+
+    def run(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        found = {"query_id": [], "id": [], "score": []}
+        if len(held) and len(asked):
+            x, ids = np.array(held["vector"].to_list(), dtype=np.float64), held["id"].to_numpy()
+            step = max(1, 1_000_000 // len(x))
+            for at in range(0, len(asked), step):
+                part = asked.iloc[at : at + step]
+                score = np.round(_scores(np.array(part["asked"].to_list(), dtype=np.float64), x, metric), 9)
+                order = np.lexsort((np.broadcast_to(ids, score.shape), score if metric == "L2" else -score), axis=1)[:, :k]
+                found["query_id"].append(np.repeat(part["query_id"].to_numpy(), order.shape[1]))
+                found["id"].append(ids[order.ravel()])
+                found["score"].append(np.take_along_axis(score, order, 1).ravel())
+        return pd.DataFrame({c: np.concatenate(v) if v else np.empty(0, dtype="float64" if c == "score" else "int64") for c, v in found.items()})
+
+    return run
+
+
 @dataclass(frozen=True)
 class InvertedFile:
     """Coarse centroids; fitted on at most ``sample`` rows."""
@@ -107,37 +128,79 @@ class InvertedFile:
     centres: np.ndarray
 
     @staticmethod
-    def fit(corpus: DataFrame, lists: int = 16, sample: int = 50_000, seed: int = 11, rounds: int = 10) -> InvertedFile:
-        """K-means over a bounded sample of ``corpus (id, vector)``, drawn by a hash of the id."""
+    def fit(corpus: DataFrame, lists: int | None = None, sample: int = 50_000, seed: int = 11, rounds: int = 10) -> InvertedFile:
+        """K-means over a bounded sample of ``corpus (id, vector)``, drawn by a hash of the id.
+
+        Without ``lists`` their number is the square root of the number of rows, and ``sample`` is at least 32 rows a list.
+        """
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        drawn = corpus.where("vector is not null").orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector("vector").alias("features"))
+        held = corpus.where("vector is not null")
+        if lists is None:
+            lists = max(2, round(held.count() ** 0.5))
+            sample = max(sample, 32 * lists)
+        drawn = held.orderBy(F.xxhash64("id")).limit(sample).select(array_to_vector("vector").alias("features"))
         model = KMeans(k=lists, seed=seed, maxIter=rounds).fit(drawn)
         return InvertedFile(np.array(model.clusterCenters()))
 
+    def _nearest(self, x: np.ndarray) -> np.ndarray:
+        """Every list for each row, the nearest first."""
+        return np.argsort((self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T, axis=1, kind="stable")
+
     def assign(self, df: DataFrame, probes: int = 1) -> DataFrame:
         """``df`` with ``list_id``: one row for each of the ``probes`` nearest centroids."""
         shared = df.sparkSession.sparkContext.broadcast(self.centres)
 
         @F.pandas_udf("array<int>")
         def nearest(vectors: pd.Series) -> pd.Series:
-            centres = shared.value
             x = np.array(vectors.to_list(), dtype=np.float64).reshape(len(vectors), -1)
-            far = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-            return pd.Series(list(np.argsort(far, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-        return df.where("vector is not null").withColumn("list_id", F.explode(nearest("vector")))
-
-    def search(self, queries: DataFrame, corpus: DataFrame, k: int, probes: int = 4, metric: str = "IP") -> DataFrame:
-        """Hits from the ``probes`` nearest lists of each query, compared exactly where they meet."""
-        from lexicarta.functions.vectors import cosine, dot, squared_distance
-
-        score = {"IP": dot, "L2": squared_distance, "COSINE": cosine}[metric]
-        asked = self.assign(queries.where("query_id is not null"), probes).select("query_id", F.col("vector").alias("asked"), "list_id")
-        held = self.assign(corpus.where("id is not null")).select("id", "vector", "list_id")
-        met = held.join(asked, "list_id").select("query_id", "id", F.round(score(F.col("asked"), F.col("vector")), 9).alias("score"))
-        return ranked(met, k, metric)
+            return pd.Series(list(InvertedFile(shared.value)._nearest(x)[:, :probes].astype(np.int32)))
+
+        return df.where(F.size("vector") == self.centres.shape[1]).withColumn("list_id", F.explode(nearest("vector")))
+
+    def probes_for(self, queries: DataFrame, corpus: DataFrame, k: int, metric: str = "IP", recall: float = 0.9, sample: int = 1024) -> int:
+        """The fewest lists to visit for a mean recall of ``recall`` against ``exact_top_k``.
+
+        Measured on at most ``sample`` queries, drawn by a hash of their id. Of a larger set the mean less two
+        standard errors must reach ``recall``. Where a query's true hits lie is told by the lists of these rows.
+        """
+        usable = queries.where((F.size("vector") == self.centres.shape[1]) & F.col("query_id").isNotNull()).select(F.col("query_id").cast("bigint").alias("query_id"), "vector")
+        whole = usable.count() <= sample
+        drawn = usable if whole else usable.orderBy(F.xxhash64("query_id")).limit(sample)
+        asked = drawn.toPandas()  # at most `sample` rows
+        true = cut(exact_top_k(drawn, corpus, k, metric).select("query_id", "id"))
+        lists = self.assign(corpus.select(F.col("id").cast("bigint").alias("id"), "vector").join(true.select("id").distinct(), "id")).select("id", "list_id")
+        found = true.join(lists, "id").select("query_id", "list_id").toPandas()  # k rows a query
+        if not len(found):
+            return 1
+        place = np.argsort(self._nearest(np.array(asked["vector"].to_list(), dtype=np.float64)), axis=1)  # of each list in each query's order
+        row = pd.Series(np.arange(len(asked)), index=asked["query_id"]).groupby(level=0).first()[found["query_id"]].to_numpy()
+        counts = np.zeros(place.shape)
+        np.add.at(counts, (row, place[row, found["list_id"].to_numpy()]), 1)
+        counts = counts[counts.sum(1) > 0]
+        got = np.cumsum(counts, axis=1) / counts.sum(1, keepdims=True)
+        sure = got.mean(0) - (0 if whole else 2 * got.std(0) / len(got) ** 0.5)
+        return int(np.argmax(sure >= min(recall, sure[-1]) - 1e-12)) + 1
+
+    def search(self, queries: DataFrame, corpus: DataFrame, k: int, probes: int | None = None, metric: str = "IP", block: int = 4096) -> DataFrame:
+        """Hits from the ``probes`` nearest lists of each query, compared exactly where they meet.
+
+        Without ``probes`` as many lists are visited as ``probes_for`` finds. A list's rows and queries meet in
+        blocks of about ``block`` rows each, and only ``k`` rows a query and block are shuffled.
+        """
+        if probes is None:
+            probes = self.probes_for(queries, corpus, k, metric)
+        held = cut(self.assign(corpus.where("id is not null").select(F.col("id").cast("bigint").alias("id"), "vector")))
+        asked = cut(self.assign(queries.where("query_id is not null").select(F.col("query_id").cast("bigint").alias("query_id"), "vector"), probes))
+        blocks = held.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+        turns = asked.groupBy("list_id").agg(F.ceil(F.count(F.lit(1)) / block).alias("turns"))
+        sizes = F.broadcast(blocks.join(turns, "list_id"))  # a row a list
+        keys = ["list_id", "block", "turn"]
+        left = held.join(sizes, "list_id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("turn", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("turns") - 1)))
+        right = asked.join(sizes, "list_id").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        met = left.select(*keys, "id", "vector").groupBy(*keys).cogroup(right.select(*keys, "query_id", F.col("vector").alias("asked")).groupBy(*keys))
+        return ranked(met.applyInPandas(_meet(metric, k), "query_id bigint, id bigint, score double"), k, metric)
 
 
 def unit(vector: Column) -> Column:

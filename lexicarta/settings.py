@@ -8,12 +8,12 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class StoreSettings:
-    """How a collection is indexed and searched."""
+    """How a collection is indexed and searched; without ``lists`` and ``probes`` they follow the size and the measured recall."""
 
     metric: str = "IP"
     index: str = "Flat"
-    lists: int = 16
-    probes: int = 4
+    lists: int | None = None
+    probes: int | None = None
     top_k: int = 5
     normalise: bool = True
 

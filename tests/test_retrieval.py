@@ -55,6 +55,21 @@ def test_inverted_file(spark, vectors):
     assert recalls == sorted(recalls)
 
 
+def test_inverted_file_reaches_recall_by_itself(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 24))
+    x[::3] = 2 + 0.2 * rng.normal(size=(500, 24))  # a third in one dense group
+    rows_ = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9000, [1.0])], "id bigint, vector array<float>")
+    q = rows_.where("id % 10 = 0 and id < 9000").select(F.col("id").alias("query_id"), "vector")
+    index = retrieval.InvertedFile.fit(rows_.where("id < 9000"))
+    assert len(index.centres) > 16
+    for metric in retrieval.METRICS:
+        exact = set(rows(retrieval.exact_top_k(q, rows_, 10, metric), "query_id", "id"))
+        got = set(rows(index.search(q, rows_, 10, metric=metric, block=16), "query_id", "id"))
+        assert len(exact & got) >= 0.9 * len(exact)
+    assert index.probes_for(q, rows_, 10, "L2") < len(index.centres)
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = df.select(dot("a", "b"), norm("a"), squared_distance("a", "b"), cosine("a", "b"), normalise(F.col("a"))).collect()
