@@ -36,6 +36,27 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
+def _shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text, the distinct shingles of all, sorted in each text, and how many each has.
+
+    A text of fewer than ``width`` words has one shingle of all its words.
+    """
+    codes, counts = word_codes(texts)
+    h, n = distinct_windows(codes, counts, width)
+    short = np.flatnonzero((counts > 0) & (counts < width))
+    if not len(short):
+        return counts, h, n
+    starts = (np.cumsum(counts) - counts)[short]
+    whole = counts[short].astype(np.uint64)
+    for j in range(width - 1):
+        more = np.flatnonzero(counts[short] > j)
+        whole[more] = mix(whole[more] ^ np.uint64(0x2545F4914F6CDD1D)) + codes[starts[more] + j]
+    owner = np.concatenate([np.repeat(np.arange(len(n)), n), short])
+    h = np.concatenate([h, mix(whole)])[np.argsort(owner, kind="stable")]
+    n[short] = 1
+    return counts, h, n
+
+
 def _survey(width: int, min_words: int):
     """Of each text its class and size; of each task the pieces of its count sketch."""
     schema = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
@@ -43,8 +64,7 @@ def _survey(width: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
         for batch in batches:
-            codes, counts = word_codes(batch.column(2).to_pylist())
-            h, n = distinct_windows(codes, counts, width)
+            counts, h, n = _shingle_sets(batch.column(2).to_pylist(), width)
             keep = (counts >= min_words) & (n > 0)
             owner = np.repeat(np.arange(len(n)), n)
             h, owner = h[keep[owner]], owner[keep[owner]]
@@ -86,8 +106,7 @@ def _short_lists(width: int, min_words: int, threshold: float, occurrences: int,
         seen: set[int] = set()
         length = np.frombuffer(level.value, dtype=np.uint8)
         for batch in batches:
-            codes, counts = word_codes(batch.column(0).to_pylist())
-            h, n = distinct_windows(codes, counts, width)
+            counts, h, n = _shingle_sets(batch.column(0).to_pylist(), width)
             owner = np.repeat(np.arange(len(n)), n)
             cls = np.zeros(len(n), dtype=np.uint64)
             np.add.at(cls, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
@@ -117,8 +136,7 @@ def _arrays(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, counts = word_codes(batch.column(1).to_pylist())
-            h, n = distinct_windows(codes, counts, width)
+            _, h, n = _shingle_sets(batch.column(1).to_pylist(), width)
             ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))], schema=schema)
 
@@ -156,8 +174,8 @@ def similar_classes(
         cls_b, similarity)`` with ``cls_a < cls_b``, of all pairs of different classes whose Jaccard
         similarity is ``threshold`` or more.
 
-    A class is a set of distinct ``width``-word shingles. Rows of a null id, null and empty texts, texts of fewer than
-    ``min_words`` words and texts too short for one shingle take no part. Repeated rows are members
+    A class is a set of distinct ``width``-word shingles; a shorter text has one shingle of all its words. Rows of a null id,
+    null texts, texts without a word and those of fewer than ``min_words`` words take no part. Repeated rows are members
     of one class. Equal 64-bit hashes count as equal shingles.
     """
     spark = texts.sparkSession
@@ -246,15 +264,27 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("cls"), F.col("v").alias("root")).distinct())
 
 
-def groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per text: ``id``, ``group_id`` (least id of its group), ``copies`` in its class and ``links`` of its class."""
+def groups(members: DataFrame, links: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """One row per text: ``id``, ``group_id`` (least id of its group), ``copies`` in its class and ``links`` of its class.
+
+    With ``texts (id, content)`` its rows that aren't among the members come out too: those of equal content but for
+    the blanks around it are one group without links, and each null or blank one is a group by itself.
+    """
     roots = components(links)
     degree = links.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count(F.lit(1)).alias("links"))
     classes = members.groupBy("cls").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
     placed = classes.join(roots, "cls", "left").join(degree, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     named = placed.groupBy("root").agg(F.min("first").alias("group_id"))
-    return (
+    found = (
         members.select("id", "cls")
         .join(placed.join(named, "root").select("cls", "group_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "cls")
         .select("id", "group_id", "copies", "links")
     )
+    if texts is None:
+        return found
+    bare = F.regexp_replace("content", r"^\s+|\s+$", "")
+    other = texts.where("id is not null").select("id", F.when(bare != "", F.xxhash64(bare)).alias("same")).join(members.select("id"), "id", "left_anti")
+    alone = other.where("same is null").select("id", F.col("id").alias("group_id"), F.lit(1).cast("bigint").alias("copies"), F.lit(0).cast("bigint").alias("links"))
+    equal = other.where("same is not null")
+    size = equal.groupBy("same").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("copies"))
+    return found.unionByName(alone).unionByName(equal.join(size, "same").select("id", "group_id", "copies", F.lit(0).cast("bigint").alias("links")))

@@ -28,8 +28,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of chunks at five-word similarity 0.8, one row per chunk."""
-    members, links = near_duplicates.similar_classes(_sections(spark, folder), threshold=0.8, width=5)
-    return near_duplicates.groups(members, links)
+    sections = _sections(spark, folder)
+    members, links = near_duplicates.similar_classes(sections, threshold=0.8, width=5)
+    return near_duplicates.groups(members, links, sections)
 
 
 def _origins(spark: SparkSession, folder: str) -> DataFrame:

@@ -64,6 +64,14 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert got.where("copies = 200").count() == 200 and got.select("group_id").distinct().count() == 401
 
 
+def test_every_id_has_a_group(spark):
+    texts = {1: "Intentionally blank", 2: "intentionally, blank!", 3: "blank intentionally", 4: "one", 5: None, 6: "", 7: None, 8: " * * *", 9: "* * *", 10: "a b c d e", 11: "a b c d", 12: "A B C D"}
+    df = spark.createDataFrame([(i, i, t) for i, t in texts.items()] + [(None, 1, "one")], "id bigint, row_key bigint, content string")
+    members, links = nd.similar_classes(df)
+    got = {r.id: (r.group_id, r.copies, r.links) for r in nd.groups(members, links, df).collect()}
+    assert got == {1: (1, 2, 0), 2: (1, 2, 0), 3: (3, 1, 0), 4: (4, 1, 0), 5: (5, 1, 0), 6: (6, 1, 0), 7: (7, 1, 0), 8: (8, 2, 0), 9: (8, 2, 0), 10: (10, 1, 0), 11: (11, 2, 0), 12: (11, 2, 0)}
+
+
 def test_no_rows(spark):
     members, links = nd.similar_classes(spark.createDataFrame([], "id bigint, row_key bigint, content string"))
     assert members.count() == links.count() == nd.groups(members, links).count() == nd.similar_rows(members, links).count() == 0
