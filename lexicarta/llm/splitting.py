@@ -10,16 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of boundaries, strongest first.
+#: Kinds of boundaries, strongest first. Full-width marks need no white space after them.
 BOUNDARIES = (
     ("paragraph", re.compile(r"\n[ \t\r]*\n\s*")),
-    ("sentence", re.compile(r"(?<=[.!?…。])[\"'»”’)\]]*\s+")),
+    ("sentence", re.compile(r"(?<=[.!?…])[\"'»”’)\]]*\s+|[。！？｡]+[\"'»”’)\]」』）】》〉]*\s*")),
     ("line", re.compile(r"\n+")),
-    ("clause", re.compile(r"(?<=[,;:])\s+")),
+    ("clause", re.compile(r"(?<=[,;:])\s+|[，；：、､]+\s*")),
     ("word", re.compile(r"\s+")),
 )
-#: The share of a piece's step within which a target may move to a boundary.
-REACH = 0.3
+#: The share of a piece's step within which a target may move to a boundary, and the wider shares tried where there is none.
+REACH, WIDER = 0.3, (0.6, 1.0)
 
 SCHEMA = "id bigint, piece int, pieces int, start int, stop int, boundary string, content string"
 
@@ -40,7 +40,8 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     """``(start, stop, boundary)`` of each piece.
 
     The fewest pieces that can hold the text are tried first: their equally spaced targets are moved
-    to the strongest boundary nearby. If a piece then exceeds the limit, one more piece is tried.
+    to the strongest boundary nearby, or where there is none, to one further off that the limit
+    allows. If a piece then exceeds the limit, one more piece is tried. Only a piece that can't reach any boundary ends at ``none``.
     """
     size = len(text)
     limit = max(1, limit)
@@ -53,12 +54,15 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
         pieces, start, stop = [], 0, 0
         for j in range(1, count):
             target = overlap + j * step
-            reach = REACH * step
-            low, high = max(stop + 1, ceil(target - reach)), min(size - 1, int(target + reach))
-            if step < 1.5 or low > high:
-                place, name = max(stop + 1, min(size - 1, int(target))), "none"
-            else:
-                place, name = _snap(text, target, low, high)
+            last = min(size - 1, start + limit)
+            if stop >= last:
+                break
+            for share in (REACH, *WIDER, size):
+                low, high = max(stop + 1, ceil(target - share * step)), min(last, int(target + share * step))
+                if low <= high:
+                    place, name = _snap(text, target, low, high)
+                    if name != "none":
+                        break
             pieces.append((start, place, name))
             start, stop = max(0, place - overlap), place
         pieces.append((start, size, "end"))
@@ -68,11 +72,16 @@ def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
             break
         count += 1
     pieces, stop = [], 0
-    while stop < size:  # a limit of hardly more than the overlap: plain windows
+    while True:  # a limit of hardly more than the overlap, or few boundaries: each piece as far as the limit allows
         start = max(0, stop - overlap)
-        stop = min(size, start + limit)
-        pieces.append((start, stop, "end" if stop == size else "none"))
-    return pieces
+        if size - start <= limit:
+            return [*pieces, (start, size, "end")]
+        low, high = stop + 1, start + limit
+        place, name = _snap(text, high, max(low, high - int(REACH * limit)), high)
+        if name == "none":
+            place, name = _snap(text, high, low, high)
+        pieces.append((start, place, name))
+        stop = place
 
 
 def split_oversized(

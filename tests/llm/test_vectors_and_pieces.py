@@ -67,6 +67,27 @@ def test_pieces_end_at_the_strongest_boundary():
     assert len(cut_points("a " * 100, 101, 0)) == 2  # no more pieces than needed
 
 
+def test_full_width_marks_are_boundaries():
+    text = ("文" * 20 + "，" + "字" * 20 + "。」") * 30
+    pieces = cut_points(text, 300, 20)
+    assert {b for *_, b in pieces[:-1]} == {"sentence"} and all(text[:stop].endswith("。」") for _, stop, _ in pieces[:-1])
+    clauses = cut_points(("文" * 20 + "，") * 30, 300, 20)
+    assert {b for *_, b in clauses[:-1]} == {"clause"}
+
+
+@pytest.mark.parametrize("place", [5, 40, 110, 199])
+def test_a_boundary_far_from_the_target_is_found(place):
+    text = "x" * (place - 1) + " " + "y" * (300 - place)
+    pieces = cut_points(text, 200, 10)
+    assert (place, "word") in [(stop, b) for _, stop, b in pieces]
+    assert all(b - a <= 200 for a, b, _ in pieces)
+
+
+def test_no_piece_ends_inside_a_run_that_could_be_avoided():
+    text = " ".join("w" * 70 for _ in range(20))
+    assert {b for *_, b in cut_points(text, 100, 0)} == {"word", "end"}
+
+
 def test_only_rows_over_the_limit_of_their_kind(spark):
     data = [(1, "a" * 11, "text"), (2, "a" * 10, "text"), (3, "a" * 11, None), (4, None, "text"), (5, "a" * 99, "other"), (6, "a" * 11, "nolimit"), (7, "", "text"), (8, "😀" * 10, "text")]
     df = spark.createDataFrame(data, "id bigint, content string, kind string").withColumn("max_chars", F.lit(1))
