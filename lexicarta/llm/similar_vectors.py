@@ -1,14 +1,15 @@
 """The most similar vectors of every vector: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every vector is
-indexed. A query visits the cells of its nearest centroids, ranks their vectors by asymmetric
-distance tables and compares the best of them exactly.
+indexed. A query visits as many cells of its nearest centroids as the wanted recall takes on a sample. Small
+blocks of a cell are compared exactly as a whole; in large ones asymmetric distance tables tell which vectors can't be
+among the best, and all others are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -25,10 +26,11 @@ from lexicarta.runtime import cut, spread
 class Settings:
     """Parameters of the index.
 
-    ``sample`` bounds the rows that centroids and codebooks are fitted on; ``cell`` is the aimed
-    number of vectors in a cell and ``most_cells`` bounds the centroids; ``probes`` cells are visited
-    by a query; ``rerank`` vectors of each are compared exactly; a cell's vectors and queries meet in
-    blocks of ``block`` rows each.
+    ``sample`` bounds the rows that centroids and codebooks are fitted on, unless 40 rows a cell are more; ``cell`` is the
+    aimed number of vectors in a cell and ``most_cells`` bounds the centroids; at least ``probes`` cells are visited
+    by a query, more until ``recall`` is reached by each third (by similarity) of ``asked`` sampled queries; a cell's
+    vectors and queries meet in blocks of ``block`` rows each. Blocks of up to ``dense`` vectors are compared exactly; of larger
+    ones ``rerank`` vectors first, then all that the error bound of the codes leaves possible.
     """
 
     dimension: int = 64
@@ -37,6 +39,9 @@ class Settings:
     most_cells: int = 4096
     probes: int = 24
     parts: int = 8
+    recall: float = 0.9
+    asked: int = 1536
+    dense: int = 2048
     rerank: int = 96
     block: int = 8192
     seed: int = 7
@@ -46,8 +51,8 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     k = max(1, min(k, len(x)))
     centres = x[rng.choice(len(x), k, replace=False)].copy()
     for _ in range(rounds):
-        score = x @ centres.T - (0 if unit else 0.5 * (centres**2).sum(1))
-        at = score.argmax(1)
+        half = 0 if unit else 0.5 * (centres**2).sum(1)
+        at = np.concatenate([(x[i : i + 8192] @ centres.T - half).argmax(1) for i in range(0, len(x), 8192)])
         counts = np.bincount(at, minlength=k)
         sums = np.zeros_like(centres, dtype=np.float64)
         np.add.at(sums, at, x)
@@ -64,7 +69,7 @@ def fit(x: np.ndarray, cells: int, s: Settings) -> tuple[np.ndarray, np.ndarray]
     """Centroids ``(cells, d)`` and codebooks ``(parts, up to 256, d / parts)`` of unit vectors."""
     rng = np.random.default_rng(s.seed)
     centres = _kmeans(x, cells, 8, rng, True)
-    residual = x - centres[(x @ centres.T).argmax(1)]
+    residual = x - centres[np.concatenate([(x[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(x), 8192)])]
     width = s.dimension // s.parts
     books = [_kmeans(np.ascontiguousarray(residual[:, p * width : (p + 1) * width]), 256, 6, rng, False) for p in range(s.parts)]
     return centres, np.stack(books)
@@ -96,9 +101,57 @@ def _matrix(column, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dimension)
 
 
+def _true_cells(shared, asked, k: int, s: Settings):
+    """Of each sampled query the ``k`` best vectors of each part of a batch and their cells."""
+    schema = pa.schema([("query", pa.int32()), ("cell", pa.int32()), ("similarity", pa.float32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, (own, q) = shared.value[0], asked.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                x = _matrix(part.column(1).to_pylist(), s.dimension)
+                cell = (x @ centres.T).argmax(1)
+                score = q @ x.T
+                score[own[:, None] == part.column(0).to_numpy()[None, :]] = -2
+                few = min(k, len(x))
+                best = np.argpartition(-score, few - 1, axis=1)[:, :few]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.arange(len(q), dtype=np.int32), few)), pa.array(cell[best].ravel().astype(np.int32)), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema
+                )
+
+    return run
+
+
+def probes_for(classes: DataFrame, shared, k: int, s: Settings) -> int:
+    """The fewest cells to visit, by brute force for sampled queries.
+
+    In each third of them by the similarity of their ``k``-th neighbour the mean recall less one standard error reaches ``s.recall``.
+    """
+    drawn = classes.orderBy(F.xxhash64("cls", F.lit(3))).limit(s.asked).toPandas()  # at most s.asked rows
+    q, centres = _matrix(drawn["vector"], s.dimension), shared.value[0]
+    asked = classes.sparkSession.sparkContext.broadcast((drawn["cls"].to_numpy(), q))
+    nearest = Window.partitionBy("query").orderBy(F.desc("similarity"), "cell")
+    met = classes.select("cls", "vector").mapInArrow(_true_cells(shared, asked, k, s), "query int, cell int, similarity float").where("similarity > -2")
+    true = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).toPandas()  # k rows a query
+    if not len(true):
+        return min(s.probes, len(centres))
+    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell in each query's order
+    counts = np.zeros(place.shape, dtype=np.float32)
+    np.add.at(counts, (true["query"].to_numpy(), place[true["query"], true["cell"]]), 1)
+    far = true.groupby("query")["similarity"].min().sort_values(kind="stable").index.to_numpy()
+    probes = min(s.probes, len(centres))
+    for third in np.array_split(far, 3):
+        if len(third):
+            got = np.cumsum(counts[third], axis=1) / counts[third].sum(1, keepdims=True)
+            sure = got.mean(0) - got.std(0) / len(got) ** 0.5
+            probes = max(probes, int(np.argmax(sure >= s.recall)) + 1)
+    return probes
+
+
 def _place(shared, s: Settings):
-    """The nearest cells of each vector, best first, and its residual's codes in the best one."""
-    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cells", pa.list_(pa.int32())), ("codes", pa.binary())])
+    """The nearest cells of each vector, best first, its residual's codes in the best one and the length of their error."""
+    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cells", pa.list_(pa.int32())), ("codes", pa.binary()), ("slack", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, books = shared.value
@@ -110,11 +163,13 @@ def _place(shared, s: Settings):
             near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
             residual = x - centres[near[:, 0]] if len(x) else x
             codes = np.empty((len(x), s.parts), dtype=np.uint8)
+            slack = np.zeros(len(x), dtype=np.float32)
             for p in range(s.parts):
                 part = residual[:, p * width : (p + 1) * width]
                 codes[:, p] = (part @ books[p].T - 0.5 * (books[p] ** 2).sum(1)).argmax(1)
+                slack += ((part - books[p][codes[:, p]]) ** 2).sum(1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probes, dtype=np.int32)), pa.array(near.astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(slack))], schema=schema)
 
     return run
 
@@ -129,24 +184,39 @@ def _search(shared, k: int, s: Settings):
         width = s.dimension // s.parts
         x, ids = _matrix(index["vector"], s.dimension), index["cls"].to_numpy()
         codes = np.frombuffer(b"".join(index["codes"]), dtype=np.uint8).reshape(-1, s.parts)
+        slack = index["slack"].to_numpy()
         centre = centres[key[0]]
         out = []
         step = max(16, min(4_000_000 // len(x), 8_000_000 // (s.rerank * s.dimension)))
         for at in range(0, len(queries), step):
             part = queries.iloc[at : at + step]
             q, own = _matrix(part["asked"], s.dimension), part["own"].to_numpy()
-            score = np.repeat((q @ centre)[:, None], len(x), axis=1)
-            for p in range(s.parts):
-                tables = q[:, p * width : (p + 1) * width] @ books[p].T  # the asymmetric distance table of each query
-                score += np.take(tables, codes[:, p], axis=1)
-            score[own[:, None] == ids[None, :]] = -np.inf
-            best = min(s.rerank, len(x))
-            chosen = np.argpartition(-score, best - 1, axis=1)[:, :best] if best < len(x) else np.tile(np.arange(len(x)), (len(q), 1))
-            close = np.matmul(x[chosen], q[:, :, None])[:, :, 0]
-            close[own[:, None] == ids[chosen]] = -np.inf
-            few = min(2 * k, best)
-            first = np.argpartition(-close, few - 1, axis=1)[:, :few] if few < best else np.tile(np.arange(best), (len(q), 1))
-            chosen = np.take_along_axis(chosen, first, 1)
+            mine = own[:, None] == ids[None, :]
+            few = min(2 * k, len(x))
+            rerank = max(s.rerank, few)
+            if len(x) <= max(s.dense, rerank):
+                close = q @ x.T
+                close[mine] = -np.inf
+                chosen = np.argpartition(-close, few - 1, axis=1)[:, :few]
+            else:
+                score = np.repeat((q @ centre)[:, None], len(x), axis=1)
+                for p in range(s.parts):
+                    tables = q[:, p * width : (p + 1) * width] @ books[p].T  # the asymmetric distance table of each query
+                    score += np.take(tables, codes[:, p], axis=1)
+                score[mine] = -np.inf
+                chosen = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
+                close = np.matmul(x[chosen], q[:, :, None])[:, :, 0]
+                close[own[:, None] == ids[chosen]] = -np.inf
+                first = np.argpartition(-close, few - 1, axis=1)[:, :few]
+                kth = -np.partition(-close, k - 1, axis=1)[:, k - 1]
+                possible = score + slack[None, :] >= kth[:, None] - 1e-4  # the error of a similarity to a unit vector is at most the slack
+                np.put_along_axis(possible, chosen, False, axis=1)
+                chosen = np.take_along_axis(chosen, first, 1)
+                more = np.flatnonzero(possible.any(axis=1))
+                if len(more):
+                    close = q[more] @ x.T
+                    close[mine[more]] = -np.inf
+                    chosen[more] = np.argpartition(-close, few - 1, axis=1)[:, :few]
             exact = np.einsum("qd,qrd->qr", q.astype(np.float64), x[chosen].astype(np.float64))
             exact[own[:, None] == ids[chosen]] = -np.inf
             order = np.lexsort((ids[chosen], -exact), axis=1)[:, :k]
@@ -179,17 +249,18 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     count = classes.count()
     if not count:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
-    drawn = classes.orderBy(F.xxhash64("cls")).limit(s.sample).select("vector").toPandas()  # at most s.sample rows
-    model = fit(_matrix(drawn["vector"], s.dimension), min(s.most_cells, max(1, round(count / s.cell))), s)
-    shared = spark.sparkContext.broadcast(model)
+    cells = min(s.most_cells, max(1, round(count / s.cell)))
+    drawn = classes.orderBy(F.xxhash64("cls")).limit(max(s.sample, 40 * cells)).select("vector").toPandas()  # a bounded number of rows
+    shared = spark.sparkContext.broadcast(fit(_matrix(drawn["vector"], s.dimension), cells, s))
+    s = replace(s, probes=probes_for(classes, shared, k, s))
 
-    placed = cut(classes.mapInArrow(_place(shared, s), "cls bigint, vector binary, cells array<int>, codes binary"))
+    placed = cut(classes.mapInArrow(_place(shared, s), "cls bigint, vector binary, cells array<int>, codes binary, slack float"))
     # one row per cell: how many blocks of vectors and of queries meet in it
     held = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
     asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("turns"))
     sizes = held.join(asked, "cell")  # at most s.most_cells rows
     index = (
-        placed.select(F.col("cells")[0].alias("cell"), "cls", "vector", "codes")
+        placed.select(F.col("cells")[0].alias("cell"), "cls", "vector", "codes", "slack")
         .join(F.broadcast(sizes), "cell")
         .withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
@@ -202,7 +273,7 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     )
     schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("other", T.LongType()), T.StructField("similarity", T.DoubleType())])
     met = (
-        index.select("cell", "block", "turn", "cls", "vector", "codes")
+        index.select("cell", "block", "turn", "cls", "vector", "codes", "slack")
         .groupBy("cell", "block", "turn")
         .cogroup(queries.select("cell", "block", "turn", F.col("cls").alias("own"), F.col("vector").alias("asked")).groupBy("cell", "block", "turn"))
         .applyInPandas(_search(shared, k, s), schema)

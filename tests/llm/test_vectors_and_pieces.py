@@ -29,6 +29,20 @@ def test_recall_against_exact_search(spark):
     assert got.groupBy("id").count().where("count <> 5").count() == 0
 
 
+@pytest.mark.parametrize(("n", "dense", "block"), [(1500, 2048, 8192), (6000, 0, 700)])
+def test_recall_in_a_dense_third(spark, n, dense, block):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 16))
+    x[::3] = rng.normal(size=16) * 4 + 0.5 * rng.normal(size=(len(x[::3]), 16))
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, e array<float>")
+    s = Settings(dimension=16, parts=4, cell=n // 20, probes=2, rerank=16, sample=400, asked=600, dense=dense, block=block)
+    got = set(rows(most_similar(df, F.col("id"), F.col("e"), 5, s), "id", "other"))
+    want, _ = neighbours(x, 5)
+    for part in (range(0, n, 3), range(1, n, 3)):
+        assert sum((i, int(j)) in got for i in part for j in want[i]) >= 0.9 * 5 * len(part)
+
+
 def test_unusable_and_equal_vectors(spark):
     v = [1.0, 0.0, 0.0, 0.0]
     data = [(i, v) for i in range(8)] + [(8, [2.0, 0.0, 0.0, 0.0]), (9, [1.0, 1.0, 0.0, 0.0]), (None, v), (20, None), (21, [0.0] * 4), (22, [1.0]), (23, []), (24, [1.0, None, 0.0, 0.0]), (25, [float("nan")] * 4)]
