@@ -99,3 +99,32 @@ def test_origins(spark):
         "banner.py": [], "x_pb2.py": ["generated"], "vendor/one/one.js": ["vendored"], "vendor_portal/own.js": [], "empty.py": [], "null.py": [],
     }
     assert file_origins(df.where("false"), F.col("code"), F.col("path"), F.col("repo"), F.col("repo")).count() == 0
+
+
+def test_links_behind_a_foreign_hub_are_found(spark):
+    import numpy as np
+
+    from lexicarta.llm import source_origin as so
+
+    # every file shares one scaffold; each second one from 2 on also shares more with the file before it
+    scaffold = [f"S{i}" for i in range(70)]
+    parts = {f: scaffold + [f"P{f // 2 if f > 1 else -1 - f}_{i}" for i in range(10)] + [f"F{f}_{i}" for i in range(18)] for f in range(12)}
+    data = [(f, int(np.int64(hash(g) & 0x7FFFFFFFFFFFFFF))) for f, gs in parts.items() for g in gs]
+    low = {f: [0] * (so.BANDS * so.ROWS) for f in parts}  # all in one bucket of every band
+    files = spark.createDataFrame([(f, *v) for f, v in low.items()], "file bigint, " + ", ".join(f"m{j} bigint" for j in range(so.BANDS * so.ROWS)))
+    chunks = spark.createDataFrame([(f, " ".join(str(h) for g, h in data if g == f), "", "") for f in parts], "file bigint, content string, source_file string, language string")
+
+    def shingles(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows_ = [(f, int(h)) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in t.split()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int64()), pa.array([r[1] for r in rows_], pa.int64())], names=["file", "h"])
+
+    kept, so._shingles = so._shingles, shingles
+    try:
+        for block in (3, 512):
+            got = dict(rows(so.clusters(chunks, files, 0.65, block), "file", "root"))
+            assert got == {f: f // 2 * 2 for f in range(2, 12)}
+    finally:
+        so._shingles = kept
