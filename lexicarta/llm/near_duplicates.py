@@ -143,7 +143,7 @@ def _arrays(width: int):
     return run
 
 
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Binary search of one text's shingles in the other's sorted array."""
     for batch in batches:
         sides = []
@@ -207,7 +207,7 @@ def similar_classes(
         candidates.join(arrays.select(F.col("cls").alias("cls_a"), F.col("shingles").alias("s_a")), "cls_a")
         .join(arrays.select(F.col("cls").alias("cls_b"), F.col("shingles").alias("s_b")), "cls_b")
         .select("cls_a", "cls_b", "s_a", "s_b")
-        .mapInArrow(_probe, "cls_a bigint, cls_b bigint, overlap int, either int")
+        .mapInArrow(probe, "cls_a bigint, cls_b bigint, overlap int, either int")
         .where(F.col("overlap") >= threshold * F.col("either") - 1e-9)
         .select("cls_a", "cls_b", (F.col("overlap") / F.col("either")).alias("similarity"))
     )

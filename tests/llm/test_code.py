@@ -90,41 +90,70 @@ def test_origins(spark):
         ("r4", "r4/empty.py"): "",
         ("r4", "r4/null.py"): None,
     }
-    data = [(r, p, c) for (r, p), c in files.items()] * 2 + [("r9", None, "x")]
+    # units speak by their siblings: another file of each form elsewhere
+    siblings = {
+        ("r3", "r3/other.min.js"): "!function(e,t){" + "".join(f"var c{i % 7}=x[t]|b;d(c,{i + 3});" for i in range(50)) + "}()",
+        ("r6", "r6/rows.py"): "R = [\n" + ", ".join(str(i * 11 % 199) for i in range(300)) + "]\n",
+        ("r5", "r5/made.py"): "# Code generated by another-tool. DO NOT EDIT.\n" + body(8),
+        ("r6", "r6/y_pb2.py"): f"def pb(x):\n{body(9)}\n",
+        ("r5", "r5/external/two/two.js"): "// two v3.4.5\n// (c) the authors, see upstream LICENSE\nfunction b(c, d) {}\n",
+    }
+    unique = "# This module was automatically generated by hand-rolled scripts, and any local changes to it will be lost.\n"
+    data = [(r, p, c) for (r, p), c in (files | siblings).items()] * 2 + [("r9", None, "x"), ("r9", "r9/lone.py", unique + body(10))]
     df = spark.createDataFrame(data, "repo string, path string, code string").withColumn("file", F.lit(1))
     got = file_origins(df, F.col("code"), F.col("path"), F.lit(None).cast("string"), F.col("repo"))
     kinds = {r.source_file.partition("/")[2]: [k for k in ("generated", "minified", "vendored", "blob") if r[k]] for r in got.collect()}
     assert kinds == {
         "src/own.py": [], "lib/copy.py": ["vendored"], "app/renamed.py": ["vendored"], "min.js": ["minified"], "blob.py": ["blob"], "made.go": ["generated"], "free.go": [],
         "banner.py": [], "x_pb2.py": ["generated"], "vendor/one/one.js": ["vendored"], "vendor_portal/own.js": [], "empty.py": [], "null.py": [],
+        "other.min.js": ["minified"], "rows.py": ["blob"], "made.py": ["generated"], "y_pb2.py": ["generated"], "external/two/two.js": ["vendored"], "lone.py": [],
     }
     assert file_origins(df.where("false"), F.col("code"), F.col("path"), F.col("repo"), F.col("repo")).count() == 0
 
 
-def test_links_behind_a_foreign_hub_are_found(spark):
-    import numpy as np
+def test_families_within_a_repository_are_generated(spark):
+    shape = lambda name: f"class {name}:\n" + "".join(f"    def get_{name}_{i}(self):\n        return self.rows[{i}].{name}\n" for i in range(9))
+    data = [("r", f"r/{n}.py", shape(n)) for n in ("alpha", "beta", "gamma")] + [("q", f"q/{n}.py", f"def {n}(x):\n{body(i)}") for i, n in enumerate("xyz")]
+    df = spark.createDataFrame(data, "repo string, path string, code string")
+    got = file_origins(df, F.col("code"), F.col("path"), F.lit(None).cast("string"), F.col("repo"))
+    assert sorted(r.source_file for r in got.where("generated").collect()) == ["r/alpha.py", "r/beta.py", "r/gamma.py"]
+    assert got.where("not hand_written and not generated").count() == 0
+
+
+def _one_bucket(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))], names=["cls", "buckets"])
+
 
+def test_links_behind_a_foreign_hub_are_found(spark, monkeypatch):
     from lexicarta.llm import source_origin as so
+    from lexicarta.llm.near_duplicates import components
 
     # every file shares one scaffold; each second one from 2 on also shares more with the file before it
-    scaffold = [f"S{i}" for i in range(70)]
-    parts = {f: scaffold + [f"P{f // 2 if f > 1 else -1 - f}_{i}" for i in range(10)] + [f"F{f}_{i}" for i in range(18)] for f in range(12)}
-    data = [(f, int(np.int64(hash(g) & 0x7FFFFFFFFFFFFFF))) for f, gs in parts.items() for g in gs]
-    low = {f: [0] * (so.BANDS * so.ROWS) for f in parts}  # all in one bucket of every band
-    files = spark.createDataFrame([(f, *v) for f, v in low.items()], "file bigint, " + ", ".join(f"m{j} bigint" for j in range(so.BANDS * so.ROWS)))
-    chunks = spark.createDataFrame([(f, " ".join(str(h) for g, h in data if g == f), "", "") for f in parts], "file bigint, content string, source_file string, language string")
-
-    def shingles(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows_ = [(f, int(h)) for f, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for h in t.split()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int64()), pa.array([r[1] for r in rows_], pa.int64())], names=["file", "h"])
-
-    kept, so._shingles = so._shingles, shingles
-    try:
-        for block in (3, 512):
-            got = dict(rows(so.clusters(chunks, files, 0.65, block), "file", "root"))
-            assert got == {f: f // 2 * 2 for f in range(2, 12)}
-    finally:
-        so._shingles = kept
+    scaffold = list(range(70))
+    parts = {f: sorted(scaffold + [1000 + 100 * (f // 2 if f > 1 else 50 + f) + i for i in range(10)] + [100_000 + 100 * f + i for i in range(18)]) for f in range(12)}
+    classes = spark.createDataFrame([(f, 0, g) for f, g in parts.items()], "cls bigint, kind int, shingles array<int>")
+    monkeypatch.setattr(so, "_buckets", _one_bucket)
+    for small, turns in ((64, 12), (2, 12), (2, 1)):
+        got = dict(rows(components(so.links(classes, 0.65, small, turns)), "cls", "root"))
+        assert got == {f: f // 2 * 2 for f in range(2, 12)}
+
+
+def test_links_against_brute_force(spark):
+    import numpy as np
+
+    from lexicarta.llm import source_origin as so
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for family in range(60):
+        base = rng.choice(50_000, 120, replace=False) + family * 100_000
+        for _ in range(3):
+            kept = rng.choice(base, int(rng.integers(80, 120)), replace=False)
+            sets.append(sorted({*kept.tolist(), *(rng.choice(50_000, int(rng.integers(0, 30))) + 90_000_000).tolist()}))
+    classes = spark.createDataFrame([(i, 0, g) for i, g in enumerate(sets)], "cls bigint, kind int, shingles array<int>")
+    got = {tuple(sorted(r)) for r in rows(so.links(classes, 0.6), "cls_a", "cls_b")}
+    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len({*sets[i]} & {*sets[j]}) >= 0.6 * len({*sets[i]} | {*sets[j]})}
+    assert got <= true and len(got) >= 0.9 * len(true) > 20
