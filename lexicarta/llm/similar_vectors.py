@@ -1,22 +1,22 @@
 """The most similar vectors of every vector: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every vector is
-indexed. A query visits as many cells of its nearest centroids as the wanted recall takes on a sample. Small
-blocks of a cell are compared exactly as a whole; in large ones asymmetric distance tables tell which vectors can't be
-among the best, and all others are compared exactly.
+indexed. The cells are as many as the square root of the vectors. A vector asks the cells of the centroids nearest to
+it, as many as the wanted recall takes on a sample. Neighbouring cells form groups whose vectors ask together: a vector is sent once to
+each group that asks its cell, not once to each query. A query is compared exactly with its own cell; of all others
+the asymmetric distance tables and their error, as seen in the own cell, leave the vectors that may be among its best, and these are compared exactly.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexicarta.runtime import cut, spread
@@ -26,24 +26,23 @@ from lexicarta.runtime import cut, spread
 class Settings:
     """Parameters of the index.
 
-    ``sample`` bounds the rows that centroids and codebooks are fitted on, unless 40 rows a cell are more; ``cell`` is the
-    aimed number of vectors in a cell and ``most_cells`` bounds the centroids; at least ``probes`` cells are visited
-    by a query, more until ``recall`` is reached by each third (by similarity) of ``asked`` sampled queries; a cell's
-    vectors and queries meet in blocks of ``block`` rows each. Blocks of up to ``dense`` vectors are compared exactly; of larger
-    ones ``rerank`` vectors first, then all that the error bound of the codes leaves possible.
+    ``sample`` bounds the rows that centroids and codebooks are fitted on, unless 30 rows a cell are more; ``cell`` is the
+    aimed number of vectors in a cell, by default the square root of their number; at least ``probes`` cells are asked,
+    more until ``recall`` is reached by each third (by similarity) of about ``asked`` sampled queries. ``parts`` codes of one byte stand
+    for a residual, and ``margin`` times their usual error is allowed for. About ``group`` cells' vectors ask together, and a task compares
+    them with at most about ``block`` vectors.
     """
 
     dimension: int = 64
     sample: int = 24_000
-    cell: int = 512
-    most_cells: int = 4096
-    probes: int = 24
-    parts: int = 8
+    cell: int | None = None
+    probes: int = 8
+    parts: int = 16
     recall: float = 0.9
     asked: int = 1536
-    dense: int = 2048
-    rerank: int = 96
-    block: int = 8192
+    margin: float = 2.5
+    group: int = 48
+    block: int = 262_144
     seed: int = 7
 
 
@@ -65,11 +64,31 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator, unit:
     return centres
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(x), 8192)]) if len(x) else np.empty(0, dtype=np.int64)
+
+
+def _coarse(x: np.ndarray, cells: int, rng: np.random.Generator) -> np.ndarray:
+    """Centroids of unit vectors; many of them are fitted in two levels, each part of the first by itself."""
+    if cells <= 1024:
+        return _kmeans(x, cells, 8, rng, True)
+    at = _nearest(x, _kmeans(x, round(cells**0.5), 8, rng, True))
+    parts = [x[at == c] for c in np.unique(at)]
+    return np.concatenate([_kmeans(part, max(1, round(cells * len(part) / len(x))), 8, rng, True) for part in parts])
+
+
+def _residuals(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths of what is left of vectors without their centroid's direction."""
+    left = x - (x * centre).sum(1, keepdims=True) * centre
+    size = np.linalg.norm(left, axis=1)
+    return left / np.maximum(size, 1e-12)[:, None], size
+
+
 def fit(x: np.ndarray, cells: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids ``(cells, d)`` and codebooks ``(parts, up to 256, d / parts)`` of unit vectors."""
+    """Centroids ``(cells, d)`` of unit vectors and codebooks ``(parts, 256, d / parts)`` of their residuals' directions."""
     rng = np.random.default_rng(s.seed)
-    centres = _kmeans(x, cells, 8, rng, True)
-    residual = x - centres[np.concatenate([(x[i : i + 8192] @ centres.T).argmax(1) for i in range(0, len(x), 8192)])]
+    centres = _coarse(x, cells, rng)
+    residual, _ = _residuals(x, centres[_nearest(x, centres)])
     width = s.dimension // s.parts
     books = [_kmeans(np.ascontiguousarray(residual[:, p * width : (p + 1) * width]), 256, 6, rng, False) for p in range(s.parts)]
     return centres, np.stack(books)
@@ -101,130 +120,220 @@ def _matrix(column, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dimension)
 
 
-def _true_cells(shared, asked, k: int, s: Settings):
-    """Of each sampled query the ``k`` best vectors of each part of a batch and their cells."""
-    schema = pa.schema([("query", pa.int32()), ("cell", pa.int32()), ("similarity", pa.float32())])
+def _survey(centres, asked, k: int, s: Settings):
+    """Of a task's vectors how many are in each cell and the cells of each sampled query's ``k`` best."""
+    schema = pa.schema([("query", pa.int32()), ("cell", pa.int32()), ("similarity", pa.float32()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, (own, q) = shared.value[0], asked.value
+        own, q = asked.value
+        counts = np.zeros(len(centres.value), dtype=np.int64)
+        best, where = np.full((len(q), k), -2, dtype=np.float32), np.zeros((len(q), k), dtype=np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(1).to_pylist(), s.dimension)
-                cell = (x @ centres.T).argmax(1)
+                cell = _nearest(x, centres.value)
+                counts += np.bincount(cell, minlength=len(counts))
                 score = q @ x.T
-                score[own[:, None] == part.column(0).to_numpy()[None, :]] = -2
-                few = min(k, len(x))
-                best = np.argpartition(-score, few - 1, axis=1)[:, :few]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(len(q), dtype=np.int32), few)), pa.array(cell[best].ravel().astype(np.int32)), pa.array(np.take_along_axis(score, best, 1).ravel())], schema=schema
-                )
+                ids = part.column(0).to_numpy()
+                order = np.argsort(ids)
+                mine = order[np.minimum(np.searchsorted(ids, own, sorter=order), len(ids) - 1)]
+                held = np.flatnonzero(ids[mine] == own)
+                score[held, mine[held]] = -2
+                both = np.concatenate([best, score], axis=1)
+                keep = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                where = np.take_along_axis(np.concatenate([where, np.broadcast_to(cell.astype(np.int32), score.shape)], axis=1), keep, 1)
+                best = np.take_along_axis(both, keep, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(np.arange(len(q), dtype=np.int32), k)), pa.array(where.ravel()), pa.array(best.ravel()), pa.nulls(best.size, pa.int64())], schema=schema
+        )
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int32()), pa.array(used.astype(np.int32)), pa.nulls(len(used), pa.float32()), pa.array(counts[used])], schema=schema)
 
     return run
 
 
-def probes_for(classes: DataFrame, shared, k: int, s: Settings) -> int:
-    """The fewest cells to visit, by brute force for sampled queries.
+def _drawn(classes: DataFrame, count: int, wanted: int, seed: int) -> pd.DataFrame:
+    """About ``wanted`` rows, or all of fewer, by a hash of their class."""
+    share = F.lit(min(1 << 20, -(-(wanted << 20) // count)))
+    return classes.where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 20)) < share).orderBy("cls").toPandas()
 
-    In each third of them by the similarity of their ``k``-th neighbour the mean recall less one standard error reaches ``s.recall``.
+
+def survey(classes: DataFrame, count: int, centres, k: int, s: Settings) -> tuple[np.ndarray, int]:
+    """Vectors in each cell, and how many of the cells nearest to it a vector must ask.
+
+    Sampled queries are compared with all vectors. In each third of them by the similarity of their ``k``-th
+    neighbour the mean recall less one standard error reaches ``s.recall``.
     """
-    drawn = classes.orderBy(F.xxhash64("cls", F.lit(3))).limit(s.asked).toPandas()  # at most s.asked rows
-    q, centres = _matrix(drawn["vector"], s.dimension), shared.value[0]
+    drawn = _drawn(classes, count, s.asked, 3)  # about s.asked rows
+    q = _matrix(drawn["vector"], s.dimension)
     asked = classes.sparkSession.sparkContext.broadcast((drawn["cls"].to_numpy(), q))
+    met = cut(classes.select("cls", "vector").mapInArrow(_survey(centres, asked, k, s), "query int, cell int, similarity float, count bigint"))
+    counts = np.zeros(len(centres.value), dtype=np.int64)
+    for row in met.where("query is null").groupBy("cell").agg(F.sum("count").alias("n")).collect():  # a row a cell
+        counts[row["cell"]] = row["n"]
     nearest = Window.partitionBy("query").orderBy(F.desc("similarity"), "cell")
-    met = classes.select("cls", "vector").mapInArrow(_true_cells(shared, asked, k, s), "query int, cell int, similarity float").where("similarity > -2")
-    true = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).toPandas()  # k rows a query
+    true = met.where("similarity > -2").withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).toPandas()  # k rows a query
+    probes = min(s.probes, len(counts))
     if not len(true):
-        return min(s.probes, len(centres))
-    place = np.argsort(np.argsort(-(q @ centres.T), axis=1, kind="stable"), axis=1)  # of each cell in each query's order
-    counts = np.zeros(place.shape, dtype=np.float32)
-    np.add.at(counts, (true["query"].to_numpy(), place[true["query"], true["cell"]]), 1)
+        return counts, probes
+    at = np.empty(len(true), dtype=np.int64)  # the place of each true neighbour's cell in its query's order
+    query, cell = true["query"].to_numpy(), true["cell"].to_numpy()
+    for i in range(0, len(true), 1024):
+        score = q[query[i : i + 1024]] @ centres.value.T
+        at[i : i + 1024] = (score > score[np.arange(len(score)), cell[i : i + 1024]][:, None]).sum(1)
     far = true.groupby("query")["similarity"].min().sort_values(kind="stable").index.to_numpy()
-    probes = min(s.probes, len(centres))
     for third in np.array_split(far, 3):
         if len(third):
-            got = np.cumsum(counts[third], axis=1) / counts[third].sum(1, keepdims=True)
+            mine = np.isin(query, third)
+            got = np.zeros((len(q), len(counts)), dtype=np.float32)
+            np.add.at(got, (query[mine], at[mine]), 1)
+            got = np.cumsum(got[third], axis=1) / got[third].sum(1, keepdims=True)
             sure = got.mean(0) - got.std(0) / len(got) ** 0.5
             probes = max(probes, int(np.argmax(sure >= s.recall)) + 1)
-    return probes
+    return counts, probes
+
+
+def _lists(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The cells that each query asks."""
+    if probes >= len(centres):
+        return np.tile(np.arange(len(centres)), (len(q), 1))
+    return np.argpartition(-(q @ centres.T), probes - 1, axis=1)[:, :probes]
+
+
+def _reach(centres, group: np.ndarray, probes: int, s: Settings):
+    """Which cells the vectors of each group ask: pairs of a task, each once."""
+    schema = pa.schema([("group", pa.int32()), ("cell", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((int(group.max()) + 1, len(group)), dtype=bool)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                x = _matrix(batch.column(0).slice(at, 4096).to_pylist(), s.dimension)
+                met[group[_nearest(x, centres.value)][:, None], _lists(x, centres.value, probes)] = True
+        g, c = np.nonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(c.astype(np.int32))], schema=schema)
+
+    return run
+
+
+def _grouped(centres: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """Neighbouring cells in groups of about ``size`` vectors: parts are halved along their widest direction."""
+    group, found = np.zeros(len(centres), dtype=np.int64), 0
+    parts = [np.arange(len(centres))]
+    while parts:
+        part = parts.pop()
+        if len(part) == 1 or counts[part].sum() <= size:
+            group[part] = found
+            found += 1
+            continue
+        x = centres[part] - centres[part].mean(0)
+        order = part[np.argsort(x @ np.linalg.svd(x, full_matrices=False)[2][0], kind="stable")]
+        half = np.cumsum(counts[order])
+        middle = min(max(1, int(np.searchsorted(half, half[-1] / 2)) + 1), len(order) - 1)
+        parts += [order[middle:], order[:middle]]
+    return group
 
 
 def _place(shared, s: Settings):
-    """The nearest cells of each vector, best first, its residual's codes in the best one and the length of their error."""
-    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cells", pa.list_(pa.int32())), ("codes", pa.binary()), ("slack", pa.float32())])
+    """Of each vector its cell, its part along the centroid, and length and codes of its residual."""
+    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("along", pa.float32()), ("size", pa.float32()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, books = shared.value
-        probes, width = min(s.probes, len(centres)), s.dimension // s.parts
+        centres, books, _ = shared.value
+        width = s.dimension // s.parts
         for batch in batches:
             x = _matrix(batch.column(1).to_pylist(), s.dimension)
-            score = x @ centres.T
-            near = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
-            residual = x - centres[near[:, 0]] if len(x) else x
+            cell = _nearest(x, centres)
+            residual, size = _residuals(x, centres[cell])
             codes = np.empty((len(x), s.parts), dtype=np.uint8)
-            slack = np.zeros(len(x), dtype=np.float32)
+            near = np.empty_like(residual)
             for p in range(s.parts):
                 part = residual[:, p * width : (p + 1) * width]
                 codes[:, p] = (part @ books[p].T - 0.5 * (books[p] ** 2).sum(1)).argmax(1)
-                slack += ((part - books[p][codes[:, p]]) ** 2).sum(1)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, probes, dtype=np.int32)), pa.array(near.astype(np.int32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.sqrt(slack))], schema=schema)
+                near[:, p * width : (p + 1) * width] = books[p][codes[:, p]]
+            along = ((x - size[:, None] * near) * centres[cell]).sum(1)  # the codes' own part along the centroid is made up for
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(along.astype(np.float32)), pa.array(size.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], schema=schema
+            )
 
     return run
 
 
+_FOUND = pa.schema([("cls", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+
+
 def _search(shared, k: int, s: Settings):
-    """Of each query of a block the ``k`` best vectors of the block, by exact similarity."""
+    """Of each query of a group the ``k`` best vectors among those of its cells that the task holds."""
 
-    def run(key: tuple, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(queries):
-            return pd.DataFrame({"cls": pd.Series(dtype="int64"), "other": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        centres, books = shared.value
+    def run(table: pa.Table) -> pa.Table:
+        centres, books, probes = shared.value
         width = s.dimension // s.parts
-        x, ids = _matrix(index["vector"], s.dimension), index["cls"].to_numpy()
-        codes = np.frombuffer(b"".join(index["codes"]), dtype=np.uint8).reshape(-1, s.parts)
-        slack = index["slack"].to_numpy()
-        centre = centres[key[0]]
-        out = []
-        step = max(16, min(4_000_000 // len(x), 8_000_000 // (s.rerank * s.dimension)))
-        for at in range(0, len(queries), step):
-            part = queries.iloc[at : at + step]
-            q, own = _matrix(part["asked"], s.dimension), part["own"].to_numpy()
-            mine = own[:, None] == ids[None, :]
-            few = min(2 * k, len(x))
-            rerank = max(s.rerank, few)
-            if len(x) <= max(s.dense, rerank):
-                close = q @ x.T
-                close[mine] = -np.inf
-                chosen = np.argpartition(-close, few - 1, axis=1)[:, :few]
-            else:
-                score = np.repeat((q @ centre)[:, None], len(x), axis=1)
-                for p in range(s.parts):
-                    tables = q[:, p * width : (p + 1) * width] @ books[p].T  # the asymmetric distance table of each query
-                    score += np.take(tables, codes[:, p], axis=1)
-                score[mine] = -np.inf
-                chosen = np.argpartition(-score, rerank - 1, axis=1)[:, :rerank]
-                close = np.matmul(x[chosen], q[:, :, None])[:, :, 0]
-                close[own[:, None] == ids[chosen]] = -np.inf
-                first = np.argpartition(-close, few - 1, axis=1)[:, :few]
-                kth = -np.partition(-close, k - 1, axis=1)[:, k - 1]
-                possible = score + slack[None, :] >= kth[:, None] - 1e-4  # the error of a similarity to a unit vector is at most the slack
-                np.put_along_axis(possible, chosen, False, axis=1)
-                chosen = np.take_along_axis(chosen, first, 1)
-                more = np.flatnonzero(possible.any(axis=1))
-                if len(more):
-                    close = q[more] @ x.T
-                    close[mine[more]] = -np.inf
-                    chosen[more] = np.argpartition(-close, few - 1, axis=1)[:, :few]
-            exact = np.einsum("qd,qrd->qr", q.astype(np.float64), x[chosen].astype(np.float64))
-            exact[own[:, None] == ids[chosen]] = -np.inf
-            order = np.lexsort((ids[chosen], -exact), axis=1)[:, :k]
-            similarity = np.take_along_axis(exact, order, 1)
-            real = np.isfinite(similarity)
-            rows = np.repeat(own[:, None], order.shape[1], axis=1)
-            out.append(pd.DataFrame({"cls": rows[real], "other": ids[np.take_along_axis(chosen, order, 1)][real], "similarity": similarity[real]}))
-        return pd.concat(out)
+        table = table.take(pa.array(np.argsort(table.column("cell").to_numpy(), kind="stable")))
+        cell, ids = table.column("cell").to_numpy(), table.column("cls").to_numpy()
+        ask, held = table.column("ask").to_numpy(), table.column("held").to_numpy()
+        along, size = table.column("along").to_numpy(), table.column("size").to_numpy()
+        x = _matrix(table.column("vector").to_pylist(), s.dimension)
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, s.parts)
+        names, starts = np.unique(cell, return_index=True)
+        rows = {int(c): np.arange(a, b)[held[a:b]] for c, a, b in zip(names, starts, [*starts[1:], len(cell)])}
+        asking = np.flatnonzero(ask)
+        lists = _lists(x[asking], centres, probes)
+        kth, usual = np.full(len(cell), -np.inf), np.zeros(len(centres))
+        found = []
+
+        def tables_of(q: np.ndarray) -> list[np.ndarray]:
+            return [books[p] @ q[:, p * width : (p + 1) * width].T for p in range(s.parts)]
+
+        def similar(at: np.ndarray, tables: list[np.ndarray], q: np.ndarray, centre: np.ndarray) -> np.ndarray:
+            score = tables[0][codes[at, 0]]
+            for p in range(1, s.parts):
+                score += tables[p][codes[at, p]]
+            score *= size[at, None]
+            return score + along[at, None] * (q @ centre)
+
+        # the own cell exactly, which also shows the tables' usual error for a residual of length one
+        for home in np.unique(cell[asking]).tolist():
+            of_home, near = asking[cell[asking] == home], rows[home]
+            few = min(k, len(near))
+            errors = []
+            for i in range(0, len(of_home) if few else 0, 512):
+                mine = of_home[i : i + 512]
+                q = x[mine]
+                close = x[near] @ q.T
+                sized = size[near] > 1e-6
+                if sized.any():
+                    errors.append((((close - similar(near, tables_of(q), q, centres[home]))[sized] / size[near[sized], None]) ** 2).mean())
+                close[near[:, None] == mine[None, :]] = -np.inf
+                first = np.argpartition(-close, few - 1, axis=0)[:few]
+                if few == k:
+                    kth[mine] = np.take_along_axis(close, first, 0).min(0)
+                found.append((np.tile(mine, few), near[first].ravel()))
+            usual[home] = np.mean(errors) ** 0.5 if errors else 0.0
+        bound = kth - 1e-5
+        allowed = s.margin * usual[cell]
+        for c, at in rows.items():
+            if not len(at):
+                continue
+            askers = asking[(lists == c).any(axis=1) & (cell[asking] != c)]
+            for i in range(0, len(askers), 512):
+                mine = askers[i : i + 512]
+                q = x[mine]
+                score = similar(at, tables_of(q), q, centres[c])
+                u, v = np.nonzero(score >= bound[mine] - size[at, None] * allowed[mine])
+                found.append((mine[v], at[u]))
+        if not found:
+            return _FOUND.empty_table()
+        v, u = (np.concatenate(f) for f in zip(*found))
+        exact = np.empty(len(v))
+        for i in range(0, len(v), 65536):
+            exact[i : i + 65536] = np.einsum("ij,ij->i", x[v[i : i + 65536]].astype(np.float64), x[u[i : i + 65536]].astype(np.float64))
+        keep = (u != v) & (exact >= bound[v])
+        v, u, exact = v[keep], u[keep], exact[keep]
+        order = np.lexsort((ids[u], -exact, v))
+        v, u, exact = v[order], u[order], exact[order]
+        best = np.arange(len(v)) - np.searchsorted(v, v) < k
+        return pa.table([pa.array(ids[v[best]]), pa.array(ids[u[best]]), pa.array(exact[best])], schema=_FOUND)
 
     return run
 
@@ -240,46 +349,53 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     s = settings or Settings()
     spark = df.sparkSession
     rows = df.select(row_id.cast("bigint").alias("id"), embedding.cast("array<float>").alias("e")).where((F.size("e") == s.dimension) & F.col("id").isNotNull())
-    units = cut(spread(rows).mapInArrow(_unit_vectors(s.dimension), "id bigint, cls bigint, vector binary"))
+    units = spread(rows).mapInArrow(_unit_vectors(s.dimension), "id bigint, cls bigint, vector binary")
+    members = cut(units.select("id", "cls"))
     ranked = Window.partitionBy("cls").orderBy("id")
-    members = units.select("id", "cls")
     least = members.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
-    first = least.where("n = 1").select("id", "cls")
-    classes = cut(units.join(first, ["id", "cls"]).select("cls", "vector"))
+    classes = cut(units.select("cls", "vector").dropDuplicates(["cls"]))
     count = classes.count()
     if not count:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
-    cells = min(s.most_cells, max(1, round(count / s.cell)))
-    drawn = classes.orderBy(F.xxhash64("cls")).limit(max(s.sample, 40 * cells)).select("vector").toPandas()  # a bounded number of rows
-    shared = spark.sparkContext.broadcast(fit(_matrix(drawn["vector"], s.dimension), cells, s))
-    s = replace(s, probes=probes_for(classes, shared, k, s))
-
-    placed = cut(classes.mapInArrow(_place(shared, s), "cls bigint, vector binary, cells array<int>, codes binary, slack float"))
-    # one row per cell: how many blocks of vectors and of queries meet in it
-    held = placed.groupBy(F.col("cells")[0].alias("cell")).agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("blocks"))
-    asked = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / s.block).cast("int").alias("turns"))
-    sizes = held.join(asked, "cell")  # at most s.most_cells rows
-    index = (
-        placed.select(F.col("cells")[0].alias("cell"), "cls", "vector", "codes", "slack")
-        .join(F.broadcast(sizes), "cell")
-        .withColumn("block", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int"))
+    cells = max(1, round(count / s.cell if s.cell else count**0.5))
+    drawn = _drawn(classes, count, max(s.sample, 30 * cells), 0)  # a bounded number of rows
+    centres, books = fit(_matrix(drawn["vector"], s.dimension), cells, s)
+    coarse = spark.sparkContext.broadcast(centres)
+    counts, probes = survey(classes, count, coarse, k, s)
+    shared = spark.sparkContext.broadcast((centres, books, probes))
+
+    # which groups ask a cell, and in how many turns of askers and blocks of vectors: the index's size, whatever its vectors
+    size = max(1, round(s.group * count / len(counts)))
+    group = _grouped(centres, counts, size)
+    reach = classes.select("vector").mapInArrow(_reach(coarse, group, probes, s), "group int, cell int").distinct().toPandas()
+    routes, tasks = [], 0
+    for g, cells_of in reach.groupby("group")["cell"]:
+        cells_of = np.union1d(cells_of.to_numpy(), np.flatnonzero(group == g))
+        turns, blocks = -(-int(counts[group == g].sum()) // (2 * size)) or 1, -(-int(counts[cells_of].sum()) // s.block) or 1
+        tasks += turns * blocks
+        routes += [(int(c), int(g), bool(group[c] == g), turns, blocks) for c in cells_of]
+    asked = spark.createDataFrame(pd.DataFrame(routes, columns=["cell", "group", "home", "turns", "blocks"]), "cell int, group int, home boolean, turns int, blocks int")
+    placed = classes.mapInArrow(_place(shared, s), "cls bigint, vector binary, cell int, along float, size float, codes binary")
+    own = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("turns")).cast("int")
+    kept = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
+    sent = (
+        placed.join(F.broadcast(asked), "cell")
+        .withColumn("own", own)
+        .withColumn("kept", kept)
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    )
-    queries = (
-        placed.select(F.explode("cells").alias("cell"), "cls", "vector")
-        .join(F.broadcast(sizes), "cell")
-        .withColumn("turn", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("turns")).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("ask", F.col("home") & (F.col("turn") == F.col("own")))
+        .withColumn("held", F.col("block") == F.col("kept"))
+        .where("ask or held")
     )
-    schema = T.StructType([T.StructField("cls", T.LongType()), T.StructField("other", T.LongType()), T.StructField("similarity", T.DoubleType())])
     met = (
-        index.select("cell", "block", "turn", "cls", "vector", "codes", "slack")
-        .groupBy("cell", "block", "turn")
-        .cogroup(queries.select("cell", "block", "turn", F.col("cls").alias("own"), F.col("vector").alias("asked")).groupBy("cell", "block", "turn"))
-        .applyInPandas(_search(shared, k, s), schema)
+        sent.select("group", "turn", "block", "cell", "cls", "vector", "along", "size", "codes", "ask", "held")
+        .repartition(8 * tasks, "group", "turn", "block")  # few keys, so that hardly two share a task
+        .groupBy("group", "turn", "block")
+        .applyInArrow(_search(shared, k, s), "cls bigint, other bigint, similarity double")
     )
     nearest = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
-    top = met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
+    top = met if all(r[4] == 1 for r in routes) else met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
 
     # from classes to rows: a row's own copies, then the members of the classes found
     copies = members.join(least.select("cls", F.col("id").alias("other")), "cls").where("id <> other").select("id", "other", F.lit(1.0).alias("similarity"))

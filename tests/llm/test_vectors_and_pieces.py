@@ -21,7 +21,7 @@ def test_recall_against_exact_search(spark):
     centres = rng.normal(size=(30, 16))
     x = (centres[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 16))).astype(np.float32).astype(np.float64)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, e array<float>")
-    s = Settings(dimension=16, parts=4, cell=40, probes=8, rerank=32, sample=500, block=64)
+    s = Settings(dimension=16, parts=4, cell=40, probes=8, sample=500, group=4, block=200)
     got = most_similar(df, F.col("id"), F.col("e"), 5, s)
     want, _ = neighbours(x, 5)
     exact = {(i, int(j)) for i, r in enumerate(want) for j in r}
@@ -29,14 +29,14 @@ def test_recall_against_exact_search(spark):
     assert got.groupBy("id").count().where("count <> 5").count() == 0
 
 
-@pytest.mark.parametrize(("n", "dense", "block"), [(1500, 2048, 8192), (6000, 0, 700)])
-def test_recall_in_a_dense_third(spark, n, dense, block):
+@pytest.mark.parametrize(("n", "group", "block"), [(1500, 48, 8192), (6000, 3, 700)])
+def test_recall_in_a_dense_third(spark, n, group, block):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(n, 16))
     x[::3] = rng.normal(size=16) * 4 + 0.5 * rng.normal(size=(len(x[::3]), 16))
     x = x.astype(np.float32).astype(np.float64)
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, e array<float>")
-    s = Settings(dimension=16, parts=4, cell=n // 20, probes=2, rerank=16, sample=400, asked=600, dense=dense, block=block)
+    s = Settings(dimension=16, parts=4, cell=n // 20, probes=2, sample=400, asked=600, group=group, block=block)
     got = set(rows(most_similar(df, F.col("id"), F.col("e"), 5, s), "id", "other"))
     want, _ = neighbours(x, 5)
     for part in (range(0, n, 3), range(1, n, 3)):
@@ -57,6 +57,22 @@ def test_unusable_and_equal_vectors(spark):
     assert most_similar(df.where("id > 19"), F.col("id"), F.col("e"), 5, Settings(dimension=4, parts=2)).count() == 0
 
 
+def test_many_cells_are_fitted_in_two_levels_and_grouped():
+    from lexicarta.llm.similar_vectors import _coarse, _grouped
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 8)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = _coarse(x, 1500, rng)
+    assert 1300 < len(centres) < 1700 and np.allclose(np.linalg.norm(centres, axis=1), 1, atol=1e-3)
+    counts = rng.integers(0, 9, len(centres))
+    counts[7] = 5000  # a hot cell is a group with few others
+    group = _grouped(centres, counts, 400)
+    sums = np.bincount(group, counts)
+    assert sorted(np.unique(group)) == list(range(group.max() + 1))
+    assert all(n <= 400 or (group == g).sum() == 1 for g, n in enumerate(sums)) and len(sums) < 60
+
+
 TEXT = st.lists(st.sampled_from(["word", "longerword", ". ", ", ", "\n", "\n\n", " ", "x" * 30, "é", "😀"]), min_size=0, max_size=200).map("".join)
 
 
