@@ -149,7 +149,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
-    return text_quality.quality(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"))
+    return text_quality.quality(table(spark, folder, "documents"), F.col("doc_id"), F.col("text"), table(spark, folder, "common_words"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -102,9 +102,18 @@ TEXTS = [
 ]
 
 
+WORDS = {
+    "en": "the of and to in a is that for with on by this be are it was were while how again over".split(),
+    "de": "der die das und in zu den ist von mit des im nach weil während nicht".split(),
+}
+FOLLOWERS = [("en", w, 100, 1, 0) for w in ("the", "a")] + [("en", w, 100, 60, 0) for w in ("of", "and", "to", "in")] + [("en", "", 0, 0, 1500)]
+FOLLOWERS += [("de", w, 100, 0, 0) for w in ("der", "die", "das")] + [("de", w, 100, 50, 0) for w in ("und", "in")] + [("de", "", 0, 0, 1500)]
+START = text_quality.Profiles.start(WORDS, FOLLOWERS)
+
+
 @pytest.mark.parametrize(("text", "kind"), TEXTS)
 def test_profiles(text, kind):
-    found = text_quality.assess([text])
+    found = text_quality.assess([text], START)
     assert (found["prose_share"][0] >= 0.5) == (kind == "prose")
     if kind != "other":
         assert text_quality.KINDS[found["kind"][0]] == kind
@@ -112,12 +121,47 @@ def test_profiles(text, kind):
 
 def test_mixed_text_is_measured_by_its_parts():
     rows_ = "\n".join(f"{i},{i * 7},valve,{i * 3}" for i in range(60))
-    found = text_quality.assess([PROSE * 3 + "\n\n" + rows_])
+    found = text_quality.assess([PROSE * 3 + "\n\n" + rows_], START)
     assert 0.1 < found["prose_share"][0] < 0.5
 
 
 def test_quality_figures(spark):
     df = spark.createDataFrame([(1, "One two. Three!\nfour"), (2, None), (3, " \n "), (4, "x" * 200_000)], "doc_id bigint, text string").withColumn("kind", F.lit("x"))
-    got = {r.doc_id: r for r in text_quality.quality(df, F.col("doc_id"), F.col("text")).collect()}
+    words = spark.createDataFrame([("en", "two"), ("en", None), (None, "x")], "lang string, word string")
+    got = {r.doc_id: r for r in text_quality.quality(df, F.col("doc_id"), F.col("text"), words).collect()}
+    assert got[1].common_words == 0.25
+    assert text_quality.quality(df.where("false"), F.col("doc_id"), F.col("text"), words.where("false")).count() == 0
     assert (got[1].n_words, got[1].ended_lines) == (4, 0.5) and got[1].mean_word_length == pytest.approx(3.75)
     assert got[2].kind is None and got[3].kind is None and got[3].n_words == 0 and got[4].n_words == 1
+
+
+def test_profiles_are_learned_from_the_documents(spark):
+    import random
+
+    rng = random.Random(2)
+    nouns = [f"{a}{b}" for a in ("pum", "val", "met", "cre", "pla") for b in ("po", "vi", "ter", "lan", "mo", "ga")]
+
+    def sentence():
+        return f"The {rng.choice(nouns)} of the {rng.choice(nouns)} {rng.choice(nouns)}s a {rng.choice(nouns)} and the {rng.choice(nouns)} to the {rng.choice(nouns)}. "
+
+    def salad():
+        return " ".join(rng.choice(nouns) for _ in range(60))
+
+    def shuffled():
+        words = "".join(sentence() for _ in range(5)).split()
+        rng.shuffle(words)
+        return " ".join(words)
+
+    def rows_():
+        return "\n".join(f"{rng.choice(nouns)},{rng.randrange(99)},{rng.choice(nouns)},{rng.randrange(99)}" for _ in range(12))
+
+    made = [("prose", lambda: "".join(sentence() for _ in range(5)))] * 7 + [("no", salad), ("no", shuffled), ("no", rows_)]
+    data = [(i, *(lambda k, f: (k, f()))(*rng.choice(made))) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id bigint, truth string, text string")
+    words = spark.createDataFrame([("en", w) for w in ("the", "a", "of", "and", "to", "in")] + [("fr", w) for w in ("le", "la", "de")], "lang string, word string")
+    p = text_quality.learn(df.where("doc_id < 300"), F.col("text"), words)
+    assert p.determiners[p.languages.index("en")] >= {"the", "a"}
+    held = df.where("doc_id >= 300")
+    got = text_quality.quality(held, F.col("doc_id"), F.col("text"), words, p).join(held, "doc_id").select("truth", (F.col("prose_share") >= 0.5).alias("prose")).collect()
+    right = sum((r.truth == "prose") == r.prose for r in got)
+    assert right >= 0.95 * len(got) == 0.95 * 300
