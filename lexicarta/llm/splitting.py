@@ -1,4 +1,4 @@
-"""Oversized texts cut into pieces at natural boundaries, by balanced targets."""
+"""Oversized texts cut into pieces at natural boundaries, by balanced targets. The work is in proportion to the text."""
 
 from __future__ import annotations
 
@@ -39,49 +39,31 @@ def _snap(text: str, target: float, low: int, high: int) -> tuple[int, str]:
 def cut_points(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """``(start, stop, boundary)`` of each piece.
 
-    The fewest pieces that can hold the text are tried first: their equally spaced targets are moved
-    to the strongest boundary nearby, or where there is none, to one further off that the limit
-    allows. If a piece then exceeds the limit, one more piece is tried. Only a piece that can't reach any boundary ends at ``none``.
+    The rest of the text is planned as the fewest pieces that can hold it, with equally spaced targets. The next target is moved to the
+    strongest boundary nearby, or where there is none, to one further off that the limit allows; only a piece that can't reach any boundary
+    ends at ``none``. Where a cut leaves more than the planned pieces can hold, the rest is planned with one more, so that
+    what lies before isn't looked at again.
     """
     size = len(text)
     limit = max(1, limit)
     overlap = max(0, min(overlap, limit - 1))
-    if size <= limit:
-        return [(0, size, "end")]
-    count = ceil((size - overlap) / (limit - overlap))
-    while True:
-        step = (size - overlap) / count
-        pieces, start, stop = [], 0, 0
-        for j in range(1, count):
-            target = overlap + j * step
-            last = min(size - 1, start + limit)
-            if stop >= last:
-                break
-            for share in (REACH, *WIDER, size):
-                low, high = max(stop + 1, ceil(target - share * step)), min(last, int(target + share * step))
-                if low <= high:
-                    place, name = _snap(text, target, low, high)
-                    if name != "none":
-                        break
-            pieces.append((start, place, name))
-            start, stop = max(0, place - overlap), place
-        pieces.append((start, size, "end"))
-        if all(b - a <= limit for a, b, _ in pieces):
-            return pieces
-        if step < 1.5:
-            break
-        count += 1
-    pieces, stop = [], 0
-    while True:  # a limit of hardly more than the overlap, or few boundaries: each piece as far as the limit allows
-        start = max(0, stop - overlap)
-        if size - start <= limit:
-            return [*pieces, (start, size, "end")]
-        low, high = stop + 1, start + limit
-        place, name = _snap(text, high, max(low, high - int(REACH * limit)), high)
-        if name == "none":
-            place, name = _snap(text, high, low, high)
+    pieces, start, stop = [], 0, 0
+    while size - start > limit:
+        count = ceil((size - start - overlap) / (limit - overlap))
+        step = (size - start - overlap) / count
+        target = start + overlap + step
+        last = min(size - 1, start + limit)
+        for share in (REACH, *WIDER, size):
+            low, high = max(stop + 1, ceil(target - share * step)), min(last, int(target + share * step))
+            if low <= high:
+                place, name = _snap(text, target, low, high)
+                if name != "none":
+                    break
+        else:
+            place, name = min(max(round(target), stop + 1), last), "none"
         pieces.append((start, place, name))
-        stop = place
+        start, stop = max(0, place - overlap), place
+    return [*pieces, (start, size, "end")]
 
 
 def split_oversized(
