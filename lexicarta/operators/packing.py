@@ -2,43 +2,49 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_STATE = "struct<done:array<array<string>>,cur:array<string>,n:int>"
+from lexicarta.functions.text import let
 
 
-def _start() -> Column:
-    return F.from_json(F.lit('{"done":[],"cur":[],"n":0}'), _STATE)
+def _grouped(parts: Column, most: int, after: bool) -> Column:
+    """Parts in groups. Only lengths go to Python, in Arrow batches, and only the groups' first places come back."""
+
+    @F.pandas_udf("array<int>")
+    def starts(lengths: pd.Series) -> pd.Series:
+        found = []
+        for sizes in lengths:
+            if sizes is None:
+                found.append(None)
+                continue
+            firsts, n, closed = [], 0, True
+            for i, size in enumerate(sizes.tolist(), 1):
+                if closed or not after and n + size > most:
+                    firsts.append(i)
+                    n, closed = 0, False
+                n += size
+                closed = after and n >= most
+            found.append(firsts)
+        return pd.Series(found)
+
+    lengths = F.transform(parts, lambda p: F.coalesce(F.length(p), F.lit(0)) + (1 if after else 0))
+    return let(starts(lengths), lambda firsts: F.transform(firsts, lambda s, i: F.slice(parts, s, F.coalesce(F.get(firsts, i + 1), F.size(parts) + 1) - s)))
 
 
 def paragraph_groups(parts: Column, most: int) -> Column:
     """Paragraphs packed in order: a group is closed before the paragraph that would take it past ``most``.
 
     Lengths don't count the separators, so a joined group can exceed ``most``; a longer paragraph
-    stands alone.
+    stands alone. Nulls count as empty.
     """
-
-    def step(a: Column, p: Column) -> Column:
-        full = (a["n"] + F.length(p) > most) & (F.size(a["cur"]) > 0)
-        return F.when(
-            full, F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), F.array(p).alias("cur"), F.length(p).alias("n"))
-        ).otherwise(F.struct(a["done"].alias("done"), F.concat(a["cur"], F.array(p)).alias("cur"), (a["n"] + F.length(p)).alias("n")))
-
-    return F.aggregate(parts, _start(), step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+    return _grouped(parts, most, False)
 
 
 def line_groups(parts: Column, most: int) -> Column:
-    """Lines packed in order: a group is closed after the line, with its line end, that takes it to ``most``."""
-
-    def step(a: Column, line: Column) -> Column:
-        size = a["n"] + F.length(line) + 1
-        cur = F.concat(a["cur"], F.array(line))
-        return F.when(
-            size >= most, F.struct(F.concat(a["done"], F.array(cur)).alias("done"), F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"))
-        ).otherwise(F.struct(a["done"].alias("done"), cur.alias("cur"), size.alias("n")))
-
-    return F.aggregate(parts, _start(), step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+    """Lines packed in order: a group is closed after the line, with its line end, that takes it to ``most``. Nulls count as empty."""
+    return _grouped(parts, most, True)
 
 
 def pack_paragraphs(df: DataFrame, key: Column, parts: Column, most: int = 1000) -> DataFrame:

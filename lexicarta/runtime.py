@@ -11,12 +11,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for reliable checkpoints.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made.
+    on one machine (a local master) a temporary folder is made. Elsewhere it's an error to have none.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return sc._jsc.sc().getCheckpointDir().get()
+    if not named and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = named or tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexicarta.functions.vectors import normalise
+from lexicarta.runtime import cut
 
 #: Columns every collection begins with.
 BASE = {"id": "bigint", "vector": "array<float>", "content": "string", "preview": "string"}
@@ -34,19 +35,20 @@ def shaped(df: DataFrame, first_id: int = 0, unit: bool = True) -> DataFrame:
     """Rows of a collection: ids from ``first_id`` in the order of ``source_file, chunk_id, content``.
 
     Numbers are given per range of the sort, so that no task sees all rows: a row's id is the rows in
-    the ranges before plus its place in its own. Nested columns become JSON text. Null vectors are kept.
+    the ranges before plus its place in its own. The sorted ranges are written once, and counted and numbered from
+    there, so that both see the same ranges. Nested columns become JSON text. Null vectors are kept.
     """
     order = [c for c in ("source_file", "chunk_id", "content") if c in df.columns]
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    marked = ranged.withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = marked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row per partition
-    starts, total = {}, first_id
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df)
+    marked = ranged.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_m", 33))
+    sizes = marked.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()  # one row per range
+    starts, total = [], first_id
     for row in sizes:
-        starts[row["_part"]] = total
+        starts.append((row["_part"], total))
         total += row["n"]
-    lookup = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]) if starts else F.lit(None).cast("map<bigint,bigint>")
-    numbered = marked.withColumn("id", (F.element_at(lookup, part) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("bigint")).drop("_m")
+    lookup = df.sparkSession.createDataFrame(starts, "_part bigint, _start bigint")
+    place = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = marked.join(F.broadcast(lookup), "_part").withColumn("id", F.col("_start") + place).drop("_m", "_part", "_start")
     if unit:
         numbered = numbered.withColumn("vector", normalise(F.col("vector")).cast("array<float>"))
     if "preview" not in numbered.columns:
@@ -62,22 +64,57 @@ class Collection:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def exists(self) -> bool:
-        """Has anything been ingested?"""
+    def _place(self, *below: str):
+        """A path in the collection's file system, and that system."""
         jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+        place = jvm.org.apache.hadoop.fs.Path("/".join([self.path.rstrip("/"), *below]))
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def exists(self) -> bool:
+        """Has anything been ingested? A folder of notes only holds nothing."""
+        place, files = self._place()
+        return files.exists(place) and any(not s.getPath().getName().startswith(("_", ".")) for s in files.listStatus(place))
 
     def read(self) -> DataFrame:
         """All rows."""
         return self.spark.read.parquet(self.path)
 
+    def _next_id(self) -> int:
+        return self.read().agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0] if self.exists() else 0
+
     def ingest(self, df: DataFrame, replace: bool = False, unit: bool = True) -> int:
-        """Write rows and return how many there are now. Appended rows continue the ids."""
-        append = not replace and self.exists()
-        first = (self.read().agg(F.coalesce(F.max("id"), F.lit(-1)) + 1).first()[0]) if append else 0
-        shaped(df, first, unit).write.mode("append" if append else "overwrite").parquet(self.path)
-        return self.read().count()
+        """Write rows and return how many there are now. Appended rows continue the ids.
+
+        One writer at a time: two at once would give the same ids.
+        """
+        first = 0 if replace else self._next_id()
+        before = self.read().count() if first else 0
+        rows = shaped(df, first, unit)
+        rows.write.mode("overwrite" if replace or not self.exists() else "append").parquet(self.path)
+        found = self.read().agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last")).first()
+        if found["n"] and found["last"] - first + 1 != found["n"] - before:
+            raise RuntimeError(f"{self.path}: {found['n'] - before} rows were added under {found['last'] - first + 1} ids")
+        return found["n"]
+
+    def ingest_once(self, df: DataFrame, name: str, unit: bool = True) -> int:
+        """``ingest`` of a batch that may come again: one of a known ``name`` is written only if it isn't there yet.
+
+        Before a batch is written its first id is noted below ``_batches``, which readers don't see. As there is one
+        writer, rows from that id on are this batch's.
+        """
+        place, files = self._place("_batches")
+        noted = {s.getPath().getName() for s in files.listStatus(place)} if files.exists(place) else set()
+        firsts = [int(n.rpartition(".first-")[2]) for n in noted if n.startswith(f"{name}.first-")]
+        if f"{name}.done" in noted:
+            return self.read().count()
+        if not firsts:
+            note, _ = self._place("_batches", f"{name}.first-{self._next_id()}")
+            files.create(note).close()
+        if not firsts or self._next_id() <= firsts[0]:
+            shaped(df, self._next_id(), unit).write.mode("append").parquet(self.path)
+        done, _ = self._place("_batches", f"{name}.done")
+        files.create(done).close()
+        return self.read().count() if self.exists() else 0
 
     def statistics(self) -> dict[str, object]:
         """Name, number of vectors, dimension and column types; ``error`` if there is none."""
@@ -89,8 +126,5 @@ class Collection:
 
     def delete(self) -> bool:
         """Remove the table; False if there is none."""
-        if not self.exists():
-            return False
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(self.path)
-        return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        place, files = self._place()
+        return files.exists(place) and files.delete(place, True)

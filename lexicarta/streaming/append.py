@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,10 +18,14 @@ def stream_chunks(spark: SparkSession, folder: str, schema: str, files_per_batch
 
 
 def append_stream(chunks: DataFrame, embedder: Embedder, target: Collection, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Embed each micro-batch and append it to ``target``; with ``once`` the stream ends when all files are in."""
+    """Embed each micro-batch and append it to ``target``; with ``once`` the stream ends when all files are in.
+
+    A micro-batch that comes again after a failure is known by the stream's checkpoint folder and its number, and adds nothing.
+    """
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
-    def write(batch: DataFrame, _: int) -> None:
-        target.ingest(embed(batch, F.col("content"), embedder))
+    def write(batch: DataFrame, number: int) -> None:
+        target.ingest_once(embed(batch, F.col("content"), embedder), f"{stream}-{number}")
 
     writer = chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
