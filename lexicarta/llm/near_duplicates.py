@@ -5,9 +5,10 @@ Two texts with ``n`` and ``m`` distinct shingles are similar if their Jaccard si
 longest inverted lists of a text aside: whoever shares ``T`` lists shares at least ``T - L`` of the
 short ones. Here ``L = T - k`` for a small ``k``:
 
-1. a fixed-size count sketch over all shingles of all texts tells long lists from short ones;
+1. a count sketch over all shingles of all texts tells long lists from short ones;
 2. each text puts itself on its ``n - T + k`` shortest lists. Spark's shuffle and sort-merge join
-   merge these lists, and a text found on fewer than ``k`` lists of another is dropped;
+   merge these lists, and a text found on fewer than ``k`` lists of another is dropped. A list that the sketch
+   says is longer than ``BLOCK`` is cut into blocks that meet in pairs, so that no list is one task's;
 3. the long lists are never merged: each candidate is probed for the remaining shingles by binary
    search in its sorted shingle array, which gives the exact overlap.
 
@@ -28,12 +29,22 @@ from pyspark.sql import functions as F
 from lexicarta.llm.words import distinct_windows, mix, word_codes
 from lexicarta.runtime import cut, spread
 
-#: Counters of the sketch and of one piece of it. A fixed size: more shingles share a counter in larger collections.
-SKETCH_BITS, PIECE_BITS = 24, 16
+#: The sketch has about a counter for each sixteen characters, 2^16 to 2^26 (one byte each); a piece of it 2^16.
+#: In collections too large for that more shingles share a counter, which makes lists look longer than they are but loses nothing.
+LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 26, 16
+#: Members of a list that meet each other in one key of the join.
+BLOCK = 2048
+#: List places (shingles of all texts) for each partition of the join.
+PLACES = 1 << 20
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _counter(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _length(level: np.ndarray) -> np.ndarray:
+    """The length that a byte of the merged sketch stands for, rounded up."""
+    return np.where(level <= 32, level, np.ceil(32 * 2 ** ((level.astype(np.float64) - 31) / 8)))
 
 
 def _shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,18 +68,18 @@ def _shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.n
     return counts, h, n
 
 
-def _survey(width: int, min_words: int):
+def _survey(width: int, min_words: int, bits: int):
     """Of each text its class and size; of each task the pieces of its count sketch."""
     schema = pa.schema([("id", pa.int64()), ("row_key", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("piece", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
+        sketch = np.zeros(1 << bits, dtype=np.uint8)
         for batch in batches:
             counts, h, n = _shingle_sets(batch.column(2).to_pylist(), width)
             keep = (counts >= min_words) & (n > 0)
             owner = np.repeat(np.arange(len(n)), n)
             h, owner = h[keep[owner]], owner[keep[owner]]
-            cell, add = np.unique(_counter(h), return_counts=True)
+            cell, add = np.unique(_counter(h, bits), return_counts=True)
             sketch[cell] = np.minimum(sketch[cell].astype(np.int64) + add, 255)
             cls = np.zeros(len(n), dtype=np.uint64)
             np.add.at(cls, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
@@ -88,19 +99,32 @@ def _survey(width: int, min_words: int):
 
 
 def _merge_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the counts of each piece; a counter becomes one byte: exact up to 32, then by its logarithm."""
+    """Add up the counts of each piece; sums are kept as 32-bit numbers, compressed."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for piece, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            more = np.frombuffer(zlib.decompress(counts.as_py()), dtype=np.uint8)
-            total[piece] = total[piece] + more if piece in total else more.astype(np.int64)
-    out = {p: np.where(c <= 32, c, np.minimum(255, 32 + 8 * np.log2(np.maximum(c, 32) / 32))).astype(np.uint8).tobytes() for p, c in total.items()}
-    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(list(out.values()), pa.binary())], names=["piece", "level"])
+            raw = zlib.decompress(counts.as_py())
+            more = np.frombuffer(raw, dtype=np.uint8 if len(raw) == 1 << PIECE_BITS else np.uint32).astype(np.int64)
+            total[piece] = total[piece] + more if piece in total else more
+    packed = [zlib.compress(np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes(), 1) for c in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(packed, pa.binary())], names=["piece", "counts"])
 
 
-def _short_lists(width: int, min_words: int, threshold: float, occurrences: int, level):
-    """The short lists each class is on. Lists of a single class, by the sketch, aren't written."""
-    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int32())])
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A counter becomes one byte: exact up to 32, then by its logarithm."""
+    for batch in batches:
+        sums = [np.frombuffer(zlib.decompress(c), dtype=np.uint32).astype(np.int64) for c in batch.column(1).to_pylist()]
+        level = [np.where(c <= 32, c, np.minimum(255, 32 + 8 * np.log2(np.maximum(c, 32) / 32))).astype(np.uint8).tobytes() for c in sums]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.binary())], names=["piece", "level"])
+
+
+def _short_lists(width: int, min_words: int, threshold: float, occurrences: int, level, bits: int):
+    """The short lists each class is on. Lists of a single class, by the sketch, aren't written.
+
+    ``role`` is 0 where all of a key's members meet each other. A list of several blocks has a key for each pair of blocks, in which the
+    members of the one (1) meet those of the other (2).
+    """
+    schema = pa.schema([("token", pa.int64()), ("cls", pa.int64()), ("n", pa.int32()), ("role", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -116,7 +140,7 @@ def _short_lists(width: int, min_words: int, threshold: float, occurrences: int,
                     keep[i] = False
                 seen.add(c)
             h, owner = h[keep[owner]], owner[keep[owner]]
-            rank = length[_counter(h)]
+            rank = length[_counter(h, bits)]
             order = np.lexsort((h, rank, owner))
             h, owner, rank = h[order], owner[order], rank[order]
             sizes = np.where(keep, n, 0)
@@ -125,7 +149,18 @@ def _short_lists(width: int, min_words: int, threshold: float, occurrences: int,
             merged = np.minimum(n, n - least + occurrences)
             use = (place < merged[owner]) & (rank > 1)
             h, owner = h[use], owner[use]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[owner].view(np.int64)), pa.array(n[owner].astype(np.int32))], schema=schema)
+            blocks = np.ceil(_length(rank[use]) / BLOCK).astype(np.int64)
+            role = np.zeros(len(h), dtype=np.int8)
+            if (blocks > 1).any():
+                copies = np.repeat(np.arange(len(h)), blocks)
+                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                h, owner, blocks = h[copies], owner[copies], blocks[copies]
+                own = (mix(cls[owner] ^ h) % blocks.astype(np.uint64)).astype(np.int64)
+                role = np.sign(other - own).astype(np.int8)
+                role = np.where(role == 0, 0, np.where(role > 0, 1, 2)).astype(np.int8)
+                pair = np.minimum(own, other) * blocks + np.maximum(own, other)
+                h = np.where(blocks > 1, mix(h ^ mix(pair.astype(np.uint64) + np.uint64(1))), h)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls[owner].view(np.int64)), pa.array(n[owner].astype(np.int32)), pa.array(role)], schema=schema)
 
     return run
 
@@ -179,26 +214,37 @@ def similar_classes(
     of one class. Equal 64-bit hashes count as equal shingles.
     """
     spark = texts.sparkSession
-    texts = spread(texts.select("id", "row_key", "content").where("id is not null and content is not null"))
-    survey = cut(texts.mapInArrow(_survey(width, min_words), "id bigint, row_key bigint, cls bigint, n int, piece int, counts binary"))
+    texts = texts.select("id", "row_key", "content").where("id is not null and content is not null")
+    size = texts.agg(F.sum(F.length("content"))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(size // 16).bit_length()))
+    texts = spread(texts)
+    survey = cut(texts.mapInArrow(_survey(width, min_words, bits), "id bigint, row_key bigint, cls bigint, n int, piece int, counts binary"))
     members = survey.where("piece is null").select("id", "row_key", "cls", "n")
-    pieces = survey.where("piece is not null").select("piece", "counts").repartition("piece").mapInArrow(_merge_pieces, "piece int, level binary").collect()
-    level = bytearray(1 << SKETCH_BITS)  # a fixed size, whatever the collection's
-    for piece, counts in pieces:
+    # the tasks' sketches are added up in two steps, so that no task reads a piece of all of them
+    merged = survey.where("piece is not null").select("piece", "counts", F.floor(F.sqrt(F.spark_partition_id())).alias("part")).repartition("piece", "part").select("piece", "counts")
+    for keys in (["piece"], []):
+        merged = merged.mapInArrow(_merge_pieces, "piece int, counts binary")
+        merged = merged.repartition(*keys) if keys else merged
+    level = bytearray(1 << bits)  # of bounded size, whatever the collection's
+    for piece, counts in merged.mapInArrow(_levels, "piece int, level binary").collect():
         level[piece << PIECE_BITS : (piece + 1) << PIECE_BITS] = counts
     shared = spark.sparkContext.broadcast(bytes(level))
 
+    places = members.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // PLACES))
     lists = (
         texts.select("content")
-        .mapInArrow(_short_lists(width, min_words, threshold, occurrences, shared), "token bigint, cls bigint, n int")
-        .repartition("token")
+        .mapInArrow(_short_lists(width, min_words, threshold, occurrences, shared, bits), "token bigint, cls bigint, n int, role tinyint")
+        .repartition(tasks, "token")
         .dropDuplicates(["token", "cls"])
     )
-    x = lists.select("token", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"))
-    y = lists.select("token", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"))
-    met = x.join(y, "token").where((F.col("cls_a") < F.col("cls_b")) & (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9))
-    enough = F.least(F.lit(occurrences), F.ceil(threshold * F.greatest("n_a", "n_b") - 1e-9))
-    candidates = cut(met.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("met"), F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b")).where(F.col("met") >= enough).select("cls_a", "cls_b"))
+    x = lists.where("role <> 2").select("token", F.col("cls").alias("cls_a"), F.col("n").alias("n_a"), F.col("role").alias("role_a"))
+    y = lists.where("role <> 1").select("token", F.col("cls").alias("cls_b"), F.col("n").alias("n_b"), F.col("role").alias("role_b"))
+    alike = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & (F.col("n_b") >= threshold * F.col("n_a") - 1e-9)
+    once = (F.col("role_a") == 0) & (F.col("role_b") == 0) & (F.col("cls_a") < F.col("cls_b")) | (F.col("role_a") == 1) & (F.col("role_b") == 2)
+    met = x.join(y, "token").where(once & alike).select(F.least("cls_a", "cls_b").alias("cls_a"), F.greatest("cls_a", "cls_b").alias("cls_b"), F.greatest("n_a", "n_b").alias("most"))
+    enough = F.least(F.lit(occurrences), F.ceil(threshold * F.max("most") - 1e-9))
+    candidates = cut(met.groupBy("cls_a", "cls_b").agg(F.count(F.lit(1)).alias("met"), enough.alias("enough")).where("met >= enough").select("cls_a", "cls_b"))
 
     wanted = candidates.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     chosen = members.join(wanted, "cls").groupBy("cls").agg(F.min("id").alias("id"))
@@ -222,8 +268,13 @@ def similar_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     """
     a = members.select(F.col("cls").alias("cls_a"), F.col("id").alias("i"), F.col("row_key").alias("key_i"))
     b = members.select(F.col("cls").alias("cls_b"), F.col("id").alias("j"), F.col("row_key").alias("key_j"))
-    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("cls").alias("cls_a"))
-    within = a.join(several, "cls_a").join(b.withColumnRenamed("cls_b", "cls_a"), "cls_a").where("i < j")
+    # the copies of a class meet in blocks, so that no class is one task's
+    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("cls").alias("cls_a"), F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    sized = a.join(several, "cls_a").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")))
+    zero = F.lit(0).cast("bigint")
+    low = sized.select("cls_a", "i", "key_i", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("y"))
+    high = sized.select("cls_a", F.col("i").alias("j"), F.col("key_i").alias("key_j"), F.explode(F.sequence(zero, F.col("own"))).alias("x"), F.col("own").alias("y"))
+    within = low.join(high, ["cls_a", "x", "y"]).where("x < y or i < j")
     across = links.select("cls_a", "cls_b").join(a, "cls_a").join(b, "cls_b")
     columns = ["i", "j", "key_i", "key_j"]
     return (
