@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from lexicarta.functions.text import indent, let, lines, occurrences, preview, stem, strip
 
@@ -87,20 +91,64 @@ def elements(sources: DataFrame) -> DataFrame:
     shaped = sources.withColumns({"code_lines": lines(F.col("code")), "_comment": comment, "_classes": classes, "_functions": functions})
     shaped = shaped.withColumn("code_imports", imports(F.col("code_lines"), ext))
 
-    def finish(e: Column, known: Column) -> Column:
-        next_ = F.get(F.filter(known["solid"], lambda s: (s["i"] > e["start"]) & (s["ind"] <= e["ind"])), F.lit(0))
-        above = F.filter(known["open"], lambda o: (o["start"] <= e["start"]) & F.array_contains("_classes", o["keyword"]))
-        parent = F.get(above, F.size(above) - 1)["name"]
+    first = shaped.withColumns({"_open": opened, "_solid": solid})
+    is_class = F.transform("_open", lambda o: F.array_contains("_classes", o["keyword"]))
+    ends = _ends(F.col("_open")["start"], F.col("_open")["ind"], is_class, F.col("_solid")["i"], F.col("_solid")["ind"], F.coalesce(F.size("code_lines"), F.lit(0)))
+
+    def finish(e: Column, i: Column) -> Column:
+        count = F.size("_open")
+        above = F.get(F.col("_ends"), count + i)
+        parent = F.when(above >= 0, F.get(F.col("_open"), above)["name"])
         called = F.array_contains("_functions", e["keyword"]) | e["keyword"].isin("public", "private", "protected", "static")
         kind = F.when(F.array_contains("_classes", e["keyword"]), "class").when(called & parent.isNotNull(), "method").otherwise("function")
         return F.struct(
-            e["start"].alias("start"), F.coalesce(next_["i"] - 1, F.size("code_lines") - 1).alias("stop"), kind.alias("kind"), e["name"].alias("name"),
-            F.when(kind == "method", parent).alias("parent"),
+            e["start"].alias("start"), F.get(F.col("_ends"), i).alias("stop"), kind.alias("kind"), e["name"].alias("name"), F.when(kind == "method", parent).alias("parent"),
         )
 
-    both = F.struct(opened.alias("open"), solid.alias("solid"))
-    found = let(both, lambda known: F.transform(known["open"], lambda e: finish(e, known)))
-    return shaped.withColumn("code_elements", found).drop("_comment", "_classes", "_functions")
+    found = first.withColumn("_ends", ends).withColumn("code_elements", F.transform("_open", finish))
+    return found.drop("_comment", "_classes", "_functions", "_open", "_solid", "_ends")
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _ends(starts: pd.Series, indents: pd.Series, classes: pd.Series, solid: pd.Series, solid_indents: pd.Series, size: pd.Series) -> pd.Series:
+    """The last line of each element and, after these, the place of the last class opened up to it, or -1.
+
+    One pass from the end over the solid lines keeps those that can end an element: nearer ones are indented deeper.
+    """
+    out = []
+    for opens, inds, kinds, lines_, depths, count in zip(starts, indents, classes, solid, solid_indents, size):
+        if opens is None or lines_ is None:
+            out.append(None)
+            continue
+        stops, stack, j = [count - 1] * len(opens), [], len(lines_) - 1  # the stack's indentations grow towards its end, the nearest line
+        for e in range(len(opens) - 1, -1, -1):
+            while j >= 0 and lines_[j] > opens[e]:
+                while stack and stack[-1][0] >= depths[j]:
+                    stack.pop()
+                stack.append((depths[j], lines_[j]))
+                j -= 1
+            at = bisect_right(stack, inds[e], key=lambda entry: entry[0])
+            if at:
+                stops[e] = stack[at - 1][1] - 1
+        parents, last = [], -1
+        for e, is_class in enumerate(kinds):
+            last = e if is_class else last
+            parents.append(last)
+        out.append([int(v) for v in (*stops, *parents)])
+    return pd.Series(out)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _outside(starts: pd.Series, stops: pd.Series, size: pd.Series) -> pd.Series:
+    """The lines that no element covers; elements are in the order of their starts."""
+    out = []
+    for begin, end, count in zip(starts, stops, size):
+        free, at = [], 0
+        for a, b in zip(begin if begin is not None else (), end if end is not None else ()):
+            free += range(at, a)
+            at = max(at, b + 1)
+        out.append([*free, *range(at, count)])
+    return pd.Series(out)
 
 
 def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> DataFrame:
@@ -112,6 +160,7 @@ def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> D
     the rest from 0, the module first.
     """
     known = elements(sources.where(F.col("extension").isin(*LANGUAGES)))
+    known = known.withColumn("_outside", _outside(F.col("code_elements")["start"], F.col("code_elements")["stop"], F.coalesce(F.size("code_lines"), F.lit(0))))
     language = _by_extension(F.col("extension"), {e: F.lit(v[0]) for e, v in LANGUAGES.items()}, F.lit("Unknown"))
     none = F.lit(None).cast("string")
     nothing = F.array().cast("array<string>")
@@ -132,7 +181,7 @@ def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> D
         return let(F.struct(lead.alias("lead"), body.alias("body")), shape)
 
     def top(file: Column) -> Column:
-        outside = F.filter(file["lines"], lambda _, i: ~F.exists(file["elements"], lambda e: (i >= e["start"]) & (i <= e["stop"])))
+        outside = F.transform(file["outside"], lambda i: F.get(file["lines"], i))
 
         def shape(module: Column) -> Column:
             full = F.when(F.size(file["imports"]) > 0, F.concat(F.array_join(file["imports"], "\n"), F.lit("\n\n"), module)).otherwise(module)
@@ -143,7 +192,7 @@ def code_chunks(sources: DataFrame, least: int = 100, context: bool = True) -> D
 
         return let(strip(F.array_join(outside, "\n")), shape)
 
-    file = F.struct(F.col("code_lines").alias("lines"), F.col("code_elements").alias("elements"), F.col("code_imports").alias("imports"))
+    file = F.struct(F.col("code_lines").alias("lines"), F.col("code_elements").alias("elements"), F.col("code_imports").alias("imports"), F.col("_outside").alias("outside"))
     every = let(file, lambda f: F.concat(F.array(top(f)), F.transform(f["elements"], lambda e: element(e, f))))
     parts = F.filter(every, lambda c: c["_size"] >= least)
     return (

@@ -2,7 +2,7 @@
 
 Each record is stream-parsed into path-value-ordinal triples, the paths are grouped by their
 repeated ancestor, and each group is pivoted into one table whose rows carry the record's id and
-their place in every array above them.
+their place in every array above them. ``record_row`` tells records of one id or of none apart.
 """
 
 from __future__ import annotations
@@ -11,13 +11,14 @@ import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexicarta.functions.jsonevents import Unreadable, events
 from lexicarta.runtime import spread
 
-TRIPLES = "record_id bigint, grp string, ordinals array<int>, path string, kind string, value string"
+TRIPLES = "record_id bigint, record_row bigint, grp string, ordinals array<int>, path string, kind string, value string"
 
 _HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|[-\s.]+")
 
@@ -27,7 +28,7 @@ def canonical_key(key: str) -> str:
     return _HUMP.sub("_", key.strip()).lower()
 
 
-def _walk(text: str, lists: frozenset[str], depth: int = 0) -> Iterator[tuple[str, tuple[int, ...], str, str, str | None]]:
+def _walk(text: str, lists: frozenset[str]) -> Iterator[tuple[str, tuple[int, ...], str, str, str | None]]:
     """Triples of one JSON text: group, ordinals, path below the group, kind, value.
 
     ``lists``: names of members that are arrays even where a lone value or JSON text stands for one.
@@ -56,7 +57,7 @@ def _walk(text: str, lists: frozenset[str], depth: int = 0) -> Iterator[tuple[st
             if frames:
                 path = f"{path}.{name}" if path else name
             if name in lists and frames and kind not in ("[", "null"):
-                if kind == "string" and depth < 4 and (inner := _inner(value, lists, depth)) is not None:
+                if kind == "string" and (inner := _inner(value, lists)) is not None:
                     prefix = f"{group}{'.' if group and path else ''}{path}"
                     for g, o, p, k, v in inner:
                         yield f"{prefix}{g}", ordinals + o, p, k, v
@@ -78,21 +79,25 @@ def _walk(text: str, lists: frozenset[str], depth: int = 0) -> Iterator[tuple[st
             group, ordinals, path = before
 
 
-def _inner(text: str, lists: frozenset[str], depth: int) -> list | None:
-    """Triples of JSON text that stands for an array; None if it is no complete JSON container."""
+def _inner(text: str, lists: frozenset[str]) -> list | None:
+    """Triples of JSON text that stands for an array; None if it is no complete JSON container.
+
+    JSON texts inside JSON texts are opened as deep as they go (each is shorter than the one around it); past what the
+    interpreter can nest, some hundred levels, a text stays a text.
+    """
     start = text.lstrip(" \t\r\n﻿")[:1]
     try:
         if start == "[":
-            return list(_walk(text, lists, depth + 1))
+            return list(_walk(text, lists))
         if start == "{":
-            return list(_walk(f"[{text}]", lists, depth + 1))
+            return list(_walk(f"[{text}]", lists))
         if start == '"' or text.strip() == "null":
             (kind, value), = events(text)
             if kind == "null":
                 return []
-            inner = _inner(value, lists, depth + 1) if depth < 4 else None
+            inner = _inner(value, lists)
             return inner if inner is not None else [("[]", (0,), "", kind, value)]
-    except (Unreadable, ValueError):
+    except (Unreadable, ValueError, RecursionError):
         pass
     return None
 
@@ -107,10 +112,7 @@ def record_triples(text: str | None, lists: Iterable[str] = (), wrappers: Iterab
         return []
     lists, skip = frozenset(lists), frozenset(wrappers)
     try:
-        for _ in range(4):
-            head = text.lstrip(" \t\r\n﻿")[:1]
-            if head != '"':
-                break
+        while text.lstrip(" \t\r\n﻿")[:1] == '"':
             (_, text), = events(text)
         found = list(_walk(text, lists))
     except (Unreadable, ValueError):
@@ -139,7 +141,7 @@ def to_triples(
 ) -> DataFrame:
     """Path-value-ordinal triples of every record.
 
-    Columns: ``record_id``, ``grp`` (path of the repeated ancestor, ``""`` for the record itself),
+    Columns: ``record_id``; ``record_row``, a number of its own for each record, also those of a null or repeated id; ``grp`` (path of the repeated ancestor, ``""`` for the record itself),
     ``ordinals`` (0-based place in each array on the way), ``path`` below the ancestor (``""``: the
     array's element itself), ``kind`` and ``value``. Null, empty and unreadable records give no rows;
     a null element gives a row of kind ``null``, so that it keeps its place. Other columns of
@@ -148,16 +150,18 @@ def to_triples(
     lists, wrappers = tuple(lists), tuple(wrappers)
     keep = None if groups is None else frozenset(groups)
     schema = pa.schema(
-        [("record_id", pa.int64()), ("grp", pa.string()), ("ordinals", pa.list_(pa.int32())), ("path", pa.string()), ("kind", pa.string()), ("value", pa.string())]
+        [("record_id", pa.int64()), ("record_row", pa.int64()), ("grp", pa.string()), ("ordinals", pa.list_(pa.int32())), ("path", pa.string()), ("kind", pa.string()), ("value", pa.string())]
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                row += 1
                 for group, ordinals, path, kind, value in record_triples(text, lists, wrappers):
                     if keep is None or group in keep:
-                        for column, x in zip(out, (key, group, ordinals, path, kind, value)):
+                        for column, x in zip(out, (key, row, group, ordinals, path, kind, value)):
                             column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
 
@@ -169,8 +173,8 @@ def to_triples(
 def pivot_groups(triples: DataFrame, columns: Sequence[str], groups: Sequence[str]) -> DataFrame:
     """One row per element of the named groups, its members as columns.
 
-    Elements are keyed by ``record_id``, ``grp`` and ``ordinals``; the parent of an element is
-    the row with the same ``record_id`` whose ordinals are these without the last. Null elements
+    Elements are keyed by ``record_id``, ``record_row``, ``grp`` and ``ordinals``; the parent of an element is
+    the row of the same record whose ordinals are these without the last. Null elements
     are no rows. All triples of an element come from one task, so the partial
     aggregate leaves one row each before the shuffle. A member that a broken writer repeats takes
     its greatest value.
@@ -178,7 +182,7 @@ def pivot_groups(triples: DataFrame, columns: Sequence[str], groups: Sequence[st
     pick = [F.max(F.when(F.col("path") == c, F.col("value"))).alias(c.replace(".", "_")) for c in columns]
     return (
         triples.where(F.col("grp").isin(*groups))
-        .groupBy("record_id", "grp", "ordinals")
+        .groupBy("record_id", "record_row", "grp", "ordinals")
         .agg(
             F.max(F.when(F.col("path") == "", F.when(F.col("kind") == "null", 0).otherwise(1))).alias("_real"),
             F.max(F.when(F.col("path") == "", F.col("value"))).alias("value"),
@@ -190,10 +194,11 @@ def pivot_groups(triples: DataFrame, columns: Sequence[str], groups: Sequence[st
 
 
 def child_table(triples: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """The flat table of one repeated group: ``record_id``, ``parent_ordinals``, ``pos`` and its members."""
+    """The flat table of one repeated group: ``record_id``, ``record_row``, ``parent_ordinals``, ``pos`` and its members."""
     rows = pivot_groups(triples, columns, [group])
     return rows.select(
         "record_id",
+        "record_row",
         F.slice("ordinals", 1, F.size("ordinals") - 1).alias("parent_ordinals"),
         F.element_at("ordinals", -1).alias("pos"),
         "value",
@@ -204,4 +209,4 @@ def child_table(triples: DataFrame, group: str, columns: Sequence[str]) -> DataF
 def record_table(triples: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The members of each record outside its arrays, one row per record that has any."""
     pick = [F.max(F.when(F.col("path") == c, F.col("value"))).alias(c.replace(".", "_")) for c in columns]
-    return triples.where("grp = '' and path <> ''").groupBy("record_id").agg(*pick)
+    return triples.where("grp = '' and path <> ''").groupBy("record_id", "record_row").agg(*pick)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from lexicarta.operators.packing import paragraph_groups
 #: The styles that open a section.
 HEADING_STYLES = ("Heading 1", "Heading 2", "Heading 3", "Heading 4", "Heading 5", "Heading 6", "Title", "Subtitle")
 START, UNTITLED = "(Document Start)", "(Untitled Section)"
+#: What stands for a picture that no model has seen.
+PICTURE = "[picture]"
 
 
 def heading_level(style: Column) -> Column:
@@ -53,42 +57,45 @@ def sections(blocks: DataFrame) -> DataFrame:
     )
 
 
-def section_chunks(found: DataFrame, most: int = 1000) -> DataFrame:
+def section_chunks(found: DataFrame, most: int = 1000, picture: Callable[[Column], Column] = lambda n: F.lit(None).cast("string")) -> DataFrame:
     """Text, table and picture chunks of each section, numbered per document.
 
     A section's paragraphs are packed to ``most``; the first text chunk carries the heading, table and
-    picture chunks always do. Pictures hold what a vision model says, here a placeholder that the
-    caller replaces. A section without any of them gives no chunk.
+    picture chunks always do. ``picture`` gives what a vision model says of a section's picture by its place from 0, for
+    instance an element of a column that a model filled; where it is null, ``PICTURE`` stands. A section without any of them gives no chunk.
     """
     whole = F.array_join("paragraphs", "\n\n")
-    packed = F.when(F.length(whole) > most, paragraph_groups(F.col("paragraphs"), most)).otherwise(F.array(F.col("paragraphs")))
-    base = ["source_file", "section", "heading", "heading_level", "style_name", "has_lists"]
+    packed = F.when(F.length(whole) > most, F.col("_packed")).when(F.size("paragraphs") > 0, F.array(F.col("paragraphs")))
     title = F.concat(F.lit("# "), F.col("heading"), F.lit("\n\n"))
-    bare = F.array_join("g", "\n\n")
-    text = (
-        found.where(F.size("paragraphs") > 0).select(*base, F.posexplode(packed).alias("n", "g"))
-        .select(
-            *base, F.lit(0).alias("part"), "n", F.lit("text").alias("chunk_type"),
-            F.when((F.col("n") == 0) & (F.col("heading") != START), F.concat(title, bare)).otherwise(bare).alias("content"),
-            F.size(F.split(bare, "\n\n", -1)).alias("paragraph_count"), (F.col("n") > 0).alias("is_continuation"),
-            F.when(F.col("n") > 0, F.col("heading")).alias("parent_section"),
-        )
-    )
-    cells = F.transform("rows", lambda r: F.transform(r, strip))
-    table = (
-        found.select(*base, F.posexplode("tables").alias("n", "rows"))
-        .select(*base, F.lit(1).alias("part"), "n", F.lit("table").alias("chunk_type"), F.concat(title, F.lit("## Table "), (F.col("n") + 1).cast("string"), F.lit("\n\n"), markdown_table(cells)).alias("content"))
-    )
-    picture = (
-        found.where("image_count > 0").select(*base, F.explode(F.sequence(F.lit(0), (F.col("image_count") - 1).cast("int"))).alias("n"))
-        .select(*base, F.lit(2).alias("part"), "n", F.lit("image_heavy_page").alias("chunk_type"), F.concat(title, F.lit("## Image "), (F.col("n") + 1).cast("string"), F.lit("\n\n[picture]")).alias("content"))
-    )
-    order = Window.partitionBy("source_file").orderBy("section", "part", "n")
+    kinds = "chunk_type string, content string, paragraph_count int, is_continuation boolean, parent_section string"
+    shape = f"array<struct<{kinds.replace(' ', ':').replace(',:', ',')}>>"
+
+    def text(group: Column, n: Column) -> Column:
+        bare = F.array_join(group, "\n\n")
+        return F.struct(
+            F.lit("text").alias("chunk_type"), F.when((n == 0) & (F.col("heading") != START), F.concat(title, bare)).otherwise(bare).alias("content"),
+            F.size(F.split(bare, "\n\n", -1)).alias("paragraph_count"), (n > 0).alias("is_continuation"), F.when(n > 0, F.col("heading")).alias("parent_section"),
+        )
+
+    def other(kind: str, name: str, n: Column, body: Column) -> Column:
+        content = F.concat(title, F.lit(f"## {name} "), (n + 1).cast("string"), F.lit("\n\n"), body)
+        none = F.lit(None)
+        return F.struct(F.lit(kind).alias("chunk_type"), content.alias("content"), none.cast("int").alias("paragraph_count"), none.cast("boolean").alias("is_continuation"), none.cast("string").alias("parent_section"))
+
+    nothing = F.array().cast(shape)
+    pictures = F.when(F.col("image_count") > 0, F.sequence(F.lit(0), (F.col("image_count") - 1).cast("int")))
+    parts = F.concat(
+        F.coalesce(F.transform(packed, text).cast(shape), nothing),
+        F.coalesce(F.transform("tables", lambda rows, n: other("table", "Table", n, markdown_table(F.transform(rows, lambda r: F.transform(r, strip))))).cast(shape), nothing),
+        F.coalesce(F.transform(pictures, lambda n: other("image_heavy_page", "Image", n, F.coalesce(picture(n), F.lit(PICTURE)))).cast(shape), nothing),
+    )
+    grouped = found.withColumn("_packed", paragraph_groups(F.when(F.length(whole) > most, F.col("paragraphs")), most))
+    order = Window.partitionBy("source_file").orderBy("section", "_place")
     return (
-        text.unionByName(table, allowMissingColumns=True).unionByName(picture, allowMissingColumns=True)
+        grouped.select("source_file", "section", "heading", "heading_level", "style_name", "has_lists", F.posexplode(parts).alias("_place", "_chunk"))
         .select(
-            "source_file", (F.row_number().over(order) - 1).alias("chunk_id"), (F.col("section") + 1).alias("page_number"), "chunk_type", "content",
-            F.length("content").alias("text_length"), preview(F.col("content")).alias("preview"), "heading", "heading_level", "style_name", "has_lists",
-            "paragraph_count", "is_continuation", "parent_section",
+            "source_file", (F.row_number().over(order) - 1).alias("chunk_id"), (F.col("section") + 1).alias("page_number"), "_chunk.chunk_type", "_chunk.content",
+            F.length("_chunk.content").alias("text_length"), preview(F.col("_chunk.content")).alias("preview"), "heading", "heading_level", "style_name", "has_lists",
+            "_chunk.paragraph_count", "_chunk.is_continuation", "_chunk.parent_section",
         )
     )

@@ -30,7 +30,7 @@ def p2_pages(spark: SparkSession, folder: str) -> DataFrame:
     """The members of each page payload outside its arrays."""
     return nested.record_table(
         _pdf_triples(spark, folder, ("",)), ["total_pages", "num_tables", "num_images", "image_coverage_ratio", "is_vision_processed"]
-    ).withColumnRenamed("record_id", "id")
+    ).withColumnRenamed("record_id", "id").drop("record_row")
 
 
 def p2_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -39,6 +39,18 @@ def p2_images(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("record_id").alias("id"), "pos", "index", F.expr("try_cast(area as double)").alias("area"), F.expr("try_cast(width as double)").alias("width"), F.expr("try_cast(height as double)").alias("height"))
 
 
+def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of a page's tables: one row per table with its place on the page and its text."""
+    rows = nested.child_table(_pdf_triples(spark, folder, ("table_content[]",)), "table_content[]", [])
+    return rows.select(F.col("record_id").alias("id"), "pos", F.md5("value").alias("digest"), F.length("value").alias("size"))
+
+
+def p2_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    """The table of a page's boxes: one row per box with its place and its rows and columns."""
+    rows = nested.child_table(_pdf_triples(spark, folder, ("bounding_boxes[]",)), "bounding_boxes[]", ["rows", "cols"])
+    return rows.select(F.col("record_id").alias("id"), "pos", "rows", "cols")
+
+
 def p2_corners(spark: SparkSession, folder: str) -> DataFrame:
     """The grandchild table of box corners: image or table, its place, the corner's place and value."""
     groups = ("image_details[].bbox[]", "bounding_boxes[].bbox[]")
@@ -55,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pages": p2_pages,
     "p2_images": p2_images,
+    "p2_tables": p2_tables,
+    "p2_boxes": p2_boxes,
     "p2_corners": p2_corners,
 }
 
@@ -97,6 +111,8 @@ SQL: dict[str, str] = {
     "p2_found": _P2_FOUND,
     "p2_pages": f"""{_PAYLOAD} SELECT id, {", ".join(f"coalesce(j->>'{a}', j->>'{b}') AS {a}" for a, b in _PAGE_FIELDS)} FROM p WHERE len(json_keys(j)) > 0""",
     "p2_images": f"""{_PAYLOAD} {_elements_sql("image_details", "imageDetails", ", v->>'index' AS index, " + ", ".join(f"try_cast(v->>'{m}' AS DOUBLE) AS {m}" for m in ("area", "width", "height")))}""",
+    "p2_tables": f"""{_PAYLOAD} {_elements_sql("table_content", "tableContent", ", md5(v->>'$') AS digest, length(v->>'$')::INT AS size")}""",
+    "p2_boxes": f"""{_PAYLOAD} {_elements_sql("bounding_boxes", "boundingBoxes", ", v->>'rows' AS rows, v->>'cols' AS cols")}""",
     "p2_corners": f"""{_PAYLOAD} {_corners_sql("image_details", "imageDetails")} UNION ALL {_corners_sql("bounding_boxes", "boundingBoxes")}""",
     **retrieval_queries.SQL, **chunking_queries.SQL,
 }

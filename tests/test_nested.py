@@ -3,6 +3,7 @@ import json
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lexicarta.functions.jsonevents import Unreadable, events
 from lexicarta.operators import nested
@@ -104,9 +105,25 @@ def test_tables_keep_parent_links(spark):
     assert rows(images, "record_id", "parent_ordinals", "pos", "w", "extra_deep") == [(1, [], 0, "1", None), (1, [], 2, "x", "true")]
     boxes = nested.child_table(triples, "images[].box[]", [])
     assert rows(boxes, "record_id", "parent_ordinals", "pos", "value") == [(1, [0], 0, "1.5"), (1, [0], 1, "2")]
-    assert rows(nested.record_table(triples, ["pages"])) == [(1, "2")]
+    assert rows(nested.record_table(triples, ["pages"]), "record_id", "pages") == [(1, "2")]
 
 
 def test_no_records(spark):
     df = spark.createDataFrame([], "id bigint, j string")
     assert nested.child_table(nested.to_triples(df, "id", "j"), "a[]", ["b"]).count() == 0
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    data = [(None, '{"xs": [1, 2]}'), (None, '{"xs": [3, 4]}'), (7, '{"xs": [5, 6]}'), (7, '{"xs": [5, 6]}'), (8, None)]
+    triples = nested.to_triples(spark.createDataFrame(data, "id bigint, j string").withColumn("record_row", F.lit(1)), "id", "j", ["xs"])
+    found = nested.child_table(triples, "xs[]", [])
+    assert rows(found, "record_id", "pos", "value") == sorted([(7, 0, "5"), (7, 0, "5"), (7, 1, "6"), (7, 1, "6"), (None, 0, "1"), (None, 1, "2"), (None, 0, "3"), (None, 1, "4")], key=repr)
+    assert found.select("record_row").distinct().count() == 4
+
+
+def test_texts_in_texts_are_opened_as_deep_as_they_go(spark):
+    text = '[1, 2]'
+    for _ in range(9):
+        text = json.dumps(text)
+    df = spark.createDataFrame([(1, '{"xs": %s}' % text)], "id bigint, j string")
+    assert rows(nested.child_table(nested.to_triples(df, "id", "j", ["xs"]), "xs[]", []), "pos", "value") == [(0, "1"), (1, "2")]

@@ -154,3 +154,36 @@ def test_embedding(spark):
     assert code[1] != got[1] and code[2] == got[2]
     with pytest.raises(ValueError):
         embedding.create("nobody")
+
+
+def test_index_by_name(spark, tmp_path):
+    import numpy as np
+
+    from lexicarta.settings import StoreSettings
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate([c + 0.3 * rng.normal(size=(60, 8)) for c in rng.normal(size=(10, 8))])
+    corpus = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, vector array<float>")
+    asked = corpus.where("id % 20 = 0").selectExpr("id as query_id", "vector")
+    exact = set(rows(retrieval.search_by(StoreSettings(), asked, corpus, 5), "query_id", "id"))
+    assert set(rows(retrieval.search_by(StoreSettings(index="HNSW"), asked, corpus, 5), "query_id", "id")) == exact
+    assert len(exact & set(rows(retrieval.search_by(StoreSettings(index="IVF"), asked, corpus, 5), "query_id", "id"))) >= 0.9 * len(exact)
+    stored = retrieval.InvertedFile.fit(corpus, 12).store(corpus, str(tmp_path / "ivf"))
+    again = retrieval.InvertedFile.load(spark, str(tmp_path / "ivf"))
+    assert np.allclose(stored.centres, again.centres)
+    got = set(rows(retrieval.search_by(StoreSettings(index="IVF", probes=12), asked, corpus, 5, again), "query_id", "id"))
+    assert got == exact
+    few = again.search(asked.where("query_id = 0"), corpus, 5, 2)
+    assert few.count() == 5
+    with pytest.raises(ValueError):
+        retrieval.search_by(StoreSettings(index="Tree"), asked, corpus)
+
+
+def test_many_rows_and_ties_keep_the_lesser_ids(spark):
+    # more rows than a block of a task, most of them tied
+    corpus = spark.range(0, 20_000, numPartitions=3).selectExpr("id", "array(cast(id % 7 as float), 1f) as vector")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id bigint, vector array<float>")
+    got = rows(retrieval.exact_top_k(asked, corpus, 4), "query_id", "rank", "id")
+    assert got == [(1, r, 6 + 7 * (r - 1)) for r in range(1, 5)] + [(2, r, 7 * (r - 1)) for r in range(1, 5)]
+    blocks = rows(retrieval.exact_top_k(asked, corpus, 4, query_block=1), "query_id", "rank", "id")
+    assert blocks == got

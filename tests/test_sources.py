@@ -105,3 +105,33 @@ def test_settings(tmp_path):
     assert s.with_store("file", metric="L2").store("file").metric == "L2" and top_k(0, s.store("file")) == 5 == top_k(None, s.store("file"))
     with pytest.raises(ValueError):
         s.store("none")
+
+
+def test_ids_of_a_large_collection_have_no_gaps(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "large"))
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    made = spark.range(0, 300_000, numPartitions=16).select(
+        F.concat(F.lit("file-"), F.pmod(F.xxhash64("id"), F.lit(999)).cast("string")).alias("source_file"), F.pmod(F.hash("id"), F.lit(50)).cast("int").alias("chunk_id"),
+        F.md5(F.col("id").cast("string")).alias("content"), F.array(F.rand(3).cast("float"), F.lit(1.0).cast("float")).alias("vector"),
+    )
+    for n in (1, 2):
+        assert store.ingest(made) == 300_000 * n
+        found = store.read().agg(F.count("id"), F.countDistinct("id"), F.min("id"), F.max("id")).first()
+        assert tuple(found) == (300_000 * n, 300_000 * n, 0, 300_000 * n - 1)
+    first = store.read().where("id < 300000").orderBy("id").select("source_file", "chunk_id", "content").limit(2000).collect()
+    assert first == sorted(first)
+
+
+def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+    store = Collection(spark, str(tmp_path / "once"))
+    batch = lambda a, b: spark.range(a, b).select(F.lit("f").alias("source_file"), F.col("id").cast("int").alias("chunk_id"), F.lit("x").alias("content"), F.array(F.lit(1.0).cast("float")).alias("vector"))
+    assert store.ingest_once(batch(0, 10), "s-0") == 10
+    assert store.ingest_once(batch(0, 10), "s-0") == 10
+    assert store.ingest_once(batch(10, 15), "s-1") == 15
+    # the rows are there, but the writer ended before it noted so
+    (tmp_path / "once" / "_batches" / "s-1.done").unlink()
+    assert store.ingest_once(batch(10, 15), "s-1") == 15
+    # the writer ended before any row was there
+    (tmp_path / "once" / "_batches" / "s-2.first-15").touch()
+    assert store.ingest_once(batch(15, 18), "s-2") == 18
+    assert sorted(r.id for r in store.read().collect()) == list(range(18))
