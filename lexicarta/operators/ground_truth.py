@@ -57,12 +57,16 @@ def is_valid(truth: DataFrame) -> DataFrame:
 
 
 def statistics(truth: DataFrame) -> DataFrame:
-    """One row: queries and their numbers of relevant ids, repeats included; zeros for no queries."""
+    """One row: queries, their numbers of relevant ids, repeats included, and how many have metadata; zeros for no queries.
+
+    A query has metadata if its column ``metadata``, a map, is there and not empty.
+    """
     n = F.coalesce(F.size("relevant_doc_ids"), F.lit(0))
     zero = lambda c: F.coalesce(c, F.lit(0))
+    described = F.count_if(F.coalesce(F.size("metadata") > 0, F.lit(False))) if "metadata" in truth.columns else F.lit(0).cast("bigint")
     return truth.agg(
         F.count(F.lit(1)).alias("num_queries"), zero(F.sum(n)).alias("total_relevant"), F.coalesce(F.avg(n), F.lit(0.0)).alias("avg_relevant"),
-        zero(F.min(n)).alias("min_relevant"), zero(F.max(n)).alias("max_relevant"),
+        zero(F.min(n)).alias("min_relevant"), zero(F.max(n)).alias("max_relevant"), described.alias("queries_with_metadata"),
     )
 
 

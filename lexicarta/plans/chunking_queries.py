@@ -59,13 +59,11 @@ def section_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def markdown_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """A Markdown table of the nations of each region."""
-    nations = table(spark, folder, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", F.array(F.col("n_nationkey").cast("string"), "n_name").alias("cells")))).alias("rows"))
-    header = F.array(F.array(F.lit("key"), F.lit("name")))
-    return (
-        table(spark, folder, "region").join(nations, F.col("r_regionkey") == F.col("n_regionkey"))
-        .select("r_name", markdown_table(F.concat(header, F.transform("rows", lambda r: r["cells"]))).alias("markdown"))
-    )
+    """A Markdown table of the lines of each order."""
+    cells = F.array(F.col("l_linenumber").cast("string"), F.col("l_returnflag"), F.col("l_quantity").cast("int").cast("string"))
+    lines_ = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", cells.alias("cells")))).alias("rows"))
+    header = F.array(F.array(F.lit("line"), F.lit("flag"), F.lit("quantity")))
+    return lines_.select("l_orderkey", F.md5(markdown_table(F.concat(header, F.transform("rows", lambda r: r["cells"])))).alias("digest"))
 
 
 def _pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +153,7 @@ _ALL = " UNION ALL ".join(f"SELECT id, content, metadata.chunk_type AS chunk_typ
 _BLANK = r"'^[\s\x1c-\x1f\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x0b]+|[\s\x1c-\x1f\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0085}\x0b]+$'"
 
 
-def _strip(x: str) -> str:
+def strip_sql(x: str) -> str:
     return f"regexp_replace({x}, {_BLANK}, '', 'g')"
 
 
@@ -179,7 +177,7 @@ def _words(index: int, empty: str) -> str:
 _COMMENT = "CASE ext" + "".join(f" WHEN '{e}' THEN '{v[1]}'" for e, v in code_elements.LANGUAGES.items()) + " ELSE '//' END"
 _KNOWN = ", ".join(f"'{e}'" for e in code_elements.LANGUAGES)
 _COUNT = " + ".join(f"(length(code) - length(replace(code, ' {w}{c}', ''))) // {len(w) + 2}" for w in code_elements.BRANCHES for c in (" ", "("))
-_IMPORT = "CASE ext" + "".join(f" WHEN '{e}' THEN len(list_filter(string_split(code, chr(10)), lambda x: regexp_matches({_strip('x')}, '{p}')))" for e, p in code_elements.IMPORTS.items()) + " ELSE 0 END"
+_IMPORT = "CASE ext" + "".join(f" WHEN '{e}' THEN len(list_filter(string_split(code, chr(10)), lambda x: regexp_matches({strip_sql('x')}, '{p}')))" for e, p in code_elements.IMPORTS.items()) + " ELSE 0 END"
 _PAGE = """SELECT 'supplier-' || l_suppkey AS source_file, l_orderkey * 10 + l_linenumber AS page_number, l_partkey % 3 AS nt, l_orderkey % 2 AS ni, l_returnflag || ' page ' || l_linenumber AS body,
     '| flag | status |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || l_returnflag || ' | ' || l_linestatus || ' |' AS md,
     CASE WHEN l_orderkey % 2 = 1 AND l_linenumber <> 7 THEN (l_quantity * 5) * (l_quantity * 10) / 480000.0 ELSE 0 END AS ratio FROM lineitem"""
@@ -189,7 +187,7 @@ _ROUTED = f"""SELECT *, nt = 0 AND ratio > 0.15 AS vision, CASE WHEN nt > 0 AND
 SQL: dict[str, str] = {
     "pack_paragraphs": f"""
         WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, p FROM (
-            SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE {_strip('p')} <> ''),
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE {strip_sql('p')} <> ''),
         whole AS (SELECT doc_id, length(string_agg(p, chr(10) || chr(10) ORDER BY rn)) AS total FROM l GROUP BY 1),
         f AS (SELECT l.doc_id, rn, p, 0 AS cid, length(p) AS n, total FROM l JOIN whole USING (doc_id) WHERE rn = 1
             UNION ALL SELECT l.doc_id, l.rn, l.p, CASE WHEN f.n + length(l.p) > 1000 AND total > 1000 THEN cid + 1 ELSE cid END,
@@ -205,15 +203,15 @@ SQL: dict[str, str] = {
     "section_list": rf"""
         WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents WHERE text IS NOT NULL),
         b AS (SELECT doc_id, idx, line, regexp_matches(line, '^ *#{{1,6}} ') AS head, regexp_matches(line, '^ *([-*+]|[0-9]+[.)]) ') AS item FROM l),
-        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS s, NOT head AND {_strip('line')} <> '' AS filled FROM b),
-        g AS (SELECT doc_id, s, max(CASE WHEN head THEN {_strip("regexp_replace(line, '^ *#+ ', '')")} END) AS heading, max(CASE WHEN head THEN length(regexp_extract(line, '^ *(#+)', 1)) END) AS lev,
+        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS s, NOT head AND {strip_sql('line')} <> '' AS filled FROM b),
+        g AS (SELECT doc_id, s, max(CASE WHEN head THEN {strip_sql("regexp_replace(line, '^ *#+ ', '')")} END) AS heading, max(CASE WHEN head THEN length(regexp_extract(line, '^ *(#+)', 1)) END) AS lev,
             count(*) FILTER (filled) AS paragraphs, coalesce(sum(length(line)) FILTER (filled), 0) + 2 * greatest(count(*) FILTER (filled) - 1, 0) AS size, coalesce(bool_or(item AND filled), false) AS has_lists
             FROM n GROUP BY 1, 2)
         SELECT doc_id::VARCHAR AS source_file, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS section,
             CASE WHEN s = 0 THEN '(Document Start)' WHEN heading = '' THEN '(Untitled Section)' ELSE heading END AS heading, coalesce(lev, 0)::INT AS heading_level,
             CASE WHEN s = 0 THEN 'Normal' ELSE 'Heading ' || lev END AS style_name, paragraphs::INT AS paragraphs, size::INT AS size, has_lists FROM g WHERE s > 0 OR paragraphs > 0""",
-    "markdown_tables": """SELECT r_name, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' |', chr(10) ORDER BY n_nationkey) AS markdown
-        FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1""",
+    "markdown_tables": """SELECT l_orderkey, md5('| line | flag | quantity |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
+        string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_quantity::INT || ' |', chr(10) ORDER BY l_linenumber, l_returnflag, l_quantity::INT::VARCHAR)) AS digest FROM lineitem GROUP BY 1""",
     "page_chunks": f"SELECT source_file, page_number, chunk_type, md5(content) AS digest, length(content)::INT AS text_length, round(ratio, 6)::DOUBLE AS ratio, vision AS is_vision_processed FROM ({_ROUTED})",
     "page_summary": f"""SELECT source_file, count(*) AS pages, count(*) FILTER (vision) AS vision_pages, count(*) FILTER (chunk_type = 'table') AS table_pages, count(*) FILTER (chunk_type = 'mixed') AS mixed_pages,
         count(*) FILTER (chunk_type = 'text') AS text_pages, sum(nt)::BIGINT AS tables, sum(ni)::BIGINT AS images FROM ({_ROUTED}) GROUP BY 1""",
@@ -221,7 +219,7 @@ SQL: dict[str, str] = {
         WITH src AS ({_SRC}), f AS (SELECT *, string_split(code, chr(10)) AS ls, {_words(3, "['class']")} AS cls, {_words(2, "[]::VARCHAR[]")} AS fns, {_COMMENT} AS com FROM src WHERE ext IN ({_KNOWN}) AND code IS NOT NULL),
         l AS (SELECT source_file, ext, cls, fns, com, len(ls) AS total, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM f),
         m AS (SELECT *, length({_opener('line', 1)}) AS ind, {_opener('line', 2)} AS kw, {_opener('line', 3)} AS name, length(regexp_extract(line, '^(\s*)', 1)) AS li,
-            {_strip('line')} <> '' AND NOT starts_with({_strip('line')}, com) AS solid FROM l),
+            {strip_sql('line')} <> '' AND NOT starts_with({strip_sql('line')}, com) AS solid FROM l),
         o AS (SELECT *, list_contains(cls, kw) AS is_class, last_value(CASE WHEN list_contains(cls, kw) THEN name END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY i ROWS UNBOUNDED PRECEDING) AS parent FROM m WHERE kw <> ''),
         e AS (SELECT o.source_file, o.i, any_value(o.total) AS total, any_value(o.kw) AS kw, any_value(o.name) AS name, any_value(o.is_class) AS is_class, any_value(o.parent) AS parent, any_value(o.fns) AS fns, min(s.i) AS nxt
             FROM o LEFT JOIN m s ON s.source_file = o.source_file AND s.solid AND s.i > o.i AND s.li <= o.ind GROUP BY 1, 2)
@@ -230,7 +228,7 @@ SQL: dict[str, str] = {
     "source_figures": f"SELECT source_file, ({_IMPORT})::INT AS imports, (1 + {_COUNT})::INT AS complexity FROM ({_SRC})",
     "chunk_statistics": f"""SELECT chunk_type, count(*) AS chunks, sum(coalesce(text_length, 0))::BIGINT AS total_length, round(avg(coalesce(text_length, 0)), 6) AS avg_length,
         round(count(*) * 100.0 / (SELECT count(*) FROM ({_ALL})), 6)::DOUBLE AS percentage FROM (SELECT coalesce(chunk_type, 'unknown') AS chunk_type, text_length FROM ({_ALL})) GROUP BY GROUPING SETS ((), (chunk_type))""",
-    "preview_and_length": f"SELECT id, length(content)::INT AS size, md5(substr(content, 1, 200)) AS preview, length({_strip('content')})::INT AS stripped FROM ({_ALL})",
+    "preview_and_length": f"SELECT id, length(content)::INT AS size, md5(substr(content, 1, 200)) AS preview, length({strip_sql('content')})::INT AS stripped FROM ({_ALL})",
     "run_summary": f"""SELECT file_type, count(*) FILTER (file_type IN ({_KNOWN})) AS successful, count(*) FILTER (file_type NOT IN ({_KNOWN})) AS failed, count(*) AS total, sum(n)::BIGINT AS chunks
         FROM (SELECT {_EXT} AS file_type, count(*) AS n FROM code_chunks GROUP BY metadata.source_file, 1) GROUP BY 1""",
     "collection_summary": f"""SELECT count(v.embedding) AS num_vectors, max(len(v.embedding))::INT AS dimension, count(c.content) AS num_contents, count(*) FILTER (v.embedding IS NULL) AS without_vector

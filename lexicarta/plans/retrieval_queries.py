@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexicarta.functions.text import with_language
 from lexicarta.functions.vectors import norm, normalise
 from lexicarta.operators import comparison, embedding, evaluation, ground_truth, retrieval
+from lexicarta.plans.chunking_queries import strip_sql
 from lexicarta.runtime import spread, table
 from lexicarta.sources.collection import shaped
 
@@ -112,14 +113,18 @@ def doc_id_truthy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _truth(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "eval_items").select("query_id", "query_text", "relevant_doc_ids", F.col("item_id").alias("pos"))
+    """Judgements derived from page chunks: each asks with its preview for itself and the chunk after it; some repeat an id, have none or a blank text."""
+    key = F.col("id").cast("string")
+    ids = F.when(F.col("id") % 7 == 0, F.array().cast("array<string>")).when(F.col("id") % 5 == 0, F.array(key, key)).when(F.col("id") % 13 != 0, F.array(key, (F.col("id") + 1).cast("string")))
+    text = F.when(F.col("id") % 11 == 0, "  ").otherwise(F.col("metadata.preview"))
+    return table(spark, folder, "pdf_chunks").select(F.concat(F.lit("q"), key).alias("query_id"), text.alias("query_text"), ids.alias("relevant_doc_ids"), F.col("id").alias("pos"), F.col("metadata.page_number").alias("page"))
 
 
 def qrels_last_wins(spark: SparkSession, folder: str) -> DataFrame:
-    """Judgements where items whose passage is German come again later with another text."""
-    items = table(spark, folder, "eval_items")
-    again = items.where("lang = 'de'").select("query_id", F.concat(F.lit("again "), "query_text").alias("query_text"), "relevant_doc_ids", (F.col("item_id") + 1000).alias("pos"))
-    return ground_truth.last_wins(_truth(spark, folder).unionByName(again)).select("query_id", "query_text", F.size("relevant_doc_ids").alias("relevant"))
+    """Judgements where those of even pages come again later with another text."""
+    truth = _truth(spark, folder)
+    again = truth.where("page % 2 = 0").select("query_id", F.concat(F.lit("again "), "query_text").alias("query_text"), "relevant_doc_ids", (F.col("pos") + 10_000_000_000).alias("pos"))
+    return ground_truth.last_wins(truth.drop("page").unionByName(again)).select("query_id", F.md5("query_text").alias("digest"), F.size("relevant_doc_ids").alias("relevant"))
 
 
 def qrels_statistics(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +145,7 @@ def qrels_pairs(spark: SparkSession, folder: str) -> DataFrame:
 def qrels_batch(spark: SparkSession, folder: str) -> DataFrame:
     """Judgements from comma-separated ids."""
     rows = _truth(spark, folder).select("query_id", "query_text", F.concat(F.lit(" , "), F.array_join("relevant_doc_ids", " , "), F.lit(",")).alias("relevant_docs"))
-    return ground_truth.from_batch(rows).select("query_id", "query_text", F.array_join("relevant_doc_ids", "|").alias("ids"))
+    return ground_truth.from_batch(rows).select("query_id", F.md5("query_text").alias("digest"), F.array_join("relevant_doc_ids", "|").alias("ids"))
 
 
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +154,7 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     items = embedding.embed(table(spark, folder, "eval_items").select(F.col("item_id").alias("query_id"), "query_text"), F.col("query_text"), words)
     pages = embedding.embed(spread(table(spark, folder, "pdf_chunks").select("id", "content")), F.col("content"), words)
     hits = retrieval.exact_top_k(items.select("query_id", "vector"), pages.select("id", "vector"), 5)
-    return hits.select("query_id", "rank", F.round("score", 3).alias("score"))
+    return hits.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
 def text_search_evaluation(spark: SparkSession, folder: str) -> DataFrame:
@@ -274,8 +279,21 @@ _RUNS_SQL = " UNION ALL ".join(
     f"SELECT '{name}' AS experiment, {i} AS position, metric, value FROM ({_means_sql(hits)})"
     for i, (name, hits) in enumerate({"ip": _hits("IP", 10), "l2": _hits("L2", 10), "short": _hits("IP", 10, slice_="[1:16]")}.items())
 )
-_HASHED = """SELECT {key}, list_transform(range(64), lambda i: len(list_filter(ps, lambda p: p = i))::DOUBLE) AS v FROM (
-    SELECT {key}, list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS ps FROM {table} WHERE {text} IS NOT NULL)"""
+#: Unit vectors of hashed words in single precision, as the embedder gives them.
+_HASHED = """SELECT {key}, list_transform(c, lambda x: (x / greatest(sqrt(list_inner_product(c, c))::FLOAT::DOUBLE, 1e-12))::FLOAT::DOUBLE) AS v FROM (
+    SELECT {key}, list_transform(range({size}), lambda i: len(list_filter(ps, lambda p: p = i))::DOUBLE) AS c FROM (
+    SELECT {key}, list_transform(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT % {size}) AS ps FROM {table} WHERE {text} IS NOT NULL))"""
+
+
+def _text_hits(size: int, k: int) -> str:
+    q, x = _HASHED.format(key="item_id", text="query_text", table="eval_items", size=size), _HASHED.format(key="id", text="content", table="pdf_chunks", size=size)
+    return f"""SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+        SELECT item_id AS query_id, id, round(list_inner_product(q.v, x.v), 9) AS score FROM ({q}) q, ({x}) x)) WHERE rank <= {k}"""
+
+
+_TEXT_QRELS = "SELECT query_id, doc_id, 1.0 AS grade FROM (SELECT DISTINCT item_id AS query_id, try_cast(unnest(relevant_doc_ids) AS BIGINT) AS doc_id FROM eval_items)"
+_TRUTH_SQL = """SELECT 'q' || id AS query_id, CASE WHEN id % 11 = 0 THEN '  ' ELSE metadata.preview END AS query_text, metadata.page_number AS page,
+    CASE WHEN id % 7 = 0 THEN []::VARCHAR[] WHEN id % 5 = 0 THEN [id::VARCHAR, id::VARCHAR] WHEN id % 13 <> 0 THEN [id::VARCHAR, (id + 1)::VARCHAR] END AS relevant_doc_ids FROM pdf_chunks"""
 
 SQL: dict[str, str] = {
     "exact_topk_ip": _top_sql("IP"),
@@ -292,17 +310,15 @@ SQL: dict[str, str] = {
     "evaluate_coverage": """SELECT count(*) AS total_queries, count(*) FILTER (label <> 0) AS queries_evaluated, count(*) FILTER (label = 0) AS queries_skipped
         FROM embeddings WHERE vec_id % 20 = 0""",
     "doc_id_truthy": f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, id::VARCHAR AS doc_id FROM ({_hits('IP', 10)}) WHERE id <> 0",
-    "qrels_last_wins": """SELECT query_id, CASE WHEN lang = 'de' THEN 'again ' || query_text ELSE query_text END AS query_text, len(relevant_doc_ids)::INT AS relevant FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (lang = 'de') DESC, item_id DESC) AS n FROM eval_items WHERE query_id IS NOT NULL) WHERE n = 1""",
-    "qrels_statistics": """SELECT count(*) AS num_queries, sum(coalesce(len(relevant_doc_ids), 0))::BIGINT AS total_relevant, round(avg(coalesce(len(relevant_doc_ids), 0)), 6) AS avg_relevant,
-        min(coalesce(len(relevant_doc_ids), 0))::INT AS min_relevant, max(coalesce(len(relevant_doc_ids), 0))::INT AS max_relevant FROM eval_items""",
-    "qrels_validation": """SELECT query_id, coalesce(trim(query_text) = '', true) AS blank_text, coalesce(len(relevant_doc_ids), 0) = 0 AS no_relevant,
-        coalesce(len(list_distinct(relevant_doc_ids)) < len(relevant_doc_ids), false) AS repeated_relevant, coalesce(trim(query_text) <> '', false) AS valid FROM eval_items""",
-    "qrels_pairs": "SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, unnest(relevant_doc_ids) AS doc_id FROM eval_items) WHERE doc_id IS NOT NULL",
-    "qrels_batch": "SELECT query_id, trim(query_text) AS query_text, coalesce(array_to_string(relevant_doc_ids, '|'), '') AS ids FROM eval_items WHERE trim(query_id) <> '' AND trim(query_text) <> ''",
-    "text_search": f"""WITH q AS ({_HASHED.format(key="item_id", text="query_text", table="eval_items")}), x AS ({_HASHED.format(key="id", text="content", table="pdf_chunks")}),
-        s AS (SELECT item_id AS query_id, id, list_inner_product(q.v, x.v) / (greatest(sqrt(list_inner_product(q.v, q.v)), 1e-12) * greatest(sqrt(list_inner_product(x.v, x.v)), 1e-12)) AS score FROM q, x)
-        SELECT query_id, rank, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 5""",
+    "qrels_last_wins": f"SELECT query_id, md5(CASE WHEN page % 2 = 0 THEN 'again ' || query_text ELSE query_text END) AS digest, len(relevant_doc_ids)::INT AS relevant FROM ({_TRUTH_SQL})",
+    "qrels_statistics": f"""SELECT count(*) AS num_queries, sum(coalesce(len(relevant_doc_ids), 0))::BIGINT AS total_relevant, round(avg(coalesce(len(relevant_doc_ids), 0)), 6) AS avg_relevant,
+        min(coalesce(len(relevant_doc_ids), 0))::INT AS min_relevant, max(coalesce(len(relevant_doc_ids), 0))::INT AS max_relevant, 0::BIGINT AS queries_with_metadata FROM ({_TRUTH_SQL})""",
+    "qrels_validation": f"""SELECT query_id, coalesce({strip_sql("query_text")} = '', true) AS blank_text, coalesce(len(relevant_doc_ids), 0) = 0 AS no_relevant,
+        coalesce(len(list_distinct(relevant_doc_ids)) < len(relevant_doc_ids), false) AS repeated_relevant, coalesce({strip_sql("query_text")} <> '', false) AS valid FROM ({_TRUTH_SQL})""",
+    "qrels_pairs": f"SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, unnest(relevant_doc_ids) AS doc_id FROM ({_TRUTH_SQL})) WHERE doc_id IS NOT NULL",
+    "qrels_batch": f"SELECT query_id, md5({strip_sql('query_text')}) AS digest, coalesce(array_to_string(relevant_doc_ids, '|'), '') AS ids FROM ({_TRUTH_SQL}) WHERE {strip_sql('query_text')} <> ''",
+    "text_search": f"SELECT query_id, rank, id, round(score, 6) AS score FROM ({_text_hits(64, 5)})",
+    "text_search_evaluation": _means_sql(_text_hits(256, 10), _TEXT_QRELS),
     "language_prefix": """SELECT id, md5(CASE WHEN metadata.document_specific_metadata.language IS NOT NULL THEN '# Language: ' || metadata.document_specific_metadata.language || chr(10) || content
         ELSE content END) AS digest FROM code_chunks""",
     "collection_ids": """SELECT 999 + row_number() OVER (ORDER BY metadata.source_file NULLS FIRST, metadata.chunk_id NULLS FIRST, content NULLS FIRST) AS id, metadata.source_file AS source_file,
