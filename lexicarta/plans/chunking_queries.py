@@ -184,6 +184,16 @@ _PAGE = """SELECT 'supplier-' || l_suppkey AS source_file, l_orderkey * 10 + l_l
 _ROUTED = f"""SELECT *, nt = 0 AND ratio > 0.15 AS vision, CASE WHEN nt > 0 AND ni > 0 THEN 'mixed' WHEN nt > 0 THEN 'table' WHEN ratio > 0.15 THEN 'image_heavy_page' WHEN ni > 0 THEN 'mixed' ELSE 'text' END AS chunk_type,
     CASE WHEN nt > 0 THEN body || chr(10) || chr(10) || chr(10) || chr(10) || '--- Tables ---' || chr(10) || chr(10) || chr(10) || md WHEN ratio > 0.15 THEN 'a picture' ELSE body END AS content FROM ({_PAGE})"""
 
+_SECTIONS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents WHERE text IS NOT NULL),
+        b AS (SELECT doc_id, idx, line, regexp_matches(line, '^ *#{{1,6}} ') AS head, regexp_matches(line, '^ *([-*+]|[0-9]+[.)]) ') AS item FROM l),
+        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS s, NOT head AND {strip_sql('line')} <> '' AS filled FROM b),
+        g AS (SELECT doc_id, s, max(CASE WHEN head THEN {strip_sql("regexp_replace(line, '^ *#+ ', '')")} END) AS heading, max(CASE WHEN head THEN length(regexp_extract(line, '^ *(#+)', 1)) END) AS lev,
+            count(*) FILTER (filled) AS paragraphs, coalesce(sum(length(line)) FILTER (filled), 0) + 2 * greatest(count(*) FILTER (filled) - 1, 0) AS size, coalesce(bool_or(item AND filled), false) AS has_lists
+            FROM n GROUP BY 1, 2),
+        named AS (SELECT doc_id, s, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS section,
+            CASE WHEN s = 0 THEN '(Document Start)' WHEN heading = '' THEN '(Untitled Section)' ELSE heading END AS heading, coalesce(lev, 0)::INT AS heading_level,
+            CASE WHEN s = 0 THEN 'Normal' ELSE 'Heading ' || lev END AS style_name, paragraphs::INT AS paragraphs, size::INT AS size, has_lists FROM g WHERE s > 0 OR paragraphs > 0)"""
+
 SQL: dict[str, str] = {
     "pack_paragraphs": f"""
         WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, p FROM (
@@ -200,16 +210,17 @@ SQL: dict[str, str] = {
             FROM f JOIN l ON l.doc_id = f.doc_id AND l.rn = f.rn + 1)
         SELECT doc_id, cid::INT AS chunk_id, md5(string_agg(p, chr(10) ORDER BY rn)) AS digest, (cid * 1500 // 80)::INT AS line_start,
             (CASE WHEN max(n) < 1500 THEN (SELECT count(*) FROM l WHERE l.doc_id = f.doc_id) ELSE (cid + 1) * 1500 // 80 END)::INT AS line_end FROM f GROUP BY doc_id, cid""",
-    "section_list": rf"""
-        WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS idx FROM documents WHERE text IS NOT NULL),
-        b AS (SELECT doc_id, idx, line, regexp_matches(line, '^ *#{{1,6}} ') AS head, regexp_matches(line, '^ *([-*+]|[0-9]+[.)]) ') AS item FROM l),
-        n AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS s, NOT head AND {strip_sql('line')} <> '' AS filled FROM b),
-        g AS (SELECT doc_id, s, max(CASE WHEN head THEN {strip_sql("regexp_replace(line, '^ *#+ ', '')")} END) AS heading, max(CASE WHEN head THEN length(regexp_extract(line, '^ *(#+)', 1)) END) AS lev,
-            count(*) FILTER (filled) AS paragraphs, coalesce(sum(length(line)) FILTER (filled), 0) + 2 * greatest(count(*) FILTER (filled) - 1, 0) AS size, coalesce(bool_or(item AND filled), false) AS has_lists
-            FROM n GROUP BY 1, 2)
-        SELECT doc_id::VARCHAR AS source_file, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INT AS section,
-            CASE WHEN s = 0 THEN '(Document Start)' WHEN heading = '' THEN '(Untitled Section)' ELSE heading END AS heading, coalesce(lev, 0)::INT AS heading_level,
-            CASE WHEN s = 0 THEN 'Normal' ELSE 'Heading ' || lev END AS style_name, paragraphs::INT AS paragraphs, size::INT AS size, has_lists FROM g WHERE s > 0 OR paragraphs > 0""",
+    "section_list": f"WITH {_SECTIONS} SELECT doc_id::VARCHAR AS source_file, section, heading, heading_level, style_name, paragraphs, size, has_lists FROM named",
+    "section_chunks": f"""WITH RECURSIVE {_SECTIONS},
+        p AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s ORDER BY idx) AS rn, line FROM n WHERE filled),
+        f AS (SELECT p.doc_id, p.s, rn, line, 0 AS cid, length(line) AS m, size FROM p JOIN named ON named.doc_id = p.doc_id AND named.s = p.s WHERE rn = 1
+            UNION ALL SELECT p.doc_id, p.s, p.rn, p.line, CASE WHEN f.m + length(p.line) > 1000 AND size > 1000 THEN cid + 1 ELSE cid END,
+                CASE WHEN f.m + length(p.line) > 1000 AND size > 1000 THEN length(p.line) ELSE f.m + length(p.line) END, size FROM f JOIN p ON p.doc_id = f.doc_id AND p.s = f.s AND p.rn = f.rn + 1),
+        c AS (SELECT doc_id, s, cid, string_agg(line, chr(10) || chr(10) ORDER BY rn) AS bare, count(*)::INT AS paragraph_count FROM f GROUP BY 1, 2, 3),
+        t AS (SELECT *, CASE WHEN cid = 0 AND heading <> '(Document Start)' THEN '# ' || heading || chr(10) || chr(10) || bare ELSE bare END AS content FROM c JOIN named USING (doc_id, s))
+        SELECT doc_id::VARCHAR AS source_file, (row_number() OVER (PARTITION BY doc_id ORDER BY section, cid) - 1)::INT AS chunk_id, section + 1 AS page_number, 'text' AS chunk_type, content,
+            length(content)::INT AS text_length, substr(content, 1, 200) AS preview, heading, heading_level, style_name, has_lists, paragraph_count, cid > 0 AS is_continuation,
+            CASE WHEN cid > 0 THEN heading END AS parent_section FROM t""",
     "markdown_tables": """SELECT l_orderkey, md5('| line | flag | quantity |' || chr(10) || '| --- | --- | --- |' || chr(10) ||
         string_agg('| ' || l_linenumber || ' | ' || l_returnflag || ' | ' || l_quantity::INT || ' |', chr(10) ORDER BY l_linenumber, l_returnflag, l_quantity::INT::VARCHAR)) AS digest FROM lineitem GROUP BY 1""",
     "page_chunks": f"SELECT source_file, page_number, chunk_type, md5(content) AS digest, length(content)::INT AS text_length, round(ratio, 6)::DOUBLE AS ratio, vision AS is_vision_processed FROM ({_ROUTED})",

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import json
+from collections.abc import Sequence
+from datetime import datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +54,13 @@ def write_results(hits: DataFrame, queries: DataFrame, path: str, metadata: dict
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """``query_id, query_text, rank`` and the hit's fields of result files; ranks are places in the list from 1."""
+    """``query_id, query_text, rank`` and the hit's fields of result files; ranks are places in the list from 1.
+
+    ValueError if a file has no ``queries``.
+    """
     files = spark.read.schema(RESULTS_FILE).option("multiLine", True).json(path)
+    if files.where("queries is null").limit(1).count():
+        raise ValueError(f"{path} holds a file without queries")
     queries = files.select(F.explode("queries").alias("q"))
     return queries.select("q.query_id", "q.query_text", F.posexplode("q.results").alias("pos", "hit")).select("query_id", "query_text", (F.col("pos") + 1).cast("bigint").alias("rank"), "hit.*")
 
@@ -79,6 +87,53 @@ def write_judgements(truth: DataFrame, path: str) -> None:
     Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False), encoding="utf-8")
 
 
+def write_evaluation(queries: DataFrame, means: DataFrame, covered: DataFrame, ks: Sequence[int], path: str, metadata: dict[str, object] | None = None) -> None:
+    """An evaluation as one file: time, cut-offs, means, each query's figures and the numbers of queries.
+
+    ``queries`` are per-query figures, ``means`` ``metric, value``, ``covered`` one row of ``evaluation.coverage``. Judged queries are few: they are gathered.
+    """
+    document: dict[str, object] = {
+        "timestamp": datetime.now().isoformat(), "k_values": list(ks), "aggregate": {r["metric"]: r["value"] for r in means.orderBy("metric").collect()},
+        "per_query": {str(r["query_id"]): {k: v for k, v in r.asDict().items() if k != "query_id"} for r in queries.orderBy("query_id").toLocalIterator()},
+        "summary": {k: covered.first()[k] for k in ("queries_evaluated", "total_queries")},
+    }
+    if metadata:
+        document["original_metadata"] = metadata
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(document, indent=2, ensure_ascii=False), encoding="utf-8")
+
+
+EVALUATION = "timestamp string, k_values array<int>, aggregate map<string, double>, summary struct<queries_evaluated: bigint, total_queries: bigint>"
+
+
+def read_evaluations(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Saved evaluations as ``experiment, position, metric, value`` and ``experiment, position, queries_evaluated, timestamp``, named by their files.
+
+    Files that can't be read are skipped; ValueError if none can.
+    """
+    rows = []
+    for position, path in enumerate(paths):
+        try:
+            found = json.loads(Path(path).read_text(encoding="utf-8"))
+            values = {str(k): float(v) for k, v in found["aggregate"].items()}
+        except (OSError, ValueError, KeyError, TypeError, AttributeError):
+            continue
+        rows.append((Path(path).stem, position, values, found.get("summary", {}).get("queries_evaluated"), found.get("timestamp")))
+    if not rows:
+        raise ValueError(f"no evaluation can be read of {', '.join(paths) or 'none'}")
+    runs = spark.createDataFrame(rows, "experiment string, position int, aggregate map<string, double>, queries_evaluated bigint, timestamp string")
+    return runs.select("experiment", "position", F.explode("aggregate").alias("metric", "value")), runs.drop("aggregate")
+
+
+def write_comparison_file(table: DataFrame, names: Sequence[str], about: DataFrame, path: str) -> None:
+    """One CSV file: a row a metric, then a blank row and each experiment's name, evaluated queries and time. A few hundred rows at most."""
+    found = [["Metric", *names], *[list(r) for r in csv_lines(table, names).orderBy("metric").collect()], [], ["Metadata"]]
+    found += [[r["experiment"], r["queries_evaluated"], r["timestamp"]] for r in about.orderBy("position").collect()]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        csv.writer(out).writerows(found)
+
+
 def write_comparison(table: DataFrame, names: list[str], path: str) -> None:
     """Comparison with four places a value, sorted by metric."""
     csv_lines(table, names).withColumnRenamed("metric", "Metric").orderBy("Metric").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
