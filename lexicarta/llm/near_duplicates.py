@@ -118,7 +118,7 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(level, pa.binary())], names=["piece", "level"])
 
 
-def _short_lists(width: int, min_words: int, threshold: float, occurrences: int, level, bits: int):
+def _short_lists(width: int, min_words: int, threshold: float, occurrences: int, level, bits: int, block: int):
     """The short lists each class is on. Lists of a single class, by the sketch, aren't written.
 
     ``role`` is 0 where all of a key's members meet each other. A list of several blocks has a key for each pair of blocks, in which the
@@ -149,7 +149,7 @@ def _short_lists(width: int, min_words: int, threshold: float, occurrences: int,
             merged = np.minimum(n, n - least + occurrences)
             use = (place < merged[owner]) & (rank > 1)
             h, owner = h[use], owner[use]
-            blocks = np.ceil(_length(rank[use]) / BLOCK).astype(np.int64)
+            blocks = np.ceil(_length(rank[use]) / block).astype(np.int64)
             role = np.zeros(len(h), dtype=np.int8)
             if (blocks > 1).any():
                 copies = np.repeat(np.arange(len(h)), blocks)
@@ -198,7 +198,7 @@ def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def similar_classes(
-    texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, occurrences: int = 4
+    texts: DataFrame, threshold: float = 0.8, width: int = 5, min_words: int = 1, occurrences: int = 4, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Similar texts as pairs between class representatives plus membership.
 
@@ -234,7 +234,7 @@ def similar_classes(
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-places // PLACES))
     lists = (
         texts.select("content")
-        .mapInArrow(_short_lists(width, min_words, threshold, occurrences, shared, bits), "token bigint, cls bigint, n int, role tinyint")
+        .mapInArrow(_short_lists(width, min_words, threshold, occurrences, shared, bits, block), "token bigint, cls bigint, n int, role tinyint")
         .repartition(tasks, "token")
         .dropDuplicates(["token", "cls"])
     )
@@ -260,7 +260,7 @@ def similar_classes(
     return members, links
 
 
-def similar_rows(members: DataFrame, links: DataFrame) -> DataFrame:
+def similar_rows(members: DataFrame, links: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every pair of rows in linked classes or in one class: ``id_a < id_b``.
 
     Pairs of rows with one ``row_key`` (the same chunk ingested twice) are left out. The result is
@@ -269,7 +269,7 @@ def similar_rows(members: DataFrame, links: DataFrame) -> DataFrame:
     a = members.select(F.col("cls").alias("cls_a"), F.col("id").alias("i"), F.col("row_key").alias("key_i"))
     b = members.select(F.col("cls").alias("cls_b"), F.col("id").alias("j"), F.col("row_key").alias("key_j"))
     # the copies of a class meet in blocks, so that no class is one task's
-    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("cls").alias("cls_a"), F.ceil(F.col("rows") / BLOCK).alias("blocks"))
+    several = members.groupBy("cls").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("cls").alias("cls_a"), F.ceil(F.col("rows") / block).alias("blocks"))
     sized = a.join(several, "cls_a").withColumn("own", F.pmod(F.xxhash64("i"), F.col("blocks")))
     zero = F.lit(0).cast("bigint")
     low = sized.select("cls_a", "i", "key_i", F.col("own").alias("x"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("y"))

@@ -48,6 +48,23 @@ def test_pairs_are_those_of_brute_force(spark, seed, threshold, width, occurrenc
     assert got == similar(texts, threshold, width, 5)
 
 
+def test_a_hot_shingle_and_long_lists_in_blocks(spark):
+    rng = random.Random(11)
+    texts = {}
+    for i in range(240):
+        own = [f"v{rng.randrange(400)}" for _ in range(rng.randint(4, 12))]
+        texts[i] = " ".join(own + ("the same legal notice on every page".split() if i % 3 == 0 else []))
+        if i % 10 == 9:
+            texts[i] = texts[i - rng.choice([3, 6])] + " x"
+    df = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id bigint, row_key bigint, content string")
+    for block in (3, 7, 2048):
+        members, links = nd.similar_classes(df, 0.5, 2, 2, 2, block)
+        assert set(rows(nd.similar_rows(members, links, block))) == similar(texts, 0.5, 2, 2)
+    copies = spark.createDataFrame([(i, i, "a b c d e f") for i in range(50)], "id bigint, row_key bigint, content string")
+    members, links = nd.similar_classes(copies, 0.8, 5, block=4)
+    assert nd.similar_rows(members, links, 4).distinct().count() == nd.similar_rows(members, links, 4).count() == 50 * 49 // 2
+
+
 def test_rows_of_one_key_are_no_pair(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(1, 7, text), (2, 7, text), (3, 8, text), (4, 8, text + " i")], "id bigint, row_key bigint, content string")
