@@ -1,6 +1,6 @@
 """Sources mixed to target shares by hierarchical budgeting.
 
-The budget goes down a tree of levels, here domain, source and language. A leaf offers its tokens as
+The budget goes down a tree of levels, here domain, language and source. A leaf offers its tokens as
 often as they may be repeated. What a leaf can't use goes to its siblings first and to the rest of
 the tree only when they are full. Each leaf takes whole epochs of its documents and, in a seeded
 order, the prefix of the next epoch that its budget still holds.
@@ -22,6 +22,8 @@ from lexicarta.runtime import cut, spread
 TOKENIZERS = "/opt/tokenizers"
 #: Parts of a leaf's seeded order over which token sums are taken: a leaf is never one task.
 SLICES = 1024
+#: Leaves of the tree that budgets are worked out for; ValueError beyond.
+MOST_LEAVES = 100_000
 
 
 def token_counts(df: DataFrame, text: Column, columns: dict[str, Column], tokenizer: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
@@ -110,7 +112,7 @@ def budgets(leaves: Sequence[tuple[tuple[str, ...], float, float]], total: float
 
 
 def mix(
-    counted: DataFrame, levels: Sequence[str], targets: DataFrame, seed: int = 17, total: float | None = None
+    counted: DataFrame, levels: Sequence[str], targets: DataFrame, seed: int = 17, total: float | None = None, most_leaves: int = MOST_LEAVES
 ) -> tuple[DataFrame, DataFrame]:
     """Documents to take and how often, and the shares reached.
 
@@ -119,13 +121,14 @@ def mix(
         levels: the tree from the root down; one of them is ``source``.
         targets: ``source, target_share, max_repeats``.
         total: tokens of the whole mix; by default those of all documents.
+        most_leaves: a bound on the leaves, whose budgets are worked out by the driver; ValueError beyond it.
 
     Returns:
         ``(doc_id, source, tokens, times)`` of all documents taken, and ``(source, target_share,
         available, budget, tokens, actual_share, documents, most_times)`` of all targets, also of
         those without documents.
 
-    Within a source its weight is spread over the leaves below by the tokens they have. Documents
+    A source's weight is spread over its leaves by the tokens they have. Documents
     of a null source or of one without a target aren't taken, though their tokens count in the
     default total; documents without tokens aren't taken. Repeated rows are documents of their own.
     A document is taken at most ``max_repeats`` times. The prefix ends before the first document
@@ -136,10 +139,13 @@ def mix(
     levels = list(levels)
     counted = cut(counted.select("doc_id", "tokens", *levels))
     goals = targets.where("source is not null").groupBy("source").agg(F.min("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
-    usable = counted.where("tokens > 0").join(F.broadcast(goals), "source") if _few(goals) else counted.where("tokens > 0").join(goals, "source")
+    usable = counted.where("tokens > 0").join(goals, "source")
     key = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in levels]
-    # one row per leaf: as many as targets and values of the levels below them
-    sums = usable.groupBy(*key, "target_share", "max_repeats").agg(F.sum("tokens").alias("have")).collect()
+    # one row per leaf: as many as targets and values of the other levels
+    sums = usable.groupBy(*key, "target_share", "max_repeats").agg(F.sum("tokens").alias("have")).limit(most_leaves + 1).collect()
+    if len(sums) > most_leaves:
+        raise ValueError(f"the tree has more than {most_leaves} leaves")
+    sums.sort(key=lambda r: tuple(r[c] for c in levels))
     whole = total if total is not None else (counted.agg(F.sum("tokens")).first()[0] or 0)
     of_source: dict[str, float] = {}
     for r in sums:
@@ -178,6 +184,3 @@ def mix(
     )
     return taken, shares
 
-
-def _few(goals: DataFrame, most: int = 10_000) -> bool:
-    return goals.limit(most + 1).count() <= most
