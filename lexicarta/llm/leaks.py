@@ -101,13 +101,15 @@ def leaks(
     passage: Column,
     least_words: int = 12,
     least_coverage: float = 0.0,
+    least_run: int | None = None,
     broadcast_words: int = BROADCAST_WORDS,
 ) -> DataFrame:
     """Pairs of a document and an item whose passage it holds, wholly or partly.
 
     Columns: ``doc_id, item_id``; ``tiles``, the marked runs of at least ``least_words`` words;
     ``longest`` of them and ``covered`` in words; ``coverage``, the covered share of the passage.
-    Pairs below ``least_coverage`` are left out. Null ids, null and empty texts and passages and passages
+    A pair counts if its coverage is ``least_coverage`` or more, or if one tile has ``least_run`` words. Short tiles with a threshold of coverage
+    find a passage whose parts were put in another order; long ones a part of it. Null ids, null and empty texts and passages and passages
     shorter than ``least_words`` give no rows; repeated documents or items are pairs of their own.
     Other columns aren't read.
 
@@ -118,14 +120,15 @@ def leaks(
     spark = documents.sparkSession
     left = spread(documents.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text")).where((F.length("text") > 0) & F.col("doc_id").isNotNull()))
     right = items.select(item_id.cast("bigint").alias("item_id"), passage.cast("string").alias("passage")).where((F.length("passage") > 0) & F.col("item_id").isNotNull())
-    size = right.agg(F.sum(F.length("passage"))).first()[0] or 0
-    if size <= 2 * broadcast_words:
+    size = right.agg(F.sum(F.regexp_count("passage", F.lit(r"(?U)[^\W_]+")))).first()[0] or 0
+    if size <= broadcast_words:
         rows = right.collect()  # the held-out side, of a size checked above
         shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.passage for r in rows]))
         found = left.mapInArrow(_scan(shared, least_words), SCHEMA)
     else:
         found = _shuffled(left, right, least_words)
-    return found.where(F.col("coverage") >= least_coverage)
+    enough = F.col("coverage") >= least_coverage
+    return found.where(enough if least_run is None else enough | (F.col("longest") >= least_run))
 
 
 def _scan(shared, least: int):
@@ -156,13 +159,19 @@ def _window_rows(least: int):
             codes, counts = word_codes(batch.column(1).to_pylist())
             h, owner, _ = windows(codes, counts, least)
             keys = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[owner]), pa.array(h.view(np.int64))], names=["key", "h"])
+            order = np.lexsort((h, owner))  # each window of a text once
+            h, owner = h[order], owner[order]
+            first = np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])] if len(h) else np.empty(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[owner[first]]), pa.array(h[first].view(np.int64))], names=["key", "h"])
 
     return run
 
 
 def _shuffled(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
-    """The join by shuffle: windows of both sides meet on their hash, then texts are fetched for the pairs."""
+    """The join by shuffle: windows of both sides meet on their hash, then texts are fetched for the pairs.
+
+    A window that very many documents share is one key of the documents' side only; Spark's adaptive execution splits such a partition.
+    """
     seeds = right.select("item_id", "passage").mapInArrow(_window_rows(least), "key bigint, h bigint").distinct().select(F.col("key").alias("item_id"), "h")
     seen = left.select("doc_id", "text").mapInArrow(_window_rows(least), "key bigint, h bigint").select(F.col("key").alias("doc_id"), "h")
     pairs = seen.join(seeds, "h").select("doc_id", "item_id").distinct()
