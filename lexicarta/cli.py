@@ -84,6 +84,7 @@ def _parser() -> argparse.ArgumentParser:
     one = commands.add_parser("truth", help="a template of judgements")
     one.add_argument("output")
     one.add_argument("--number", type=int, default=10)
+    one.add_argument("--batch", help="a CSV file of query_id, query_text and comma-separated relevant_docs, instead of a template")
     for command in commands.choices.values():
         command.add_argument("--provider", default="hash")
     return parser
@@ -117,7 +118,9 @@ def main(argv: list[str] | None = None) -> int:
                 jsonfiles.write_comparison_file(table, names, about, given.csv)
             table.orderBy("metric").show(200, truncate=False)
         else:
-            jsonfiles.write_judgements(ground_truth.template(spark, given.number), given.output)
+            batch = spark.read.schema("query_id string, query_text string, relevant_docs string").option("header", True).csv(given.batch) if given.batch else None
+            truth = ground_truth.template(spark, given.number) if batch is None else ground_truth.from_batch(batch)
+            jsonfiles.write_judgements(truth, given.output)
     except (ValueError, OSError) as problem:
         print(problem, file=sys.stderr)
         return 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,6 +140,18 @@ def _meet(metric: str, k: int):
     return run
 
 
+def reparsed(hits: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``hits`` with the named fields, which hold nested values as JSON text, as variants again.
+
+    Text that isn't JSON stays a text (as a variant), null stays null, fields that ``hits`` lacks are skipped.
+    """
+    for field in fields:
+        if field in hits.columns:
+            text = F.variant_get(F.parse_json(F.to_json(F.struct(F.col(field).alias("v")))), "$.v", "variant")
+            hits = hits.withColumn(field, F.when(F.col(field).isNotNull(), F.coalesce(F.try_parse_json(field), text)))
+    return hits
+
+
 @dataclass(frozen=True)
 class InvertedFile:
     """Coarse centroids; fitted on at most about ``sample`` rows. A stored one has its rows below ``path``, by list."""

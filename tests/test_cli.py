@@ -24,6 +24,9 @@ def test_from_chunks_to_scores(spark, tmp_path):
     assert main(["query", place, str(tmp_path / "results2"), "--query", "a green pear", "--index", "IVF"]) == 0
     assert main(["truth", str(tmp_path / "t.json"), "--number", "3"]) == 0
     assert json.loads((tmp_path / "t.json").read_text())["metadata"] == {"num_queries": 3, "format_version": "1.0"}
+    (tmp_path / "batch.csv").write_text('query_id,query_text,relevant_docs\nq1,green pear,"2, 1"\n,blank,3\n')
+    assert main(["truth", str(tmp_path / "b.json"), "--batch", str(tmp_path / "batch.csv")]) == 0
+    assert json.loads((tmp_path / "b.json").read_text())["queries"] == [{"query_id": "q1", "query_text": "green pear", "relevant_doc_ids": ["2", "1"]}]
     (tmp_path / "bad.json").write_text("1")
     assert main(["evaluate", str(tmp_path / "bad.json"), str(tmp_path / "results")]) == 1
 

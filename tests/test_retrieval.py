@@ -121,8 +121,8 @@ def test_ground_truth(spark):
     assert rows(truth) == [("a", "y", ["2"]), ("b", " ", []), ("c", None, None)]
     assert rows(ground_truth.validation(truth)) == [("a", False, False, False, True), ("b", True, True, False, False), ("c", True, True, False, False)]
     assert ground_truth.is_valid(truth).first()[0] is False and ground_truth.is_valid(truth.where("false")).first()[0] is False
-    assert rows(ground_truth.statistics(truth)) == [(3, 1, 1 / 3, 0, 1)]
-    assert rows(ground_truth.statistics(truth.where("false"))) == [(0, 0, 0.0, 0, 0)]
+    assert rows(ground_truth.statistics(truth)) == [(3, 1, 1 / 3, 0, 1, 0)]
+    assert rows(ground_truth.statistics(truth.where("false"))) == [(0, 0, 0.0, 0, 0, 0)]
     assert rows(ground_truth.qrels(entries)) == [("a", "1"), ("a", "2"), (None, "1")]
     assert rows(ground_truth.add_queries(truth, truth.where("query_id = 'a'").selectExpr("query_id", "'new' as query_text", "relevant_doc_ids")), "query_id", "query_text")[0] == ("a", "new")
     batch = spark.createDataFrame([("q", " t ", " 1,, 2 "), ("r", "t", None), ("", "t", "1"), ("s", None, "1")], "query_id string, query_text string, relevant_docs string")
@@ -187,3 +187,10 @@ def test_many_rows_and_ties_keep_the_lesser_ids(spark):
     assert got == [(1, r, 6 + 7 * (r - 1)) for r in range(1, 5)] + [(2, r, 7 * (r - 1)) for r in range(1, 5)]
     blocks = rows(retrieval.exact_top_k(asked, corpus, 4, query_block=1), "query_id", "rank", "id")
     assert blocks == got
+
+
+def test_nested_payload_is_read_again(spark):
+    df = spark.createDataFrame([(1, '{"a": [1, 2]}'), (2, "no json {"), (3, None)], "id bigint, boxes string")
+    got = retrieval.reparsed(df, ["boxes", "missing"]).selectExpr("id", "try_variant_get(boxes, '$.a[1]', 'int') as a", "try_variant_get(boxes, '$', 'string') as t", "boxes is null as gone")
+    found = {r.id: (r.a, r.t, r.gone) for r in got.collect()}
+    assert found[1][0] == 2 and found[2] == (None, "no json {", False) and found[3] == (None, None, True)
