@@ -194,6 +194,19 @@ _SECTIONS = rf"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS lin
             CASE WHEN s = 0 THEN '(Document Start)' WHEN heading = '' THEN '(Untitled Section)' ELSE heading END AS heading, coalesce(lev, 0)::INT AS heading_level,
             CASE WHEN s = 0 THEN 'Normal' ELSE 'Heading ' || lev END AS style_name, paragraphs::INT AS paragraphs, size::INT AS size, has_lists FROM g WHERE s > 0 OR paragraphs > 0)"""
 
+_IMPORTS = "CASE ext" + "".join(
+    f" WHEN '{e}' THEN list_filter(list_transform(string_split(code, chr(10)), lambda y: {strip_sql('y')}), lambda x: regexp_matches(x, '{p}'))" for e, p in code_elements.IMPORTS.items()
+) + " ELSE []::VARCHAR[] END"
+_ELEMENTS = rf"""src AS ({_SRC}), f AS (SELECT *, string_split(code, chr(10)) AS ls, {_words(3, "['class']")} AS cls, {_words(2, "[]::VARCHAR[]")} AS fns, {_COMMENT} AS com FROM src WHERE ext IN ({_KNOWN}) AND code IS NOT NULL),
+        l AS (SELECT source_file, ext, cls, fns, com, len(ls) AS total, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM f),
+        m AS (SELECT *, length({_opener('line', 1)}) AS ind, {_opener('line', 2)} AS kw, {_opener('line', 3)} AS name, length(regexp_extract(line, '^(\s*)', 1)) AS li,
+            {strip_sql('line')} <> '' AND NOT starts_with({strip_sql('line')}, com) AS solid FROM l),
+        o AS (SELECT *, list_contains(cls, kw) AS is_class, last_value(CASE WHEN list_contains(cls, kw) THEN name END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY i ROWS UNBOUNDED PRECEDING) AS parent FROM m WHERE kw <> ''),
+        e AS (SELECT o.source_file, o.i, any_value(o.total) AS total, any_value(o.kw) AS kw, any_value(o.name) AS name, any_value(o.is_class) AS is_class, any_value(o.parent) AS parent, any_value(o.fns) AS fns, min(s.i) AS nxt
+            FROM o LEFT JOIN m s ON s.source_file = o.source_file AND s.solid AND s.i > o.i AND s.li <= o.ind GROUP BY 1, 2),
+        elements AS (SELECT source_file, i::INT AS line_start, coalesce(nxt - 1, total - 1)::INT AS line_end, k AS kind, name, CASE WHEN k = 'method' THEN parent END AS parent FROM (
+                    SELECT *, CASE WHEN is_class THEN 'class' WHEN (list_contains(fns, kw) OR kw IN ('public', 'private', 'protected', 'static')) AND parent IS NOT NULL THEN 'method' ELSE 'function' END AS k FROM e))"""
+
 SQL: dict[str, str] = {
     "pack_paragraphs": f"""
         WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn, p FROM (
@@ -226,16 +239,19 @@ SQL: dict[str, str] = {
     "page_chunks": f"SELECT source_file, page_number, chunk_type, md5(content) AS digest, length(content)::INT AS text_length, round(ratio, 6)::DOUBLE AS ratio, vision AS is_vision_processed FROM ({_ROUTED})",
     "page_summary": f"""SELECT source_file, count(*) AS pages, count(*) FILTER (vision) AS vision_pages, count(*) FILTER (chunk_type = 'table') AS table_pages, count(*) FILTER (chunk_type = 'mixed') AS mixed_pages,
         count(*) FILTER (chunk_type = 'text') AS text_pages, sum(nt)::BIGINT AS tables, sum(ni)::BIGINT AS images FROM ({_ROUTED}) GROUP BY 1""",
-    "element_list": rf"""
-        WITH src AS ({_SRC}), f AS (SELECT *, string_split(code, chr(10)) AS ls, {_words(3, "['class']")} AS cls, {_words(2, "[]::VARCHAR[]")} AS fns, {_COMMENT} AS com FROM src WHERE ext IN ({_KNOWN}) AND code IS NOT NULL),
-        l AS (SELECT source_file, ext, cls, fns, com, len(ls) AS total, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM f),
-        m AS (SELECT *, length({_opener('line', 1)}) AS ind, {_opener('line', 2)} AS kw, {_opener('line', 3)} AS name, length(regexp_extract(line, '^(\s*)', 1)) AS li,
-            {strip_sql('line')} <> '' AND NOT starts_with({strip_sql('line')}, com) AS solid FROM l),
-        o AS (SELECT *, list_contains(cls, kw) AS is_class, last_value(CASE WHEN list_contains(cls, kw) THEN name END IGNORE NULLS) OVER (PARTITION BY source_file ORDER BY i ROWS UNBOUNDED PRECEDING) AS parent FROM m WHERE kw <> ''),
-        e AS (SELECT o.source_file, o.i, any_value(o.total) AS total, any_value(o.kw) AS kw, any_value(o.name) AS name, any_value(o.is_class) AS is_class, any_value(o.parent) AS parent, any_value(o.fns) AS fns, min(s.i) AS nxt
-            FROM o LEFT JOIN m s ON s.source_file = o.source_file AND s.solid AND s.i > o.i AND s.li <= o.ind GROUP BY 1, 2)
-        SELECT source_file, i::INT AS line_start, coalesce(nxt - 1, total - 1)::INT AS line_end, k AS kind, name, CASE WHEN k = 'method' THEN parent END AS parent FROM (
-            SELECT *, CASE WHEN is_class THEN 'class' WHEN (list_contains(fns, kw) OR kw IN ('public', 'private', 'protected', 'static')) AND parent IS NOT NULL THEN 'method' ELSE 'function' END AS k FROM e)""",
+    "element_list": f"WITH {_ELEMENTS} SELECT * FROM elements",
+    "source_chunks": f"""WITH {_ELEMENTS},
+        base AS (SELECT source_file, ext, ls, {_IMPORTS} AS imps FROM f),
+        outside AS (SELECT source_file, {strip_sql("string_agg(line, chr(10) ORDER BY i)")} AS body FROM l
+            WHERE NOT EXISTS (SELECT 1 FROM elements e WHERE e.source_file = l.source_file AND l.i BETWEEN e.line_start AND e.line_end) GROUP BY 1),
+        x AS (SELECT b.source_file, -1 AS place, 'module' AS element_type, regexp_replace(b.source_file, '([^.])[.][^.]+$', '\\1') AS element_name, NULL AS parent_class, 0 AS line_start, len(ls)::INT AS line_end, 0 AS page_number,
+                coalesce(o.body, '') AS body, imps AS lead FROM base b LEFT JOIN outside o USING (source_file)
+            UNION ALL SELECT b.source_file, e.line_start, kind, name, parent, e.line_start, e.line_end, e.line_start // 100, array_to_string(ls[e.line_start + 1:e.line_end + 1], chr(10)),
+                list_concat(list_filter(ls[greatest(0, e.line_start - 20) + 1:e.line_start], lambda y: contains(y, 'class ' || parent))[1:1], imps[1:5]) FROM base b JOIN elements e USING (source_file)),
+        y AS (SELECT *, CASE WHEN len(lead) > 0 THEN array_to_string(lead, chr(10)) || chr(10) || chr(10) || body ELSE body END AS content FROM x WHERE length(body) >= 100),
+        z AS (SELECT *, CASE WHEN place < 0 THEN content ELSE body END AS code FROM y)
+        SELECT source_file, (row_number() OVER (PARTITION BY source_file ORDER BY place) - 1)::INT AS chunk_id, element_type, element_name, parent_class, line_start::INT AS line_start, line_end,
+            (1 + {_COUNT})::INT AS complexity_score, page_number::INT AS page_number, length(content)::INT AS text_length, md5(content) AS digest FROM z""",
     "source_figures": f"SELECT source_file, ({_IMPORT})::INT AS imports, (1 + {_COUNT})::INT AS complexity FROM ({_SRC})",
     "chunk_statistics": f"""SELECT chunk_type, count(*) AS chunks, sum(coalesce(text_length, 0))::BIGINT AS total_length, round(avg(coalesce(text_length, 0)), 6) AS avg_length,
         round(count(*) * 100.0 / (SELECT count(*) FROM ({_ALL})), 6)::DOUBLE AS percentage FROM (SELECT coalesce(chunk_type, 'unknown') AS chunk_type, text_length FROM ({_ALL})) GROUP BY GROUPING SETS ((), (chunk_type))""",
