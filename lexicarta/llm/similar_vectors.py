@@ -279,18 +279,22 @@ def _search(shared, k: int, s: Settings):
         rows = {int(c): np.arange(a, b)[held[a:b]] for c, a, b in zip(names, starts, [*starts[1:], len(cell)])}
         asking = np.flatnonzero(ask)
         lists = _lists(x[asking], centres, probes)
-        kth, usual = np.full(len(cell), -np.inf), np.zeros(len(centres))
+        by_cell = np.argsort(lists, axis=None, kind="stable")  # the askers of each cell side by side
+        listed, asker = lists.ravel()[by_cell], asking[by_cell // lists.shape[1]]
+        kth, usual = np.full(len(cell), -np.inf, dtype=np.float32), np.zeros(len(centres), dtype=np.float32)
         found = []
 
         def tables_of(q: np.ndarray) -> list[np.ndarray]:
             return [books[p] @ q[:, p * width : (p + 1) * width].T for p in range(s.parts)]
 
         def similar(at: np.ndarray, tables: list[np.ndarray], q: np.ndarray, centre: np.ndarray) -> np.ndarray:
-            score = tables[0][codes[at, 0]]
+            score = np.take(tables[0], codes[at, 0], axis=0)
+            part = np.empty_like(score)
             for p in range(1, s.parts):
-                score += tables[p][codes[at, p]]
+                score += np.take(tables[p], codes[at, p], axis=0, out=part, mode="clip")
             score *= size[at, None]
-            return score + along[at, None] * (q @ centre)
+            score += np.multiply.outer(along[at], q @ centre, out=part)
+            return score
 
         # the own cell exactly, which also shows the tables' usual error for a residual of length one
         for home in np.unique(cell[asking]).tolist():
@@ -310,17 +314,19 @@ def _search(shared, k: int, s: Settings):
                     kth[mine] = np.take_along_axis(close, first, 0).min(0)
                 found.append((np.tile(mine, few), near[first].ravel()))
             usual[home] = np.mean(errors) ** 0.5 if errors else 0.0
-        bound = kth - 1e-5
-        allowed = s.margin * usual[cell]
+        bound = kth - np.float32(1e-5)
+        allowed = np.float32(s.margin) * usual[cell]
         for c, at in rows.items():
             if not len(at):
                 continue
-            askers = asking[(lists == c).any(axis=1) & (cell[asking] != c)]
+            askers = asker[np.searchsorted(listed, c) : np.searchsorted(listed, c, side="right")]
+            askers = askers[cell[askers] != c]
             for i in range(0, len(askers), 512):
                 mine = askers[i : i + 512]
                 q = x[mine]
                 score = similar(at, tables_of(q), q, centres[c])
-                u, v = np.nonzero(score >= bound[mine] - size[at, None] * allowed[mine])
+                score += np.multiply.outer(size[at], allowed[mine])
+                u, v = np.nonzero(score >= bound[mine])
                 found.append((mine[v], at[u]))
         if not found:
             return _FOUND.empty_table()
@@ -379,7 +385,7 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     own = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("turns")).cast("int")
     kept = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
     sent = (
-        placed.join(F.broadcast(asked), "cell")
+        placed.join(asked, "cell")
         .withColumn("own", own)
         .withColumn("kept", kept)
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
