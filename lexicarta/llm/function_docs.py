@@ -24,7 +24,7 @@ _SECTION = re.compile(
 _TODO = re.compile(r"^\W*(?:todo|fixme|xxx|hack|tbd|bug|wip|optimi[sz]e|review)\b(?=\s*(?:[:(\-]|$)|\s+\S)", re.I)
 #: What tool directives begin with.
 _DIRECTIVE = re.compile(
-    r"^\W*(?:eslint|tslint|jshint|jslint|prettier|stylelint|biome|standard|noqa|pylint|flake8|ruff|mypy|pyright|type|isort|yapf|fmt|black|bandit|nosec|ts-\w+|istanbul|c8|v8|webpack\w*|flow|nolint\w*|clang-\w+|cppcheck|iwyu|lint|checkstyle|noinspection|spotless|sonar\w*|nosonar|rubocop|steep|sorbet|typed|frozen_string_literal|go:\w+|\+build|phpcs|phpstan|psalm|codingstandards\w*|rustfmt|clippy|coverage|codecov|codecheck|pragma|region|endregion)\b(?:\s*[:=]|[-\s](?:ignore|disable|enable|expect|off|on|next|no|start|stop|skip)\b|\s*$|(?=[\w-]*[:(]))|^\W*[\w-]+:\s*(?:ignore|disable|enable|off|skip|noqa)\b|^\W*[\w@]+-(?:ignore|disable|enable|off|expect-error)(?:-[\w-]+)?\b",
+    r"^\W*(?:eslint|tslint|jshint|jslint|prettier|stylelint|biome|standard|noqa|pylint|flake8|ruff|mypy|pyright|type|isort|yapf|fmt|black|bandit|nosec|ts-\w+|istanbul|c8|v8|webpack\w*|flow|nolint\w*|clang-\w+|cppcheck|iwyu|lint|checkstyle|noinspection|spotless|sonar\w*|nosonar|rubocop|steep|sorbet|typed|frozen_string_literal|go:\w+|\+build|phpcs|phpstan|psalm|codingstandards\w*|rustfmt|clippy|coverage|codecov|pragma|region|endregion)\b(?:\s*[:=]|[-\s](?:ignore|disable|enable|expect|off|on|next|no|start|stop|skip)\b|\s*$|(?=[\w-]*[:(]))|^\W*[\w-]+:\s*(?:ignore|disable|enable|off|skip|noqa)\b|^\W*[\w@]+-(?:ignore|disable|enable|off|expect-error)(?:-[\w-]+)?\b",
     re.I,
 )
 _CODE = re.compile(
