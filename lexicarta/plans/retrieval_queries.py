@@ -180,6 +180,15 @@ def collection_ids(spark: SparkSession, folder: str) -> DataFrame:
     return shaped(rows, first_id=1000).select("id", "source_file", "chunk_id", F.length("content").alias("size"))
 
 
+def collection_all_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of a collection of the chunks of all three tables with their vectors."""
+    fields = ["id", "metadata.source_file", "metadata.chunk_id", "content"]
+    pages, sections, code = (table(spark, folder, name).select(*fields) for name in ("pdf_chunks", "word_chunks", "code_chunks"))
+    vectors = table(spark, folder, "chunk_vectors").select("id", F.col("embedding").alias("vector"))
+    rows = pages.unionByName(sections).unionByName(code).join(vectors, "id", "left").drop("id")
+    return shaped(rows).select("id", "source_file", "chunk_id", F.length("content").alias("size"))
+
+
 RUNS = ("ip", "l2", "short")
 
 
@@ -220,7 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evaluate_per_query": evaluate_per_query, "evaluate_graded": evaluate_graded, "evaluate_means": evaluate_means, "evaluate_coverage": evaluate_coverage,
     "doc_id_truthy": doc_id_truthy, "qrels_last_wins": qrels_last_wins, "qrels_statistics": qrels_statistics, "qrels_validation": qrels_validation,
     "qrels_pairs": qrels_pairs, "qrels_batch": qrels_batch, "text_search": text_search, "text_search_evaluation": text_search_evaluation,
-    "language_prefix": language_prefix, "collection_ids": collection_ids, "compare_pivot": compare_pivot, "compare_best_flags": compare_best_flags,
+    "language_prefix": language_prefix, "collection_ids": collection_ids, "collection_all_ids": collection_all_ids, "compare_pivot": compare_pivot, "compare_best_flags": compare_best_flags,
     "compare_best": compare_best,
 }
 
@@ -323,6 +332,9 @@ SQL: dict[str, str] = {
         ELSE content END) AS digest FROM code_chunks""",
     "collection_ids": """SELECT 999 + row_number() OVER (ORDER BY metadata.source_file NULLS FIRST, metadata.chunk_id NULLS FIRST, content NULLS FIRST) AS id, metadata.source_file AS source_file,
         metadata.chunk_id::BIGINT AS chunk_id, length(content)::INT AS size FROM word_chunks""",
+    "collection_all_ids": """SELECT row_number() OVER (ORDER BY f NULLS FIRST, c NULLS FIRST, content NULLS FIRST) - 1 AS id, f AS source_file, c::BIGINT AS chunk_id, length(content)::INT AS size FROM (
+        SELECT metadata.source_file AS f, metadata.chunk_id AS c, content FROM pdf_chunks UNION ALL SELECT metadata.source_file, metadata.chunk_id, content FROM word_chunks
+        UNION ALL SELECT metadata.source_file, metadata.chunk_id, content FROM code_chunks)""",
     "compare_pivot": f"""SELECT metric, {", ".join(f"printf('%.4f', max(CASE WHEN experiment = '{r}' THEN value END)) AS {r}" for r in RUNS)} FROM ({_RUNS_SQL}) GROUP BY 1""",
     "compare_best_flags": f"SELECT experiment, metric, value, value = max(value) OVER (PARTITION BY metric) AND value > 0 AS is_best FROM ({_RUNS_SQL})",
     "compare_best": f"SELECT experiment, metric, value FROM ({_RUNS_SQL}) WHERE metric = 'ndcg_at_5' ORDER BY value DESC, position LIMIT 1",

@@ -28,3 +28,28 @@ def test_nothing_outside_imports_the_training_data_package():
     for path in (ROOT / "lexicarta").rglob("*.py"):
         if "llm" not in path.parts:
             assert "lexicarta.llm" not in path.read_text()
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lexicarta.runtime import ensure_checkpoint_dir
+
+    def session(master, named=None):
+        made = []
+        undefined = SimpleNamespace(isDefined=lambda: False)
+        sc = SimpleNamespace(
+            master=master, getConf=lambda: SimpleNamespace(get=lambda *_: named), setCheckpointDir=made.append,
+            _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: undefined)),
+        )
+        return SimpleNamespace(sparkContext=sc), made
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(session(master)[0])
+        spark, made = session(master, "hdfs:///shared")
+        assert ensure_checkpoint_dir(spark) == "hdfs:///shared" and made == ["hdfs:///shared"]
+    spark, made = session("local[4]")
+    assert made == [ensure_checkpoint_dir(spark)]
