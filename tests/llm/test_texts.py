@@ -78,6 +78,31 @@ def test_mix_keeps_repeats_and_reports_shares(spark):
     assert none.count() == 0 and empty.count() == 3
 
 
+def test_mix_over_a_tree_of_three_levels(spark):
+    data = [(i, 10, s, d, l) for i, (s, d, l) in enumerate([("a", "x", "en")] * 40 + [("b", "x", "en")] * 10 + [("a", "x", "de")] * 10 + [("c", "y", "en")] * 40)]
+    counted = spark.createDataFrame(data, "doc_id bigint, tokens bigint, source string, domain string, language string")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.4, 2), ("c", 0.3, 2)], "source string, target_share double, max_repeats int")
+    taken, shares = mixing.mix(counted, ["domain", "language", "source"], targets, total=600)
+    got = {r.source: r for r in shares.collect()}
+    # b has 200 tokens at most of its 240; its sibling in domain and language takes the rest, c keeps its own
+    assert (got["b"].tokens, got["b"].most_times, got["c"].tokens) == (200, 2, 180)
+    assert got["a"].budget == 220 and 220 - 2 * 10 < got["a"].tokens <= 220  # less than a document short in each of its two leaves
+    assert taken.where("times > 2").count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix(counted, ["domain", "language", "source"], targets, most_leaves=3)
+
+
+def test_reordered_passages_are_found_by_their_coverage(spark):
+    passage = [f"w{i}" for i in range(40)]
+    parts = [passage[i : i + 8] for i in range(0, 40, 8)]
+    shuffled = [w for n, k in enumerate((3, 0, 4, 1, 2)) for w in [f"x{n}", *parts[k]]]
+    docs = [(1, " ".join(["a"] * 9 + shuffled)), (2, " ".join(["a"] * 9 + passage[4:17])), (3, " ".join(passage[:6] + ["b"] * 30)), (4, " ".join(passage))]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(passage))], "item_id bigint, passage string")
+    found = leaks.leaks(df, F.col("doc_id"), F.col("text"), items, F.col("item_id"), F.col("passage"), least_words=5, least_run=12, least_coverage=0.5)
+    assert rows(found, "doc_id", "tiles", "longest", "covered") == [(1, 5, 8, 40), (2, 1, 13, 13), (4, 1, 40, 40)]
+
+
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "Hello world, hello!"), (2, None), (3, "")], "id bigint, text string")
     assert [r[1] > 0 for r in rows(mixing.token_counts(df, F.col("text"), {"id": F.col("id")}), "id", "tokens")] == [True, False, False]
