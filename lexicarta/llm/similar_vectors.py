@@ -2,8 +2,9 @@
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every vector is
 indexed. The cells are as many as the square root of the vectors. A vector asks the cells of the centroids nearest to
-it, as many as the wanted recall takes on a sample. Neighbouring cells form groups whose vectors ask together: a vector is sent once to
-each group that asks its cell, not once to each query. A query is compared exactly with its own cell; of all others
+it, as many as the wanted recall takes on a sample. Neighbouring cells form groups; the index is written once, a shelf of files for each group,
+to the folder that all executors share. The vectors of a group ask together: their task reads the cells that they ask from the shelves, so that no vector is sent
+to the groups that ask its cell. A query is compared exactly with its own cell; of all others
 the asymmetric distance tables and their error, as seen in the own cell, leave the vectors that may be among its best, and these are compared exactly.
 """
 
@@ -15,11 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexicarta.runtime import cut, spread
+from lexicarta.runtime import cut, shared_folder, spread
 
 
 @dataclass(frozen=True)
@@ -29,8 +32,8 @@ class Settings:
     ``sample`` bounds the rows that centroids and codebooks are fitted on, unless 30 rows a cell are more; ``cell`` is the
     aimed number of vectors in a cell, by default the square root of their number; at least ``probes`` cells are asked,
     more until ``recall`` is reached by each third (by similarity) of about ``asked`` sampled queries. ``parts`` codes of one byte stand
-    for a residual, and ``margin`` times their usual error is allowed for. About ``group`` cells' vectors ask together, and a task compares
-    them with at most about ``block`` vectors.
+    for a residual, and ``margin`` times their usual error is allowed for. About ``group`` cells' vectors are one shelf, of which about half ask in one task; it
+    compares them with about ``block`` vectors at once.
     """
 
     dimension: int = 64
@@ -42,7 +45,7 @@ class Settings:
     asked: int = 1536
     margin: float = 2.5
     group: int = 48
-    block: int = 262_144
+    block: int = 16_384
     seed: int = 7
 
 
@@ -120,20 +123,20 @@ def _matrix(column, dimension: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float32).reshape(-1, dimension)
 
 
-def _survey(centres, asked, k: int, s: Settings):
+def _survey(cells: int, asked, k: int, s: Settings):
     """Of a task's vectors how many are in each cell and the cells of each sampled query's ``k`` best."""
     schema = pa.schema([("query", pa.int32()), ("cell", pa.int32()), ("similarity", pa.float32()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, q = asked.value
-        counts = np.zeros(len(centres.value), dtype=np.int64)
+        counts = np.zeros(cells, dtype=np.int64)
         best, where = np.full((len(q), k), -2, dtype=np.float32), np.zeros((len(q), k), dtype=np.int32)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 x = _matrix(part.column(1).to_pylist(), s.dimension)
-                cell = _nearest(x, centres.value)
-                counts += np.bincount(cell, minlength=len(counts))
+                cell = part.column(2).to_numpy()
+                counts += np.bincount(cell, minlength=cells)
                 score = q @ x.T
                 ids = part.column(0).to_numpy()
                 order = np.argsort(ids)
@@ -142,7 +145,7 @@ def _survey(centres, asked, k: int, s: Settings):
                 score[held, mine[held]] = -2
                 both = np.concatenate([best, score], axis=1)
                 keep = np.argpartition(-both, k - 1, axis=1)[:, :k]
-                where = np.take_along_axis(np.concatenate([where, np.broadcast_to(cell.astype(np.int32), score.shape)], axis=1), keep, 1)
+                where = np.take_along_axis(np.concatenate([where, np.broadcast_to(cell, score.shape)], axis=1), keep, 1)
                 best = np.take_along_axis(both, keep, 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(q), dtype=np.int32), k)), pa.array(where.ravel()), pa.array(best.ravel()), pa.nulls(best.size, pa.int64())], schema=schema
@@ -154,12 +157,12 @@ def _survey(centres, asked, k: int, s: Settings):
 
 
 def _drawn(classes: DataFrame, count: int, wanted: int, seed: int) -> pd.DataFrame:
-    """About ``wanted`` rows, or all of fewer, by a hash of their class."""
+    """About ``wanted`` classes, or all of fewer, by a hash of them, each once."""
     share = F.lit(min(1 << 20, -(-(wanted << 20) // count)))
-    return classes.where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 20)) < share).orderBy("cls").toPandas()
+    return classes.select("cls", "vector").where(F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(1 << 20)) < share).dropDuplicates(["cls"]).orderBy("cls").toPandas()
 
 
-def survey(classes: DataFrame, count: int, centres, k: int, s: Settings) -> tuple[np.ndarray, int]:
+def survey(classes: DataFrame, count: int, centres: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, int]:
     """Vectors in each cell, and how many of the cells nearest to it a vector must ask.
 
     Sampled queries are compared with all vectors. In each third of them by the similarity of their ``k``-th
@@ -168,8 +171,8 @@ def survey(classes: DataFrame, count: int, centres, k: int, s: Settings) -> tupl
     drawn = _drawn(classes, count, s.asked, 3)  # about s.asked rows
     q = _matrix(drawn["vector"], s.dimension)
     asked = classes.sparkSession.sparkContext.broadcast((drawn["cls"].to_numpy(), q))
-    met = cut(classes.select("cls", "vector").mapInArrow(_survey(centres, asked, k, s), "query int, cell int, similarity float, count bigint"))
-    counts = np.zeros(len(centres.value), dtype=np.int64)
+    met = cut(classes.select("cls", "vector", "cell").mapInArrow(_survey(len(centres), asked, k, s), "query int, cell int, similarity float, count bigint"))
+    counts = np.zeros(len(centres), dtype=np.int64)
     for row in met.where("query is null").groupBy("cell").agg(F.sum("count").alias("n")).collect():  # a row a cell
         counts[row["cell"]] = row["n"]
     nearest = Window.partitionBy("query").orderBy(F.desc("similarity"), "cell")
@@ -180,7 +183,7 @@ def survey(classes: DataFrame, count: int, centres, k: int, s: Settings) -> tupl
     at = np.empty(len(true), dtype=np.int64)  # the place of each true neighbour's cell in its query's order
     query, cell = true["query"].to_numpy(), true["cell"].to_numpy()
     for i in range(0, len(true), 1024):
-        score = q[query[i : i + 1024]] @ centres.value.T
+        score = q[query[i : i + 1024]] @ centres.T
         at[i : i + 1024] = (score > score[np.arange(len(score)), cell[i : i + 1024]][:, None]).sum(1)
     far = true.groupby("query")["similarity"].min().sort_values(kind="stable").index.to_numpy()
     for third in np.array_split(far, 3):
@@ -201,22 +204,6 @@ def _lists(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
     return np.argpartition(-(q @ centres.T), probes - 1, axis=1)[:, :probes]
 
 
-def _reach(centres, group: np.ndarray, probes: int, s: Settings):
-    """Which cells the vectors of each group ask: pairs of a task, each once."""
-    schema = pa.schema([("group", pa.int32()), ("cell", pa.int32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros((int(group.max()) + 1, len(group)), dtype=bool)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                x = _matrix(batch.column(0).slice(at, 4096).to_pylist(), s.dimension)
-                met[group[_nearest(x, centres.value)][:, None], _lists(x, centres.value, probes)] = True
-        g, c = np.nonzero(met)
-        yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), pa.array(c.astype(np.int32))], schema=schema)
-
-    return run
-
-
 def _grouped(centres: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """Neighbouring cells in groups of about ``size`` vectors: parts are halved along their widest direction."""
     group, found = np.zeros(len(centres), dtype=np.int64), 0
@@ -235,16 +222,42 @@ def _grouped(centres: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return group
 
 
+def _assign(shared, s: Settings):
+    """Of each vector its cell and that cell's shelf; of equal vectors that a task meets soon after each other only the first."""
+    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("shelf", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, _, shelf = shared.value
+        seen: set[int] = set()
+        for batch in batches:
+            new = []
+            for i, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    new.append(i)
+            if len(seen) > 1 << 20:
+                seen.clear()
+            batch = batch.take(pa.array(new, pa.int64()))
+            cell = _nearest(_matrix(batch.column(1).to_pylist(), s.dimension), centres)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(shelf[cell].astype(np.int32))], schema=schema)
+
+    return run
+
+
 def _place(shared, s: Settings):
-    """Of each vector its cell, its part along the centroid, and length and codes of its residual."""
-    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("along", pa.float32()), ("size", pa.float32()), ("codes", pa.binary())])
+    """Of each class, once, its part along its cell's centroid, and length and codes of its residual. Rows come sorted by cell and class."""
+    schema = pa.schema([("cls", pa.int64()), ("vector", pa.binary()), ("cell", pa.int32()), ("shelf", pa.int32()), ("along", pa.float32()), ("size", pa.float32()), ("codes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, books, _ = shared.value
         width = s.dimension // s.parts
+        last = None
         for batch in batches:
-            x = _matrix(batch.column(1).to_pylist(), s.dimension)
-            cell = _nearest(x, centres)
+            cls = batch.column(0).to_numpy()
+            new = np.r_[last is None or cls[:1] != last, cls[1:] != cls[:-1]][: len(cls)].astype(bool)
+            last = cls[-1] if len(cls) else last
+            batch = batch.filter(pa.array(new))
+            x, cell = _matrix(batch.column(1).to_pylist(), s.dimension), batch.column(2).to_numpy()
             residual, size = _residuals(x, centres[cell])
             codes = np.empty((len(x), s.parts), dtype=np.uint8)
             near = np.empty_like(residual)
@@ -253,93 +266,150 @@ def _place(shared, s: Settings):
                 codes[:, p] = (part @ books[p].T - 0.5 * (books[p] ** 2).sum(1)).argmax(1)
                 near[:, p * width : (p + 1) * width] = books[p][codes[:, p]]
             along = ((x - size[:, None] * near) * centres[cell]).sum(1)  # the codes' own part along the centroid is made up for
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(along.astype(np.float32)), pa.array(size.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], schema=schema
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along.astype(np.float32)), pa.array(size.astype(np.float32)), pa.array([c.tobytes() for c in codes], pa.binary())], schema=schema)
 
     return run
 
 
-_FOUND = pa.schema([("cls", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+def _rows(column, kind: type, width: int) -> np.ndarray:
+    """A column of equally long binary values as a matrix, without a copy of each."""
+    column = column.combine_chunks()
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)
+
 
+def _row_groups(folder: str, shelf: int, wanted: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, ...]]:
+    """The row groups of a shelf that may hold a wanted cell: place of each row on the shelf, cell, class, vector, part along the centroid, size and codes."""
+    store, root = fs.FileSystem.from_uri(folder)
+    first = 0
+    for info in sorted(store.get_file_info(fs.FileSelector(f"{root}/shelf={shelf}", allow_not_found=True)), key=lambda i: i.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with store.open_input_file(info.path) as opened:
+            file = pq.ParquetFile(opened)
+            at = file.schema_arrow.get_field_index("cell")
+            for i in range(file.num_row_groups):
+                about = file.metadata.row_group(i)
+                span = about.column(at).statistics
+                if about.num_rows and (span is None or not span.has_min_max or wanted[span.min : span.max + 1].any()):
+                    t = file.read_row_group(i)
+                    yield (
+                        np.arange(first, first + len(t)), t.column("cell").to_numpy(), t.column("cls").to_numpy(), _rows(t.column("vector"), np.float32, s.dimension),
+                        t.column("along").to_numpy(), t.column("size").to_numpy(), _rows(t.column("codes"), np.uint8, s.parts),
+                    )
+                first += about.num_rows
+
+
+class _Best:
+    """The ``k`` best vectors of each query so far; what is found is merged in when it's much."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.of, self.other, self.exact = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        self.bound = np.full(len(ids), -np.inf, dtype=np.float32)
+        self.more: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, of: np.ndarray, others: np.ndarray, y: np.ndarray) -> None:
+        """Queries and the rows of ``y`` that may be among their best."""
+        for i in range(0, len(of), 65536):
+            v, u = of[i : i + 65536], others[i : i + 65536]
+            exact = np.einsum("ij,ij->i", self.x[v].astype(np.float64), y[0][u].astype(np.float64))
+            keep = (exact >= self.bound[v]) & (y[1][u] != self.ids[v])
+            self.more.append((v[keep], y[1][u[keep]], exact[keep]))
+            self.held += int(keep.sum())
+        if self.held > max(1 << 18, len(self.of)):
+            self.merge()
+
+    def merge(self) -> None:
+        parts = [(self.of, self.other, self.exact), *self.more]
+        of, other, exact = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((other, -exact, of))
+        of, other, exact = of[order], other[order], exact[order]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        kth = place == self.k - 1
+        self.bound[of[kth]] = exact[kth] - 1e-5
+        best = place < self.k
+        self.of, self.other, self.exact, self.more, self.held = of[best], other[best], exact[best], [], 0
 
-def _search(shared, k: int, s: Settings):
-    """Of each query of a group the ``k`` best vectors among those of its cells that the task holds."""
 
-    def run(table: pa.Table) -> pa.Table:
-        centres, books, probes = shared.value
-        width = s.dimension // s.parts
-        table = table.take(pa.array(np.argsort(table.column("cell").to_numpy(), kind="stable")))
-        cell, ids = table.column("cell").to_numpy(), table.column("cls").to_numpy()
-        ask, held = table.column("ask").to_numpy(), table.column("held").to_numpy()
-        along, size = table.column("along").to_numpy(), table.column("size").to_numpy()
-        x = _matrix(table.column("vector").to_pylist(), s.dimension)
-        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), dtype=np.uint8).reshape(-1, s.parts)
-        names, starts = np.unique(cell, return_index=True)
-        rows = {int(c): np.arange(a, b)[held[a:b]] for c, a, b in zip(names, starts, [*starts[1:], len(cell)])}
-        asking = np.flatnonzero(ask)
-        lists = _lists(x[asking], centres, probes)
-        by_cell = np.argsort(lists, axis=None, kind="stable")  # the askers of each cell side by side
-        listed, asker = lists.ravel()[by_cell], asking[by_cell // lists.shape[1]]
-        kth, usual = np.full(len(cell), -np.inf, dtype=np.float32), np.zeros(len(centres), dtype=np.float32)
-        found = []
-
-        def tables_of(q: np.ndarray) -> list[np.ndarray]:
-            return [books[p] @ q[:, p * width : (p + 1) * width].T for p in range(s.parts)]
-
-        def similar(at: np.ndarray, tables: list[np.ndarray], q: np.ndarray, centre: np.ndarray) -> np.ndarray:
-            score = np.take(tables[0], codes[at, 0], axis=0)
-            part = np.empty_like(score)
-            for p in range(1, s.parts):
-                score += np.take(tables[p], codes[at, p], axis=0, out=part, mode="clip")
-            score *= size[at, None]
-            score += np.multiply.outer(along[at], q @ centre, out=part)
-            return score
-
-        # the own cell exactly, which also shows the tables' usual error for a residual of length one
-        for home in np.unique(cell[asking]).tolist():
-            of_home, near = asking[cell[asking] == home], rows[home]
-            few = min(k, len(near))
-            errors = []
-            for i in range(0, len(of_home) if few else 0, 512):
-                mine = of_home[i : i + 512]
-                q = x[mine]
-                close = x[near] @ q.T
-                sized = size[near] > 1e-6
-                if sized.any():
-                    errors.append((((close - similar(near, tables_of(q), q, centres[home]))[sized] / size[near[sized], None]) ** 2).mean())
-                close[near[:, None] == mine[None, :]] = -np.inf
-                first = np.argpartition(-close, few - 1, axis=0)[:few]
-                if few == k:
-                    kth[mine] = np.take_along_axis(close, first, 0).min(0)
-                found.append((np.tile(mine, few), near[first].ravel()))
-            usual[home] = np.mean(errors) ** 0.5 if errors else 0.0
-        bound = kth - np.float32(1e-5)
-        allowed = np.float32(s.margin) * usual[cell]
-        for c, at in rows.items():
-            if not len(at):
+_FOUND = pa.schema([("cls", pa.int64()), ("other", pa.int64()), ("similarity", pa.float64())])
+
+
+def _search(shared, folder: str, tasks: list[tuple[int, int, int]], k: int, s: Settings):
+    """Of each task, named by its place in ``tasks``, the ``k`` best vectors of each of its queries. A task is a shelf and a span of places on it."""
+
+    def answers(shelf: int, start: int, stop: int) -> pa.RecordBatch:
+        centres, books, shelves, probes = shared.value
+        mine = []
+        for place, *row in _row_groups(folder, shelf, shelves == shelf, s):
+            inside = (place >= start) & (place < stop)
+            if inside.any():
+                mine.append([c[inside] for c in row[:3]])
+        cell, ids, x = (np.concatenate(c) for c in zip(*mine))
+        best = _Best(ids, x, k)
+
+        def told(centre: np.ndarray, along: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+            """What the codes tell of vectors: its products with a query are the sums of the query's asymmetric tables, by one matrix product instead of a table look-up a part."""
+            y = np.concatenate([books[p][codes[:, p]] for p in range(s.parts)], axis=1)
+            return size[:, None] * y + np.multiply.outer(along, centre)
+
+        def by_cell(chunk: tuple[np.ndarray, ...], wanted: np.ndarray) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+            names, starts = np.unique(chunk[1], return_index=True)
+            for c, a, b in zip(names.tolist(), starts, [*starts[1:], len(chunk[1])]):
+                if wanted[c]:
+                    yield c, tuple(column[a:b] for column in chunk[2:])
+
+        # the own cells exactly, which also shows the tables' usual error for a residual of length one
+        errors = np.zeros((2, len(centres)))
+        home = np.zeros(len(centres), dtype=bool)
+        home[cell] = True
+        for chunk in _row_groups(folder, shelf, home, s):
+            for c, (others, y, along, size, codes) in by_cell(chunk, home):
+                first, last = np.searchsorted(cell, (c, c + 1))
+                few = min(k + 1, len(others))  # one may be the query itself
+                coded, sized = told(centres[c], along, size, codes), size > 1e-6
+                for i in range(first, last, 512):
+                    at = np.arange(i, min(last, i + 512))
+                    q = x[at]
+                    close = y @ q.T
+                    if sized.any():
+                        off = ((close - coded @ q.T)[sized] / size[sized, None]) ** 2
+                        errors[:, c] += off.sum(), off.size
+                    near = np.argpartition(-close, few - 1, axis=0)[:few]
+                    best.add(np.tile(at, few), near.ravel(), (y, others))
+        best.merge()
+        allowed = (s.margin * (errors[0] / np.maximum(errors[1], 1)) ** 0.5).astype(np.float32)[cell]
+
+        lists = _lists(x, centres, probes)
+        order = np.argsort(lists, axis=None, kind="stable")  # the askers of each cell side by side
+        listed, asker = lists.ravel()[order], order // lists.shape[1]
+        wanted = np.zeros(len(centres), dtype=bool)
+        wanted[listed] = True
+        # shelves of many askers first, whose vectors raise the bounds of most queries
+        for other in np.argsort(-np.bincount(shelves[listed], minlength=shelves.max() + 1), kind="stable").tolist():
+            here = wanted & (shelves == other)
+            if not here.any():
                 continue
-            askers = asker[np.searchsorted(listed, c) : np.searchsorted(listed, c, side="right")]
-            askers = askers[cell[askers] != c]
-            for i in range(0, len(askers), 512):
-                mine = askers[i : i + 512]
-                q = x[mine]
-                score = similar(at, tables_of(q), q, centres[c])
-                score += np.multiply.outer(size[at], allowed[mine])
-                u, v = np.nonzero(score >= bound[mine])
-                found.append((mine[v], at[u]))
-        if not found:
-            return _FOUND.empty_table()
-        v, u = (np.concatenate(f) for f in zip(*found))
-        exact = np.empty(len(v))
-        for i in range(0, len(v), 65536):
-            exact[i : i + 65536] = np.einsum("ij,ij->i", x[v[i : i + 65536]].astype(np.float64), x[u[i : i + 65536]].astype(np.float64))
-        keep = (u != v) & (exact >= bound[v])
-        v, u, exact = v[keep], u[keep], exact[keep]
-        order = np.lexsort((ids[u], -exact, v))
-        v, u, exact = v[order], u[order], exact[order]
-        best = np.arange(len(v)) - np.searchsorted(v, v) < k
-        return pa.table([pa.array(ids[v[best]]), pa.array(ids[u[best]]), pa.array(exact[best])], schema=_FOUND)
+            for chunk in _row_groups(folder, other, here, s):
+                for c, (others, y, along, size, codes) in by_cell(chunk, here):
+                    askers = asker[np.searchsorted(listed, c) : np.searchsorted(listed, c, side="right")]
+                    askers = askers[cell[askers] != c]
+                    coded = np.c_[told(centres[c], along, size, codes), size, np.ones_like(size)]
+                    for i in range(0, len(askers), 512):
+                        at = askers[i : i + 512]
+                        # what the tables allow for and the bound are two more columns of the product
+                        score = coded @ np.c_[x[at], allowed[at], -np.maximum(best.bound[at], np.float32(-4))].T
+                        u, v = np.divmod(np.flatnonzero(score.ravel() >= 0), len(at))
+                        best.add(at[v], u, (y, others))
+        best.merge()
+        return pa.RecordBatch.from_arrays([pa.array(ids[best.of]), pa.array(best.other), pa.array(best.exact)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in batch.column(0).to_pylist():
+                yield answers(*tasks[n])
 
     return run
 
@@ -359,53 +429,42 @@ def most_similar(df: DataFrame, row_id: Column, embedding: Column, k: int = 5, s
     members = cut(units.select("id", "cls"))
     ranked = Window.partitionBy("cls").orderBy("id")
     least = members.withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= k + 1)
-    classes = cut(units.select("cls", "vector").dropDuplicates(["cls"]))
-    count = classes.count()
+    count = members.select("cls").distinct().count()
     if not count:
         return spark.createDataFrame([], "id bigint, other bigint, similarity double, rank int")
     cells = max(1, round(count / s.cell if s.cell else count**0.5))
-    drawn = _drawn(classes, count, max(s.sample, 30 * cells), 0)  # a bounded number of rows
-    centres, books = fit(_matrix(drawn["vector"], s.dimension), cells, s)
-    coarse = spark.sparkContext.broadcast(centres)
-    counts, probes = survey(classes, count, coarse, k, s)
-    shared = spark.sparkContext.broadcast((centres, books, probes))
-
-    # which groups ask a cell, and in how many turns of askers and blocks of vectors: the index's size, whatever its vectors
-    size = max(1, round(s.group * count / len(counts)))
-    group = _grouped(centres, counts, size)
-    reach = classes.select("vector").mapInArrow(_reach(coarse, group, probes, s), "group int, cell int").distinct().toPandas()
-    routes, tasks = [], 0
-    for g, cells_of in reach.groupby("group")["cell"]:
-        cells_of = np.union1d(cells_of.to_numpy(), np.flatnonzero(group == g))
-        turns, blocks = -(-int(counts[group == g].sum()) // (2 * size)) or 1, -(-int(counts[cells_of].sum()) // s.block) or 1
-        tasks += turns * blocks
-        routes += [(int(c), int(g), bool(group[c] == g), turns, blocks) for c in cells_of]
-    asked = spark.createDataFrame(pd.DataFrame(routes, columns=["cell", "group", "home", "turns", "blocks"]), "cell int, group int, home boolean, turns int, blocks int")
-    placed = classes.mapInArrow(_place(shared, s), "cls bigint, vector binary, cell int, along float, size float, codes binary")
-    own = F.pmod(F.xxhash64("cls", F.lit(2)), F.col("turns")).cast("int")
-    kept = F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int")
-    sent = (
-        placed.join(asked, "cell")
-        .withColumn("own", own)
-        .withColumn("kept", kept)
-        .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("ask", F.col("home") & (F.col("turn") == F.col("own")))
-        .withColumn("held", F.col("block") == F.col("kept"))
-        .where("ask or held")
-    )
-    met = (
-        sent.select("group", "turn", "block", "cell", "cls", "vector", "along", "size", "codes", "ask", "held")
-        .repartition(8 * tasks, "group", "turn", "block")  # few keys, so that hardly two share a task
-        .groupBy("group", "turn", "block")
-        .applyInArrow(_search(shared, k, s), "cls bigint, other bigint, similarity double")
-    )
-    nearest = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
-    top = met if all(r[4] == 1 for r in routes) else met.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).drop("n")
+    drawn = _drawn(units, count, max(s.sample, 30 * cells), 0)  # a bounded number of rows
+    sample = _matrix(drawn["vector"], s.dimension)
+    centres, books = fit(sample, cells, s)
+    size = max(1, round(s.group * count / len(centres)))
+    shelves = _grouped(centres, np.bincount(_nearest(sample, centres), minlength=len(centres)) * (count / len(sample)), size)
+    shared = spark.sparkContext.broadcast((centres, books, shelves))
+    with shared_folder(spark) as folder:
+        (
+            units.select("cls", "vector")
+            .mapInArrow(_assign(shared, s), "cls bigint, vector binary, cell int, shelf int")
+            .repartition(int(shelves.max()) + 1, "shelf")
+            .sortWithinPartitions("cell", "cls")
+            .mapInArrow(_place(shared, s), "cls bigint, vector binary, cell int, shelf int, along float, size float, codes binary")
+            .write.option("compression", "none").option("parquet.enable.dictionary", "false").option("parquet.block.size", s.block * (4 * s.dimension + s.parts + 40))
+            .partitionBy("shelf").parquet(f"{folder}/shelves")
+        )
+        counts, probes = survey(spark.read.parquet(f"{folder}/shelves"), count, centres, k, s)
+        tasks = []
+        for shelf, held in enumerate(np.bincount(shelves, counts).astype(int).tolist()):
+            turns = -(-held // max(4096, size // 2))
+            tasks += [(shelf, held * t // turns, held * (t + 1) // turns) for t in range(turns)]
+        index = spark.sparkContext.broadcast((centres, books, shelves, probes))
+        top = cut(spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(_search(index, f"{folder}/shelves", tasks, k, s), "cls bigint, other bigint, similarity double"))
+    if counts.sum() != count:  # a vector between two cells and its copy are in one each
+        top = top.where("cls <> other").groupBy("cls", "other").agg(F.max("similarity").alias("similarity"))
 
     # from classes to rows: a row's own copies, then the members of the classes found
     copies = members.join(least.select("cls", F.col("id").alias("other")), "cls").where("id <> other").select("id", "other", F.lit(1.0).alias("similarity"))
-    found = members.join(top.withColumnRenamed("other", "there"), "cls").join(least.select(F.col("cls").alias("there"), F.col("id").alias("other")), "there")
+    # Spark takes the answers for as small as the list of tasks and would broadcast them, hence the hints
+    named = top.withColumnRenamed("other", "there").hint("merge").join(least.select(F.col("cls").alias("there"), F.col("id").alias("other")), "there")
+    nearest = Window.partitionBy("cls").orderBy(F.desc("similarity"), "other")
+    found = members.join(named.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k).hint("merge"), "cls")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return (
         copies.unionByName(found.select("id", "other", "similarity"))

@@ -43,6 +43,23 @@ def test_recall_in_a_dense_third(spark, n, group, block):
         assert sum((i, int(j)) in got for i in part for j in want[i]) >= 0.9 * 5 * len(part)
 
 
+def test_no_vector_is_sent_to_each_group_that_asks_its_cell(spark):
+    from lexicarta.runtime import ensure_checkpoint_dir
+
+    n, store = 4000, spark.sparkContext._jsc.sc().statusStore()
+    x = np.random.default_rng(6).normal(size=(n, 64)).astype(np.float32).astype(np.float64)  # without near neighbours, so that most cells are asked
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, e array<float>")
+    before = store.executorSummary("driver").totalShuffleWrite()
+    got = set(rows(most_similar(df, F.col("id"), F.col("e"), 5, Settings(group=2)), "id", "other"))
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    # the shelves once, and here all vectors are in the sample that the centroids are fitted on; a third query-sized part is the answers
+    assert (store.executorSummary("driver").totalShuffleWrite() - before) / (n * 4 * 64) < 8
+    want, _ = neighbours(x, 5)
+    assert sum((i, int(j)) in got for i, r in enumerate(want) for j in r) >= 0.9 * want.size
+    files = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark) + "/files-*")
+    assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files)  # the shelves are gone
+
+
 def test_unusable_and_equal_vectors(spark):
     v = [1.0, 0.0, 0.0, 0.0]
     data = [(i, v) for i in range(8)] + [(8, [2.0, 0.0, 0.0, 0.0]), (9, [1.0, 1.0, 0.0, 0.0]), (None, v), (20, None), (21, [0.0] * 4), (22, [1.0]), (23, []), (24, [1.0, None, 0.0, 0.0]), (25, [float("nan")] * 4)]
