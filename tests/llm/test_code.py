@@ -111,6 +111,18 @@ def test_origins(spark):
     assert file_origins(df.where("false"), F.col("code"), F.col("path"), F.col("repo"), F.col("repo")).count() == 0
 
 
+def test_large_files_just_over_the_threshold_are_linked(spark):
+    import numpy as np
+
+    data = []
+    for seed in (1, 4, 11, 22):  # a common share of 0.606 of some 12,000 shingles each, but under 0.6 of the 4,096 least
+        n = np.random.default_rng(seed).permutation(900_000)[: 6000 - 2264] + 100_000
+        data += [(r, f"{r}/f{seed}.py", "\n".join(f"value = {i} ;" for i in numbers)) for r, numbers in (("r1", n[:3000]), ("r2", [*n[:2264], *n[3000:]]))]
+    df = spark.createDataFrame(data, "repo string, path string, code string")
+    got = file_origins(df, F.col("code"), F.col("path"), F.lit(None).cast("string"), F.col("repo"))
+    assert got.where("vendored").count() == 8
+
+
 def test_families_within_a_repository_are_generated(spark):
     shape = lambda name: f"class {name}:\n" + "".join(f"    def get_{name}_{i}(self):\n        return self.rows[{i}].{name}\n" for i in range(9))
     data = [("r", f"r/{n}.py", shape(n)) for n in ("alpha", "beta", "gamma")] + [("q", f"q/{n}.py", f"def {n}(x):\n{body(i)}") for i, n in enumerate("xyz")]
