@@ -6,8 +6,9 @@ character classes, the lengths in words of the units that lines, cells or wrappe
 determiners, other function words and content words of the segment's language, and whether a function word follows a determiner. The
 nearest profile is the segment's kind, and the kind of most characters that of the text.
 
-The profiles are learned from a bounded sample of the documents: prose has one for each language of the given common
-words, the other structures one for all. Fixed seeds only name the structures and start the fit.
+The profiles are learned from all documents: prose has one for each language of the given common
+words, the other structures one for all. Fixed seeds only name the structures and start the fit. A first pass counts what follows the common
+words, a second keeps each document's figures and its segments' counts, on which the rounds of the fit and the judgement run.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ _PARTS = (slice(0, 4), slice(4, 7), slice(7, 10), slice(10, 12))
 _WEIGHTS = (1.0, 1.0, 1.0, 1.0)
 #: A segment's followers of determiners count as its language's usual ones until so many were seen.
 _PRIOR = 4.0
+#: Parts of a character in which the fit's sums count.
+_UNIT = 1 << 20
 #: A function word is a determiner if function words follow it at most this share of what chance would give.
 RARE = 0.35
 
@@ -108,19 +111,31 @@ class Profiles:
                 found[mine] = sum(w * _divergence(_shares(x[mine][:, part]), _shares(profiles[:, part])) for part, w in zip(_PARTS, _WEIGHTS))
         return found
 
-    def fitted(self, x: np.ndarray, language: np.ndarray, sizes: np.ndarray, rounds: int = 8, prior: float = 2000.0) -> Profiles:
-        """Profiles moved to the mean of the segments nearest to them, by size, some times over; ``prior`` characters keep them where they were first."""
-        if not len(x):
-            return self
-        shares = np.concatenate([_shares(x[:, part]) for part in _PARTS], axis=1)
-        found, weight = self, sizes.astype(float)[:, None]
-        for _ in range(rounds):
-            kind = found.distances(x, language).argmin(1)
-            mean = lambda mine, first: ((shares[mine] * weight[mine]).sum(0) + prior * first) / (weight[mine].sum() + prior)
-            every = mean(kind == 0, SEEDS[0])
-            prose = np.stack([mean((kind == 0) & (language == i), every) for i in range(len(self.prose))])
-            found = replace(found, prose=prose, other=np.stack([mean(kind == k, SEEDS[k]) for k in range(1, len(SEEDS))]))
-        return found
+    def expanded(self, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """The four distributions of segments from their whole counts: the usual followers of their language's determiners are added."""
+        x, usual = counts.astype(float), np.asarray(self.followed)[language]
+        x[:, 10] = counts[:, 10] - counts[:, 11] + _PRIOR * (1 - usual)
+        x[:, 11] = counts[:, 11] + _PRIOR * usual
+        return x
+
+    def sums(self, x: np.ndarray, language: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of the segments nearest to each profile, prose by language first, the sums by size of their shares and of their sizes.
+
+        The sums are of whole numbers, so that they are the same in whatever order and parts they are added.
+        """
+        kind = self.distances(x, language).argmin(1)
+        slot = np.where(kind == 0, language, len(self.prose) + kind - 1)
+        shares = np.concatenate([_shares(x[:, part]) for part in _PARTS] + [np.ones((len(x), 1))], axis=1)
+        weighted = np.rint(shares * (sizes.astype(float) * _UNIT)[:, None])
+        slots = len(self.prose) + len(self.other)
+        return np.stack([np.bincount(slot, column, slots) for column in weighted.T], axis=1).astype(np.int64)
+
+    def moved(self, sums: np.ndarray, prior: float = 2000.0) -> Profiles:
+        """Profiles at the mean of their segments; ``prior`` characters keep them where they were first."""
+        sums = sums / _UNIT
+        mean = lambda total, first: (total[..., :-1] + prior * first) / (total[..., -1:] + prior)
+        every = mean(sums[: len(self.prose)].sum(0), SEEDS[0])
+        return replace(self, prose=mean(sums[: len(self.prose)], every), other=mean(sums[len(self.prose) :], SEEDS[1:]))
 
 
 def _shares(x: np.ndarray) -> np.ndarray:
@@ -233,16 +248,16 @@ def _segments(text: str, common: frozenset[str]) -> Iterator[tuple[str, list[int
 
 def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each row of ``p`` from each row of ``q``."""
-    p, q = p[:, None, :], q[None, :, :]
-    m = (p + q) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0).sum(-1)
-        right = np.where(q > 0, q * np.log2(q / m), 0).sum(-1)
-    return (left + right) / 2
+    both = _entropy((p[:, None, :] + q[None, :, :]) / 2)
+    return both - (_entropy(p)[:, None] + _entropy(q)[None, :]) / 2
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
 
 
-def _features(text: str, units: list[int], lone: bool, p: Profiles) -> tuple[list[float], int, int]:
-    """The four distributions of a segment as counts, its language, the one with most common words in it, and its size."""
+def _features(text: str, units: list[int], lone: bool, p: Profiles) -> tuple[list[int], int, int]:
+    """The whole counts of a segment (``Profiles.expanded``), its language, the one with most common words in it, and its size."""
     classes = text.encode("utf-8", "replace").translate(_CLASSES, _BLANK)
     words = WORD.findall(text.lower())
     language, common, first = p.spoken(words)
@@ -250,7 +265,6 @@ def _features(text: str, units: list[int], lone: bool, p: Profiles) -> tuple[lis
     lead = [w in first for w in words]
     leads = sum(lead)
     follow = [k for d, k in zip(lead, known[1:]) if d]
-    bad, usual = sum(follow), p.followed[language]
     longest = 10 if len(units) > 2 else 8
     small = sum(n for n in units if n <= 3)
     large = sum(n for n in units if n >= longest)
@@ -261,25 +275,26 @@ def _features(text: str, units: list[int], lone: bool, p: Profiles) -> tuple[lis
         small = 1
     return [
         classes.count(b"l"), classes.count(b"d"), classes.count(b"p"), classes.count(b"s"), small, total - small - large if total else 0, large,
-        leads, sum(known) - leads, len(words) - sum(known) or (not words), len(follow) - bad + _PRIOR * (1 - usual), bad + _PRIOR * usual,
-    ], language, sum(not c.isspace() for c in text)
+        leads, sum(known) - leads, len(words) - sum(known) or int(not words), len(follow), sum(follow),
+    ], language, sum(map(len, text.split()))
 
 
 def segments(texts: list[str | None], p: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all segments of a batch of texts the counts, language, size and text."""
+    """Of all segments of a batch of texts the whole counts, language, size and text."""
     rows, every = [], p.every_word()
     for i, text in enumerate(texts):
         if text and not text.isspace():
             rows += [(*_features(segment, units, lone, p), i) for segment, units, lone in _segments(text, every)]
-    x = np.array([r[0] for r in rows], dtype=float).reshape(-1, SEEDS.shape[1])
-    return x, *(np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+    counts = np.array([r[0] for r in rows], dtype=np.int64).reshape(-1, SEEDS.shape[1])
+    return counts, *(np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
 
 
-def assess(texts: list[str | None], p: Profiles) -> dict[str, np.ndarray]:
-    """Figures of each text of a batch, by name."""
-    n = len(texts)
-    figures = np.zeros((n, 6))
-    common = p.every_word()
+FIGURES = ("n_words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words", "visible")
+
+
+def _figures(texts: list[str | None], common: frozenset[str]) -> np.ndarray:
+    """``FIGURES`` of each text."""
+    figures = np.zeros((len(texts), len(FIGURES)))
     for i, text in enumerate(texts):
         if not text or text.isspace():
             continue
@@ -291,15 +306,22 @@ def assess(texts: list[str | None], p: Profiles) -> dict[str, np.ndarray]:
             len(words), lengths / max(1, len(words)), (visible - lengths) / visible, sum(bool(_END.search(line)) for line in lines) / len(lines),
             sum(w in common for w in map(str.lower, words)) / max(1, len(words)), visible,
         )
-    x, language, sizes, owner = segments(texts, p)
-    share = np.zeros((n, len(KINDS)))
-    if len(x):
-        np.add.at(share, (owner, p.distances(x, language).argmin(1)), sizes)
-    total = np.maximum(figures[:, 5], 1)
-    return {
-        "n_words": figures[:, 0].astype(np.int64), "mean_word_length": figures[:, 1], "symbol_ratio": figures[:, 2], "ended_lines": figures[:, 3],
-        "common_words": figures[:, 4], "prose_share": np.minimum(1.0, share[:, 0] / total), "kind": np.where(figures[:, 5] > 0, share.argmax(1), -1),
-    }
+    return figures
+
+
+def _judged(visible: np.ndarray, counts: np.ndarray, language: np.ndarray, sizes: np.ndarray, owner: np.ndarray, p: Profiles) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the share of prose in its visible characters and the kind of most of them, -1 where there are none."""
+    share = np.zeros((len(visible), len(KINDS)))
+    if len(counts):
+        np.add.at(share, (owner, p.distances(p.expanded(counts, language), language).argmin(1)), sizes)
+    return np.minimum(1.0, share[:, 0] / np.maximum(visible, 1)), np.where(visible > 0, share.argmax(1), -1)
+
+
+def assess(texts: list[str | None], p: Profiles) -> dict[str, np.ndarray]:
+    """Figures of each text of a batch, by name."""
+    figures = dict(zip(FIGURES, _figures(texts, p.every_word()).T))
+    prose, kind = _judged(figures.pop("visible"), *segments(texts, p), p)
+    return figures | {"n_words": figures["n_words"].astype(np.int64), "prose_share": prose, "kind": kind}
 
 
 SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, prose_share double, kind string"
@@ -329,22 +351,52 @@ def _followers(p: Profiles):
     return run
 
 
-def _sampled_segments(p: Profiles):
-    schema = pa.schema([("x", pa.list_(pa.float64())), ("language", pa.int64()), ("size", pa.int64())])
+_LISTS = ("counts", "language", "sizes")
+_MEASURED = "doc_id bigint, n_words bigint, mean_word_length double, symbol_ratio double, ended_lines double, common_words double, visible bigint, counts array<int>, language array<int>, sizes array<int>"
+
+
+def _measure(p: Profiles):
+    """Of each text its figures and the counts of its segments one after the other."""
+    names = [column.split()[0] for column in _MEASURED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, language, sizes, _ = segments(batch.column(0).to_pylist(), p)
-            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), pa.array(language), pa.array(sizes)], schema=schema)
+            texts = batch.column(1).to_pylist()
+            figures = dict(zip(FIGURES, _figures(texts, p.every_word()).T))
+            figures |= {c: figures[c].astype(np.int64) for c in ("n_words", "visible")}
+            counts, language, sizes, owner = segments(texts, p)
+            ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(ends * width), pa.array(values.ravel().astype(np.int32))) for values, width in ((counts, counts.shape[1]), (language, 1), (sizes, 1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(figures[c]) for c in FIGURES), *lists], names=names)
 
     return run
 
 
-def learn(df: DataFrame, text: Column, common_words: DataFrame, sample: int = 4000) -> Profiles:
-    """Profiles fitted on about ``sample`` texts, drawn by a hash of the text, or all of fewer.
+def _measured(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """What ``segments`` gave, from the lists of a batch."""
+    counts, language, sizes = (batch.column(batch.schema.get_field_index(c)) for c in _LISTS)
+    owner = np.repeat(np.arange(batch.num_rows), language.value_lengths().to_numpy())
+    return counts.flatten().to_numpy().reshape(-1, SEEDS.shape[1]), language.flatten().to_numpy(), sizes.flatten().to_numpy().astype(np.int64), owner
 
-    ``common_words`` has ``lang, word``, at most 100,000 rows; ValueError beyond. Null and blank texts and words teach nothing.
-    """
+
+def _added(p: Profiles):
+    """A task's ``Profiles.sums``, each other than 0 a row."""
+    schema = pa.schema([("slot", pa.int64()), ("part", pa.int64()), ("total", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(p.prose) + len(p.other), SEEDS.shape[1] + 1), dtype=np.int64)
+        for batch in batches:
+            counts, language, sizes, _ = _measured(batch)
+            if len(counts):
+                total += p.sums(p.expanded(counts, language), language, sizes)
+        slot, part = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(part), pa.array(total[slot, part])], schema=schema)
+
+    return run
+
+
+def _start(texts: DataFrame, common_words: DataFrame) -> Profiles:
+    """Profiles before the fit: the determiners among the common words, by what follows them in all texts."""
     listed = common_words.where("lang is not null and word is not null").select("lang", F.lower("word").alias("word")).distinct()
     words: dict[str, list[str]] = defaultdict(list)
     rows = listed.limit(100_001).collect()
@@ -352,37 +404,63 @@ def learn(df: DataFrame, text: Column, common_words: DataFrame, sample: int = 40
         raise ValueError("more than 100,000 common words")
     for row in rows:
         words[row["lang"]].append(row["word"])
-    texts = df.select(text.cast("string").alias("text")).where("text is not null")
-    count = texts.count()
-    share = min(1 << 20, -(-(sample << 20) // max(1, count)))
-    drawn = cut(texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share))
-    start = Profiles.start(words)
-    seen = drawn.mapInArrow(_followers(start), "lang string, word string, seen bigint, followed bigint, words bigint")
-    seen = seen.groupBy("lang", "word").agg(F.sum("seen"), F.sum("followed"), F.sum("words")).collect()  # a row a common word
-    start = Profiles.start(words, sorted(map(tuple, seen)))
-    found = drawn.mapInArrow(_sampled_segments(start), "x array<double>, language bigint, size bigint").toPandas()  # the segments of the sample
-    if not len(found):
-        return start
-    found = found.sort_values(["size", "language"], kind="stable")
-    return start.fitted(np.array(found["x"].to_list()).reshape(-1, SEEDS.shape[1]), found["language"].to_numpy(), found["size"].to_numpy())
-
-
-def quality(df: DataFrame, doc_id: Column, text: Column, common_words: DataFrame, profiles: Profiles | None = None, sample: int = 4000) -> DataFrame:
+    seen = texts.select("text").mapInArrow(_followers(Profiles.start(words)), "lang string, word string, seen bigint, followed bigint, words bigint")
+    seen = seen.groupBy("lang", "word").agg(F.sum("seen"), F.sum("followed"), F.sum("words")).collect()  # a row a common word and language
+    return Profiles.start(words, sorted(map(tuple, seen)))
+
+
+def _fit(measured: DataFrame, start: Profiles, rounds: int = 8) -> Profiles:
+    """Profiles moved to the mean of the segments nearest to them, by size, some times over; every segment counts."""
+    bare = replace(start, words=(), determiners=())
+    for _ in range(rounds):
+        sums = np.zeros((len(bare.prose) + len(bare.other), SEEDS.shape[1] + 1), dtype=np.int64)
+        for slot, part, total in measured.select(*_LISTS).mapInArrow(_added(bare), "slot bigint, part bigint, total bigint").groupBy("slot", "part").agg(F.sum("total")).collect():  # a row a number of the profiles
+            sums[slot, part] = total
+        if not sums.any():
+            break
+        before, bare = bare, bare.moved(sums)
+        if np.array_equal(before.prose, bare.prose) and np.array_equal(before.other, bare.other):
+            break
+    return replace(start, prose=bare.prose, other=bare.other)
+
+
+def _surveyed(texts: DataFrame, common_words: DataFrame) -> tuple[DataFrame, Profiles]:
+    """Figures and segments of ``doc_id, text`` and the profiles fitted on them."""
+    texts = spread(texts)
+    start = _start(texts, common_words)
+    measured = cut(texts.mapInArrow(_measure(start), _MEASURED))
+    return measured, _fit(measured, start)
+
+
+def learn(df: DataFrame, text: Column, common_words: DataFrame) -> Profiles:
+    """Profiles fitted on all texts.
+
+    ``common_words`` has ``lang, word``, at most 100,000 rows; ValueError beyond. Null and blank texts and words teach nothing.
+    """
+    return _surveyed(df.select(F.lit(0).cast("bigint").alias("doc_id"), text.cast("string").alias("text")), common_words)[1]
+
+
+def quality(df: DataFrame, doc_id: Column, text: Column, common_words: DataFrame, profiles: Profiles | None = None) -> DataFrame:
     """Figures of every document.
 
     Columns: ``n_words``; ``mean_word_length``; ``symbol_ratio``, visible characters outside words;
     ``ended_lines``, the share of non-blank lines that end in a sentence mark; ``common_words``, the share of words that
     ``common_words (lang, word)`` lists for any language; ``prose_share``, the share of visible characters in running sentences; and ``kind``, the
     profile nearest to most of the text. Null and blank texts get zeros and a null kind; repeated
-    rows are judged each. Other columns aren't read. Without ``profiles`` they are learned from about ``sample`` of the texts.
+    rows are judged each. Other columns aren't read. Without ``profiles`` they are learned from all the texts.
     """
-    p = profiles or learn(df, text, common_words, sample)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), *((c, pa.float64()) for c in ("mean_word_length", "symbol_ratio", "ended_lines", "common_words", "prose_share")), ("kind", pa.string())])
+    texts = df.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text"))
+    if profiles:
+        measured, p = spread(texts).mapInArrow(_measure(profiles), _MEASURED), profiles
+    else:
+        measured, p = _surveyed(texts, common_words)
+    bare = replace(p, words=(), determiners=())
+    names = [column.split()[0] for column in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = assess(batch.column(1).to_pylist(), p)
-            kinds = pa.array([KINDS[k] if k >= 0 else None for k in found.pop("kind")], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v) for v in found.values()), kinds], schema=schema)
+            prose, kind = _judged(batch.column(6).to_numpy(), *_measured(batch), bare)
+            kinds = pa.array([KINDS[k] if k >= 0 else None for k in kind], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(prose), kinds], names=names)
 
-    return spread(df.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text"))).mapInArrow(run, SCHEMA)
+    return measured.mapInArrow(run, SCHEMA)

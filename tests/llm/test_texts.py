@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -190,3 +191,26 @@ def test_profiles_are_learned_from_the_documents(spark):
     got = text_quality.quality(held, F.col("doc_id"), F.col("text"), words, p).join(held, "doc_id").select("truth", (F.col("prose_share") >= 0.5).alias("prose")).collect()
     right = sum((r.truth == "prose") == r.prose for r in got)
     assert right >= 0.95 * len(got) == 0.95 * 300
+
+
+def test_every_document_counts_in_the_fit(spark):
+    # a determiner of 24 documents among 12,000; a sample of a third sees it too seldom
+    line = "The old house of the town and the garden to the north. "
+    data = [(i, line + ("Yon gate and the wall. " if i % 500 == 0 else "") + f"Row{i}") for i in range(12_000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    words = spark.createDataFrame([("en", w) for w in ("the", "yon", "of", "and", "to")], "lang string, word string")
+    p = text_quality.learn(df, F.col("text"), words)
+    assert {"the", "yon"} <= p.determiners[p.languages.index("en")]
+    again = text_quality.learn(df.repartition(5), F.col("text"), words)  # the same whatever the parts
+    assert np.array_equal(p.prose, again.prose) and np.array_equal(p.other, again.other)
+
+
+def test_one_round_of_the_fit_by_hand():
+    counts, language, sizes, _ = text_quality.segments([PROSE * 2, "a,1,b,2\nc,3,d,4\ne,5,f,6", PROSE], START)
+    x = START.expanded(counts, language)
+    kind = START.distances(x, language).argmin(1)
+    fitted = START.moved(START.sums(x[:1], language[:1], sizes[:1]) + START.sums(x[1:], language[1:], sizes[1:]), prior=10.0)
+    shares = np.concatenate([x[:, a:b] / x[:, a:b].sum(1, keepdims=True) for a, b in ((0, 4), (4, 7), (7, 10), (10, 12))], axis=1)
+    mean = lambda mine, first: ((shares[mine] * sizes[mine, None]).sum(0) + 10 * first) / (sizes[mine].sum() + 10)
+    assert np.allclose(fitted.prose[language[0]], mean((kind == 0) & (language == language[0]), mean(kind == 0, text_quality.SEEDS[0])), atol=1e-6)
+    assert all(np.allclose(fitted.other[k - 1], mean(kind == k, text_quality.SEEDS[k]), atol=1e-6) for k in range(1, len(text_quality.SEEDS)))
