@@ -14,10 +14,12 @@ words, a second keeps each document's figures and its segments' counts, on which
 from __future__ import annotations
 
 import re
+import sys
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
-from functools import cached_property
+from functools import cache, cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ _WEIGHTS = (1.0, 1.0, 1.0, 1.0)
 _PRIOR = 4.0
 #: Parts of a character in which the fit's sums count.
 _UNIT = 1 << 20
+#: About so many characters are scanned at once.
+_BLOCK = 1 << 20
 #: A function word is a determiner if function words follow it at most this share of what chance would give.
 RARE = 0.35
 
@@ -79,23 +83,35 @@ class Profiles:
         return Profiles(names, sets, tuple(chosen), tuple(usual), np.tile(SEEDS[0], (len(names), 1)), SEEDS[1:].copy())
 
     @cached_property
-    def _listed(self) -> dict[str, list[int]]:
-        """The languages that list a word."""
-        found: dict[str, list[int]] = defaultdict(list)
-        for i, known in enumerate(self.words):
-            for word in known:
-                found[word].append(i)
-        return dict(found)
-
-    def spoken(self, words: list[str]) -> tuple[int, frozenset[str], frozenset[str]]:
-        """The language with most common words among ``words``, the first of equals, its words and its determiners."""
-        counts = [0] * len(self.words)
-        for at in map(self._listed.get, words):
-            if at:
-                for i in at:
-                    counts[i] += 1
-        language = counts.index(max(counts))
-        return language, self.words[language], self.determiners[language]
+    def _index(self) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the common words; where the languages of each number begin, those languages and whether the word is a determiner there."""
+        numbers: dict[str, int] = {}
+        pairs = sorted((numbers.setdefault(w, len(numbers)), i, w in self.determiners[i]) for i, known in enumerate(self.words) for w in known)
+        number, language, first = np.array(pairs, dtype=np.int64).reshape(-1, 3).T
+        return numbers, np.searchsorted(number, np.arange(len(numbers) + 1)), language, first.astype(bool)
+
+    def numbered(self, words: list[str]) -> np.ndarray:
+        """The numbers of ``words``, -1 for what isn't a common word of any language."""
+        return np.fromiter(map(self._index[0].get, words, repeat(-1)), np.int64, len(words))
+
+    def spoken(self, numbers: np.ndarray, owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the language with most common words among its words, the first of equals; of each word whether it is a common one and a determiner of its text's language.
+
+        ``numbers`` are those of the words of all texts, ``owner`` the text of each.
+        """
+        _, begins, languages, first = self._index
+        hits = np.flatnonzero(numbers >= 0)
+        listed = numbers[hits]
+        times = begins[listed + 1] - begins[listed]
+        pair = np.repeat(begins[listed] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        word = np.repeat(hits, times)
+        votes = np.bincount(owner[word] * len(self.words) + languages[pair], minlength=texts * len(self.words))
+        language = votes.reshape(texts, len(self.words)).argmax(1)
+        known, lead = np.zeros((2, len(numbers)), dtype=bool)
+        mine = languages[pair] == language[owner[word]]
+        known[word[mine]] = True
+        lead[word[mine & first[pair]]] = True
+        return language, known, lead
 
     def every_word(self) -> frozenset[str]:
         """The common words of all languages."""
@@ -108,7 +124,7 @@ class Profiles:
             mine = language == i
             if mine.any():
                 profiles = np.concatenate([self.prose[i : i + 1], self.other])
-                found[mine] = sum(w * _divergence(_shares(x[mine][:, part]), _shares(profiles[:, part])) for part, w in zip(_PARTS, _WEIGHTS))
+                found[mine] = sum(w * _divergence(_shares(x[mine][:, part]), _shares(profiles[:, part])) for part, w in zip(_PARTS, _WEIGHTS)).T
         return found
 
     def expanded(self, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
@@ -150,7 +166,8 @@ _GAP = re.compile(r" {3,}")
 _WIDE = re.compile(r"\t| {2,}")
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*")
 _INNER = re.compile(r"[a-zß-ÿ)][.!?][\"'»”’)]* +[A-ZÀ-Þ0-9]")
-_END = re.compile(r"[.!?…][\"'»”’)\]]*\s*$")
+_MARKS = (".", "!", "?", "…")
+_CLOSERS = "\"'»”’)]"
 
 _CLASSES = bytearray(b"s" * 256)
 for _c in range(256):
@@ -164,6 +181,74 @@ _CLASSES = bytes(_CLASSES)
 _BLANK = b" \t\r\n\x0b\x0c"
 
 
+@cache
+def _signs() -> np.ndarray:
+    """Of each code point whether it is part of a word (1) and whether it is visible (2)."""
+    every = np.arange(sys.maxunicode + 1, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    word, blank = (np.fromiter(map(test, every), bool, len(every)) for test in (str.isalnum, str.isspace))
+    return word | ~blank * np.uint8(2)
+
+
+class _Scan:
+    """Texts as one array of code points with a line break after each."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.signs = _signs()[self.code]
+        self.bounds = np.cumsum([0, *map(len, texts)]) + np.arange(len(texts) + 1)
+
+    def _each(self, marks: np.ndarray) -> np.ndarray:
+        """How many code points of each text, its line break with it, are marked."""
+        return np.diff(np.searchsorted(np.flatnonzero(marks), self.bounds))
+
+    def n_words(self) -> np.ndarray:
+        inner = self.signs & 1
+        inner[1:] &= ~self.signs[:-1]  # what follows a part of a word begins none
+        return self._each(inner)
+
+    def letters(self) -> np.ndarray:
+        """The characters in words of each text."""
+        return np.diff(self.bounds) - self._each(self.signs & 1 == 0)
+
+    def visible(self) -> np.ndarray:
+        return np.diff(self.bounds) - self._each(self.signs & 2 == 0)
+
+    def words(self) -> list[str]:
+        """All words in lower case, one text after the other."""
+        return np.where(self.signs & 1, self.code, np.uint32(32)).astype("<u4").tobytes().decode("utf-32-le").lower().split()
+
+    def odd(self) -> bool:
+        """Is there a letter whose lower case has another length or depends on what is around its word?"""
+        return bool(((self.code == 0x130) | (self.code == 0x3A3)).any())
+
+
+def _lowered(texts: list[str], scan: _Scan | None = None) -> tuple[list[str], np.ndarray]:
+    """The words of the texts in lower case and how many each has."""
+    scan = scan or _Scan(texts)
+    if scan.odd():
+        scan = _Scan([text.lower() for text in texts])
+    return scan.words(), scan.n_words()
+
+
+def _blocks(items: Iterable[tuple], languages: int) -> Iterator[list[tuple]]:
+    """Parts of ``items``, which begin with a text, of about ``_BLOCK`` characters and counts of languages."""
+    block, held = [], 0
+    for item in items:
+        block.append(item)
+        held += len(item[0]) + languages
+        if held >= _BLOCK:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+def _ended(line: str) -> bool:
+    """Does a line end in a sentence mark, with closing marks and blanks after it or not?"""
+    line = line.rstrip()
+    return line.endswith(_MARKS) or line.rstrip(_CLOSERS).endswith(_MARKS)
+
+
 def _tag(m: re.Match) -> str:
     name = (m.group(2) or "").lower()
     if name in ("td", "th"):
@@ -183,7 +268,7 @@ def _cells(line: str) -> list[str] | None:
     tight = line.count(",") - line.count(", ")
     if tight >= 2 and 2 * tight > line.count(","):
         return line.split(",")
-    if _LEADER.search(line):
+    if ("...." in line or "__" in line or "--" in line or "[ ]" in line or "n/a" in line) and _LEADER.search(line):
         return _LEADER.split(line)
     return None
 
@@ -195,117 +280,146 @@ def _runs_on(line: str, following: str, common: frozenset[str]) -> bool:
     return line.endswith(",") or line.rpartition(" ")[2].lower() in common
 
 
-def _segments(text: str, common: frozenset[str]) -> Iterator[tuple[str, list[int], bool]]:
-    """Each segment's text, the lengths in words of its units and whether it is a lone sentence."""
+def _segments(text: str, common: frozenset[str]) -> Iterator[tuple[str, list[str], list[int], bool]]:
+    """Each segment's text; the texts of its units, cut at keys; which of these are keys; and whether a lone sentence could end it."""
     if "<" in text:
         text = _TAGS.sub(_tag, text)
-    block: list[str] = []
+    block: list[tuple[str, list[str] | None]] = []
     kind = None
 
-    def flush() -> Iterator[tuple[str, list[int], bool]]:
-        if not block:
-            return
-        whole = "\n".join(block)
+    def flush() -> tuple[str, list[str], list[int], bool]:
+        lines = [line for line, _ in block]
+        whole = "\n".join(lines)
         if kind:
-            yield whole, [n for line in block for cell in _cells(line) or _WIDE.split(line) if (n := len(WORD.findall(cell)))], False
-            return
-        lines = [line for line in block if WORD.search(line)]
+            return whole, [cell for line, cells in block for cell in cells or _WIDE.split(line)], [], False
+        if len(lines) > 1:
+            lines = [line for line in lines if WORD.search(line)]
         if len(lines) > 1:
             trimmed = [" ".join(line.lstrip("> \t").split()) or " " for line in lines]
-            widths = sorted(map(len, trimmed))
-            width = max(w for w in widths if w <= 2 * widths[len(widths) // 2])
             items = sum(bool(_BULLET.match(line) or _KEY.match(line)) for line in lines)
-            low = sum(line[0].islower() or line[0].isdigit() for line in trimmed[1:])
-            full = sum(len(a) + 1 + len(b.split(" ", 1)[0]) > 0.88 * width for a, b in zip(trimmed, trimmed[1:]))
-            running = sum(_runs_on(a, b, common) for a, b in zip(trimmed, trimmed[1:])) + len(_INNER.findall(whole))
-            wrapped = width >= 46 and full >= 0.6 * (len(lines) - 1) and low >= 0.2 * (len(lines) - 1)
-            if items < 0.5 * len(lines) and (wrapped or running >= 0.25 * len(lines)):
+            if items < 0.5 * len(lines) and (_wrapped(trimmed) or sum(_runs_on(a, b, common) for a, b in zip(trimmed, trimmed[1:])) + len(_INNER.findall(whole)) >= 0.25 * len(lines)):
                 lines = [" ".join(trimmed)]
-        units = []
+        units, keys = [], []
         for line in lines:
-            n = len(WORD.findall(_BULLET.sub("", line)))
             if len(lines) > 2 and (key := _KEY.match(line)):
-                k = len(WORD.findall(key.group()))
-                units += [k, n - k] if n > k else [n]
-            elif n:
-                units.append(n)
-        yield whole, units, len(units) == 1 and units[0] >= 5 and bool(_END.search(whole))
+                keys.append(len(units))
+                units.append(key.group())
+            bullet = _BULLET.match(line)
+            units.append(line[bullet.end() :] if bullet else line)
+        return whole, units, keys, _ended(whole)
 
     for paragraph in _PARAGRAPH.split(text):
-        lines = [line for line in paragraph.split("\n") if line.strip()]
-        rows = [_cells(line) is not None for line in lines]
+        lines = [line for line in paragraph.split("\n") if line and not line.isspace()]
+        cells = [_cells(line) for line in lines]
+        rows = [c is not None for c in cells]
         if len(lines) > 2 and 0.4 * len(lines) <= sum(rows) < len(lines):
             rows = [row or "  " in line.strip() or "\t" in line for row, line in zip(rows, lines)]
-        for row, line in zip(rows, lines):
+        for row, line in zip(rows, zip(lines, cells)):
             if block and row != kind:
-                yield from flush()
+                yield flush()
                 block = []
             kind = row
             block.append(line)
-        yield from flush()
+        if block:
+            yield flush()
         block = []
 
 
+def _wrapped(lines: list[str]) -> bool:
+    """Were the lines broken at a width, in the middle of sentences?"""
+    widths = sorted(map(len, lines))
+    width = max(w for w in widths if w <= 2 * widths[len(widths) // 2])
+    if width < 46:
+        return False
+    low = sum(line[0].islower() or line[0].isdigit() for line in lines[1:])
+    full = sum(len(a) + 1 + len(b.split(" ", 1)[0]) > 0.88 * width for a, b in zip(lines, lines[1:]))
+    return full >= 0.6 * (len(lines) - 1) and low >= 0.2 * (len(lines) - 1)
+
+
 def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of ``p`` from each row of ``q``."""
-    both = _entropy((p[:, None, :] + q[None, :, :]) / 2)
-    return both - (_entropy(p)[:, None] + _entropy(q)[None, :]) / 2
-
-
-def _entropy(p: np.ndarray) -> np.ndarray:
-    return -(p * np.log2(np.where(p > 0, p, 1))).sum(-1)
-
-
-def _features(text: str, units: list[int], lone: bool, p: Profiles) -> tuple[list[int], int, int]:
-    """The whole counts of a segment (``Profiles.expanded``), its language, the one with most common words in it, and its size."""
-    classes = text.encode("utf-8", "replace").translate(_CLASSES, _BLANK)
-    words = WORD.findall(text.lower())
-    language, common, first = p.spoken(words)
-    known = [w in common for w in words]
-    lead = [w in first for w in words]
-    leads = sum(lead)
-    follow = [k for d, k in zip(lead, known[1:]) if d]
-    longest = 10 if len(units) > 2 else 8
-    small = sum(n for n in units if n <= 3)
-    large = sum(n for n in units if n >= longest)
-    total = sum(units)
-    if lone and any(known):
-        small, large = 0, total
-    if not total:
-        small = 1
-    return [
-        classes.count(b"l"), classes.count(b"d"), classes.count(b"p"), classes.count(b"s"), small, total - small - large if total else 0, large,
-        leads, sum(known) - leads, len(words) - sum(known) or int(not words), len(follow), sum(follow),
-    ], language, sum(map(len, text.split()))
+    """Jensen-Shannon divergence in bits of each row of ``q``, one a row, from each row of ``p``."""
+    both = _entropy((b[:, None] + a) / 2 for a, b in zip(p.T, q.T))
+    return both - (_entropy(p.T) + _entropy(q.T)[:, None]) / 2
+
+
+def _entropy(shares: Iterable[np.ndarray]) -> np.ndarray:
+    return -sum(x * np.log2(np.where(x > 0, x, 1)) for x in shares)
+
+
+def _units(found: list[tuple[str, list[str], list[int], bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths in words of all units of segments and the segment of each; pieces without a word are none."""
+    pieces = [piece for _, units, _, _ in found for piece in units]
+    many = np.array([len(units) for _, units, _, _ in found])
+    n = _Scan(pieces).n_words()
+    keep = n > 0
+    keys = np.array([first + k for first, (_, _, keys, _) in zip(np.cumsum(many) - many, found) for k in keys], dtype=np.int64)
+    keep[keys + 1] = True
+    keep[keys] = apart = n[keys + 1] > n[keys]  # else the key is all there is
+    n[keys + 1] -= np.where(apart, n[keys], 0)
+    return n[keep], np.repeat(np.arange(len(found)), many)[keep]
+
+
+def _features(found: list[tuple[str, list[str], list[int], bool]], p: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The whole counts of segments (``Profiles.expanded``), their languages, those with most common words in them, and their sizes."""
+    texts, many = [segment[0] for segment in found], len(found)
+    scan = _Scan(texts)
+    words, n_words = _lowered(texts, scan)
+    owner = np.repeat(np.arange(many), n_words)
+    language, known, lead = p.spoken(p.numbered(words), owner, many)
+    each = lambda owners, weights=None: np.bincount(owners, weights, many).astype(np.int64)
+    common, leads = each(owner[known]), each(owner[lead])
+    led = np.flatnonzero(lead[:-1] & (owner[:-1] == owner[1:])) + 1
+    units, of = _units(found)
+    n_units, total = each(of), each(of, units)
+    small = each(of, np.where(units <= 3, units, 0))
+    large = each(of, np.where(units >= np.where(n_units > 2, 10, 8)[of], units, 0))
+    lone = (n_units == 1) & (total >= 5) & np.array([segment[3] for segment in found]) & (common > 0)
+    small, large = np.where(lone, 0, small), np.where(lone, total, large)
+    classes = [text.encode("utf-8", "replace").translate(_CLASSES, _BLANK) for text in texts]
+    counts = np.stack(
+        [
+            *np.array([[c.count(b"l"), c.count(b"d"), c.count(b"p"), c.count(b"s")] for c in classes], dtype=np.int64).T,
+            np.where(total == 0, 1, small), total - small - large, large,
+            leads, common - leads, np.maximum(n_words - common, n_words == 0), each(owner[led]), each(owner[led[known[led]]]),
+        ],
+        axis=1,
+    )
+    return counts, language, scan.visible()
 
 
 def segments(texts: list[str | None], p: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all segments of a batch of texts the whole counts, language, size and text."""
-    rows, every = [], p.every_word()
-    for i, text in enumerate(texts):
-        if text and not text.isspace():
-            rows += [(*_features(segment, units, lone, p), i) for segment, units, lone in _segments(text, every)]
-    counts = np.array([r[0] for r in rows], dtype=np.int64).reshape(-1, SEEDS.shape[1])
-    return counts, *(np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+    every, owner = p.every_word(), []
+
+    def found() -> Iterator[tuple[str, list[str], list[int], bool]]:
+        for i, text in enumerate(texts):
+            if text and not text.isspace():
+                for segment in _segments(text, every):
+                    owner.append(i)
+                    yield segment
+
+    none = (np.empty((0, SEEDS.shape[1]), dtype=np.int64), *np.empty((2, 0), dtype=np.int64))
+    parts = [none, *(_features(block, p) for block in _blocks(found(), len(p.words)))]
+    return *map(np.concatenate, zip(*parts)), np.array(owner, dtype=np.int64)
 
 
 FIGURES = ("n_words", "mean_word_length", "symbol_ratio", "ended_lines", "common_words", "visible")
 
 
-def _figures(texts: list[str | None], common: frozenset[str]) -> np.ndarray:
+def _figures(texts: list[str | None], p: Profiles) -> np.ndarray:
     """``FIGURES`` of each text."""
     figures = np.zeros((len(texts), len(FIGURES)))
-    for i, text in enumerate(texts):
-        if not text or text.isspace():
-            continue
-        words = WORD.findall(text)
-        lines = [line for line in text.split("\n") if line.strip()]
-        visible = sum(map(len, text.split()))
-        lengths = sum(map(len, words))
-        figures[i] = (
-            len(words), lengths / max(1, len(words)), (visible - lengths) / visible, sum(bool(_END.search(line)) for line in lines) / len(lines),
-            sum(w in common for w in map(str.lower, words)) / max(1, len(words)), visible,
-        )
+    for block in _blocks(((text, i) for i, text in enumerate(texts) if text and not text.isspace()), 0):
+        those = [text for text, _ in block]
+        scan, ended = _Scan(those), np.zeros((len(block), 2), dtype=np.int64)
+        for k, text in enumerate(those):
+            lines = [line for line in map(str.rstrip, text.split("\n")) if line]
+            ended[k] = sum(map(_ended, lines)), len(lines)
+        n_words, letters, visible = scan.n_words(), scan.letters(), scan.visible()
+        owner = np.repeat(np.arange(len(block)), n_words)
+        common = np.bincount(owner[p.numbered(scan.words()) >= 0], minlength=len(block))
+        some = np.maximum(1, n_words)
+        figures[[i for _, i in block]] = np.stack([n_words, letters / some, (visible - letters) / visible, ended[:, 0] / ended[:, 1], common / some, visible], axis=1)
     return figures
 
 
@@ -319,7 +433,7 @@ def _judged(visible: np.ndarray, counts: np.ndarray, language: np.ndarray, sizes
 
 def assess(texts: list[str | None], p: Profiles) -> dict[str, np.ndarray]:
     """Figures of each text of a batch, by name."""
-    figures = dict(zip(FIGURES, _figures(texts, p.every_word()).T))
+    figures = dict(zip(FIGURES, _figures(texts, p).T))
     prose, kind = _judged(figures.pop("visible"), *segments(texts, p), p)
     return figures | {"n_words": figures["n_words"].astype(np.int64), "prose_share": prose, "kind": kind}
 
@@ -330,23 +444,25 @@ SCHEMA = "doc_id bigint, n_words bigint, mean_word_length double, symbol_ratio d
 def _followers(p: Profiles):
     """How often each common word is seen, and with a common word of its language after it, in lines of that language."""
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("seen", pa.int64()), ("followed", pa.int64()), ("words", pa.int64())])
+    names = np.array(p.languages, dtype=object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.array([*p._index[0], ""], dtype=object)
         for batch in batches:
-            seen: dict[tuple[int, str], list[int]] = defaultdict(lambda: [0, 0])
-            words_of = [0] * len(p.words)
-            for text in batch.column(0).to_pylist():
-                words = WORD.findall((text or "").lower())
-                i, common, _ = p.spoken(words)
-                words_of[i] += len(words)
-                known = [w in common for w in words]
-                for w, k, after in zip(words, known, known[1:]):
-                    if k:
-                        seen[i, w][0] += 1
-                        seen[i, w][1] += after
-            rows = [(p.languages[i], w, a, b, 0) for (i, w), (a, b) in seen.items()] + [(p.languages[i], "", 0, 0, n) for i, n in enumerate(words_of)]
-            columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+            for block in _blocks(((text,) for text in batch.column(0).to_pylist() if text), len(names)):
+                words, n_words = _lowered([text for (text,) in block])
+                owner = np.repeat(np.arange(len(block)), n_words)
+                numbers = p.numbered(words)
+                language, known, _ = p.spoken(numbers, owner, len(block))
+                at = np.flatnonzero(known[:-1] & (owner[:-1] == owner[1:]))
+                pairs, place, seen = np.unique(language[owner[at]] * len(common) + numbers[at], return_inverse=True, return_counts=True)
+                followed = np.bincount(place, known[at + 1], len(pairs)).astype(np.int64)
+                total = np.bincount(language, n_words, len(names)).astype(np.int64)
+                spoken = np.flatnonzero(total)
+                zeros = np.zeros(len(spoken), dtype=np.int64)
+                lang, word = np.divmod(np.concatenate([pairs, spoken * len(common) + len(common) - 1]), len(common))
+                counts = [seen, zeros], [followed, zeros], [np.zeros(len(pairs), dtype=np.int64), total[spoken]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[lang], pa.string()), pa.array(common[word], pa.string()), *(pa.array(np.concatenate(c)) for c in counts)], schema=schema)
 
     return run
 
@@ -362,7 +478,7 @@ def _measure(p: Profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            figures = dict(zip(FIGURES, _figures(texts, p.every_word()).T))
+            figures = dict(zip(FIGURES, _figures(texts, p).T))
             figures |= {c: figures[c].astype(np.int64) for c in ("n_words", "visible")}
             counts, language, sizes, owner = segments(texts, p)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1)).astype(np.int32)

@@ -1,6 +1,9 @@
 import random
+import sys
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -205,6 +208,59 @@ def test_every_document_counts_in_the_fit(spark):
     assert np.array_equal(p.prose, again.prose) and np.array_equal(p.other, again.other)
 
 
+def test_no_call_is_made_for_each_word():
+    # calls a word were much of the CPU seconds of p9_found, 1,211 a GB by the projection to 30 GB
+    def calls(texts):
+        text_quality.assess(texts, START)  # what is made once
+        seen, before = 0, sys.getprofile()
+
+        def count(*_):
+            nonlocal seen
+            seen += 1
+
+        sys.setprofile(count)
+        try:
+            text_quality.assess(texts, START)
+        finally:
+            sys.setprofile(before)
+        return seen
+
+    short, long = ("The pump of the plant is in the garden. " * n for n in (2, 40))
+    assert calls([long] * 20) < 1.2 * calls([short] * 20)
+
+
+def test_bulk_counts_equal_those_word_by_word(monkeypatch):
+    rng = random.Random(5)
+    atoms = ["the", "The", "of", "der", "und", "DIE", "pump", "a", "12", "don't", "x_y", "_", "²", "Ⅷ", "ß", "日本", "İn", "ΑΣ'Α", "ΟΔΟΣ", "ʰ", "\xa0", "\x1c", "\U0001f600", "𝒜b", ". ", "!", "”", "- of"]
+    texts = ["".join(rng.choice(atoms) + rng.choice([" ", " ", " ", ""]) for _ in range(rng.randint(1, 30))) for _ in range(300)] + [None, "", " \n "]
+    whole = text_quality.segments(texts, START), text_quality.assess(texts, START)
+    monkeypatch.setattr(text_quality, "_BLOCK", 60)
+    counts, language, sizes, owner = text_quality.segments(texts, START)
+    figures = text_quality.assess(texts, START)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[0], (counts, language, sizes, owner))) and all(np.array_equal(whole[1][k], v) for k, v in figures.items())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    got, expected, every = Counter(), Counter(), START.every_word()
+    for part in text_quality._followers(START)(iter([batch])):
+        for lang, word, *n in zip(*(c.to_pylist() for c in part.columns)):
+            got.update({(lang, word, k): v for k, v in enumerate(n)})
+    for i, text in enumerate(texts):
+        words = text_quality.WORD.findall((text or "").lower())
+        votes = [sum(w in known for w in words) for known in START.words]
+        lang = votes.index(max(votes))
+        known, lead = ([w in s[lang] for w in words] for s in (START.words, START.determiners))
+        expected.update([(START.languages[lang], "", 2)] * len(words))
+        for w, k, after in zip(words, known, known[1:]):
+            expected.update({(START.languages[lang], w, 0): k, (START.languages[lang], w, 1): k and after})
+        plain = text_quality.WORD.findall(text or "")
+        assert (figures["n_words"][i], figures["common_words"][i]) == (len(plain), sum(w.lower() in every for w in plain) / max(1, len(plain)))
+        if text and not text.isspace():
+            (at,) = np.flatnonzero(owner == i)
+            follow = [k for d, k in zip(lead, known[1:]) if d]
+            assert (language[at], sizes[at]) == (lang, sum(map(len, text.split())))
+            assert counts[at, 7:].tolist() == [sum(lead), sum(known) - sum(lead), len(words) - sum(known) or int(not words), len(follow), sum(follow)]
+    assert +got == +expected
+
+
 def test_one_round_of_the_fit_by_hand():
     counts, language, sizes, _ = text_quality.segments([PROSE * 2, "a,1,b,2\nc,3,d,4\ne,5,f,6", PROSE], START)
     x = START.expanded(counts, language)
